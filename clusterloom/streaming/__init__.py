@@ -1,0 +1,6 @@
+"""Streaming use.
+
+All inputs are finite file sets, so there is no streaming operator here. The expressions in
+``clusterloom.functions`` are row-local columns and generators; they apply unchanged to a
+streaming DataFrame.
+"""
