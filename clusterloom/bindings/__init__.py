@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_all() -> None:
-    from clusterloom.bindings import features  # noqa: F401
+    from clusterloom.bindings import features, ordering, proteins, scalars  # noqa: F401

@@ -43,8 +43,8 @@ def index_rows(
     placed = cut_lineage(
         df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
-        .withColumn("_at", F.monotonically_increasing_id())
-    ).withColumn("_split", F.shiftright("_at", _SPLIT_BITS))
+        .withColumn("_rowid", F.monotonically_increasing_id())
+    ).withColumn("_split", F.shiftright("_rowid", _SPLIT_BITS))
     before = (
         W.partitionBy(*(parts or [F.lit(0)]))
         .orderBy("_split")
@@ -52,14 +52,14 @@ def index_rows(
     )
     segments = (
         placed.groupBy(*parts, "_split")
-        .agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+        .agg(F.min("_rowid").alias("_first"), F.count("*").alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         .drop("_n")
     )
     return (
         placed.join(segments, [*parts, "_split"])
-        .withColumn(name, F.col("_at") - F.col("_first") + F.col("_before"))
-        .drop("_at", "_split", "_first", "_before")
+        .withColumn(name, F.col("_rowid") - F.col("_first") + F.col("_before"))
+        .drop("_rowid", "_split", "_first", "_before")
     )
 
 
@@ -163,22 +163,54 @@ def scan(
 
 
 def islands(
-    df: DataFrame, parts: Sequence[str], pos: str, key: Column, chunk_rows: int = CHUNK
+    df: DataFrame, parts: Sequence[str], pos: str, key: Column,
+    totals: dict[str, Column] | None = None, chunk_rows: int = CHUNK,
 ) -> DataFrame:
     """Maximal runs of equal ``key``: adds ``island_start``, ``island_end`` (positions).
 
-    ``pos`` must be dense for the difference to be the run length. Bounds come from forward
-    and backward scans, so a run of any length never meets in one task.
+    ``pos`` must be dense. A chunk publishes its first and last key and its first and last
+    change; runs that cross chunks are closed on those summaries, so a run of any length
+    never meets in one task. ``totals`` as in ``scan``.
     """
-    seen = scan(df.withColumn("_key", key), parts, pos, chunk_rows=chunk_rows,
-                prevs={"_pk": F.struct("_key")}, nexts={"_nk": F.struct("_key")})
-    first = F.col("_pk").isNull() | ~F.col("_pk._key").eqNullSafe(F.col("_key"))
-    last = F.col("_nk").isNull() | ~F.col("_nk._key").eqNullSafe(F.col("_key"))
-    return scan(
-        seen, parts, pos, chunk_rows=chunk_rows,
-        lasts={"island_start": F.when(first, F.col(pos))},
-        upcoming={"island_end": F.when(last, F.col(pos))},
-    ).drop("_key", "_pk", "_nk")
+    totals = totals or {}
+    keys = [*parts, "_chunk"]
+    local = W.partitionBy(*keys).orderBy(pos)
+    base = df.withColumns(
+        {"_chunk": chunk_of(pos, chunk_rows), "_key": F.struct(key.alias("k")),
+         **{f"_t{i}": e for i, e in enumerate(totals.values())}}
+    ).withColumn("_before", F.lag("_key").over(local))
+    base = base.withColumn(
+        "_step", F.when(F.col("_before").isNotNull() & (F.col("_before") != F.col("_key")), F.col(pos)))
+    seq = W.partitionBy(*(parts or [F.lit(0)])).orderBy("_chunk")
+    earlier = seq.rowsBetween(W.unboundedPreceding, -1)
+    later = seq.rowsBetween(1, W.unboundedFollowing)
+    whole = seq.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    summary = (
+        base.groupBy(*keys)
+        .agg(F.min(pos).alias("_lo"), F.max(pos).alias("_hi"),
+             F.min_by("_key", pos).alias("_fk"), F.max_by("_key", pos).alias("_lk"),
+             F.min("_step").alias("_s1"), F.max("_step").alias("_s2"),
+             *[F.sum(f"_t{i}").alias(f"_t{i}") for i in range(len(totals))])
+        .withColumn("_goes_on", F.coalesce(F.lag("_lk").over(seq) == F.col("_fk"), F.lit(False)))
+        .withColumn("_entry", F.when(~F.col("_goes_on"), F.col("_lo")))
+    )
+    carry = summary.select(
+        *keys,
+        F.when(F.col("_goes_on"),
+               F.last(F.coalesce("_s2", "_entry"), ignorenulls=True).over(earlier))
+        .otherwise(F.col("_lo")).alias("_cs"),
+        F.coalesce(F.first(F.coalesce("_entry", "_s1"), ignorenulls=True).over(later) - 1,
+                   F.max("_hi").over(whole)).alias("_ce"),
+        *[F.sum(f"_t{i}").over(whole).alias(f"_ct{i}") for i in range(len(totals))],
+    )
+    upto = local.rowsBetween(W.unboundedPreceding, 0)
+    onward = local.rowsBetween(1, W.unboundedFollowing)
+    return base.join(carry, keys).select(
+        *df.columns,
+        F.coalesce(F.last("_step", ignorenulls=True).over(upto), F.col("_cs")).alias("island_start"),
+        F.coalesce(F.first("_step", ignorenulls=True).over(onward) - 1, F.col("_ce")).alias("island_end"),
+        *[F.col(f"_ct{i}").alias(n) for i, n in enumerate(totals)],
+    )
 
 
 # ---------------------------------------------------------------- greedy starts
@@ -302,3 +334,40 @@ def greedy_starts(
         T.StructType([*part_fields, T.StructField("_pos", T.LongType())]),
     )
     return starts.withColumnRenamed("_pos", pos)
+
+
+def neighbour_frame(
+    df: DataFrame, parts: Sequence[str], pos: str, width: int,
+    before: dict[str, Column] | None = None, after: dict[str, Column] | None = None,
+    chunk_rows: int = CHUNK,
+) -> DataFrame:
+    """Sums over the ``width`` rows before / after each row (0 at the ends).
+
+    ``pos`` must be dense. Rows within ``width`` of a chunk border are copied to the next
+    chunk, so each chunk sees its whole frame.
+    """
+    if not 1 <= width <= chunk_rows:
+        raise ValueError("width must be between 1 and the chunk size")
+    at = lambda shift: F.floor((F.col(pos) + shift) / F.lit(chunk_rows)).cast("long")
+    copies = F.array_distinct(F.array(at(0), at(-width), at(width)))
+    spread = df.withColumn("_home", at(0)).withColumn("_copy", F.explode(copies))
+    seq = W.partitionBy(*parts, "_copy").orderBy(pos)
+    for name, expr in (before or {}).items():
+        total = F.sum(expr).over(seq.rowsBetween(-width, -1))
+        spread = spread.withColumn(name, F.coalesce(total, F.lit(0)))
+    for name, expr in (after or {}).items():
+        total = F.sum(expr).over(seq.rowsBetween(1, width))
+        spread = spread.withColumn(name, F.coalesce(total, F.lit(0)))
+    return spread.filter("_home = _copy").drop("_home", "_copy")
+
+
+def group_starts(
+    df: DataFrame, parts: Sequence[str], pos: str, starts: DataFrame, name: str,
+    chunk_rows: int = CHUNK,
+) -> DataFrame:
+    """Mark every row with the position of the last start at or before it."""
+    # The scan reads its input twice; the starts are few, so they are fixed first.
+    marks = cut_lineage(starts.withColumn("_start", F.lit(True)))
+    joined = df.join(marks, [*parts, pos], "left")
+    return scan(joined, parts, pos, lasts={name: F.when(F.col("_start"), F.col(pos))},
+                chunk_rows=chunk_rows).drop("_start")
