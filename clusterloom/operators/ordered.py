@@ -11,7 +11,7 @@ summary row per chunk is combined along the sequence, and the carried value is j
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -227,61 +227,100 @@ def _next_start(x: np.ndarray, forced: np.ndarray, stride: int) -> np.ndarray:
     return np.minimum(reach, following)
 
 
-def _chunk_table(keys: list[str], stride: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def table(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos")
-        x = pdf["_x"].to_numpy(np.int64)
-        forced = pdf["_forced"].to_numpy(bool)
-        n = len(x)
-        nxt = _next_start(x, forced, stride)
-        leave = x + stride
-        for j in range(n - 2, -1, -1):
-            if nxt[j] < n:
-                leave[j] = leave[nxt[j]]
-        hits = np.flatnonzero(forced)
-        stop = int(hits[0]) if len(hits) else n
-        # Entry targets are at most x[0] + stride, so later rows cannot be an entry.
-        cut = min(stop, int(np.searchsorted(x, x[0] + stride, side="left")) + 1)
-        entry = np.unique(x[:cut], return_index=True)[1]
-        enter_x, exits = x[entry].tolist(), leave[entry].tolist()
-        if stop < n and cut == stop:
-            enter_x.append(np.iinfo(np.int64).max)
-            exits.append(int(leave[stop]))
-        row = {k: [pdf[k].iloc[0]] for k in keys}
-        row["_enter"], row["_leave"] = [enter_x], [exits]
-        return pd.DataFrame(row)
-
-    return table
-
-
-def _compose(parts: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_chunk")
-        target, targets = np.iinfo(np.int64).min, []
-        for enter, leave in zip(pdf["_enter"], pdf["_leave"]):
-            targets.append(target)
-            i = int(np.searchsorted(np.asarray(enter, np.int64), target, side="left"))
-            if i < len(enter):
-                target = int(leave[i])
-        return pdf[[*parts, "_chunk"]].assign(_target=targets)
-
-    return compose
-
-
-def _emit(keys: list[str], stride: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos")
-        x = pdf["_x"].to_numpy(np.int64)
-        forced = pdf["_forced"].to_numpy(bool)
-        nxt = _next_start(x, forced, stride)
-        hits = np.flatnonzero(forced | (x >= int(pdf["_target"].iloc[0])))
-        chosen, j = [], int(hits[0]) if len(hits) else len(x)
-        while j < len(x):
-            chosen.append(j)
-            j = int(nxt[j])
-        return pdf.iloc[chosen][[*keys[:-1], "_pos"]]
-
-    return emit
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, int, int]]:
+    """Slices of equal keys out of sorted batches; the last run waits for the next batch."""
+    held: pd.DataFrame | None = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        pdf = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        new = np.zeros(len(pdf), bool)
+        new[0] = True
+        for k in keys:
+            v = pdf[k].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        cuts = np.flatnonzero(new).tolist()
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            yield pdf, lo, hi
+        held = pdf.iloc[cuts[-1]:]
+    if held is not None:
+        yield held, 0, len(held)
+
+
+def _table_of(x: np.ndarray, forced: np.ndarray, stride: int) -> tuple[list[int], list[int]]:
+    """How a chunk maps an incoming target to the outgoing one: entry x, outgoing target."""
+    n = len(x)
+    nxt = _next_start(x, forced, stride)
+    leave = (x + stride).tolist()
+    for j, step in zip(range(n - 1, -1, -1), nxt[::-1].tolist()):
+        if step < n:
+            leave[j] = leave[step]
+    hits = np.flatnonzero(forced)
+    stop = int(hits[0]) if len(hits) else n
+    # Entry targets are at most x[0] + stride, so later rows cannot be an entry.
+    cut = min(stop, int(np.searchsorted(x, x[0] + stride, side="left")) + 1)
+    enter, first = np.unique(x[:cut], return_index=True)
+    enter_x, exits = enter.tolist(), [leave[i] for i in first.tolist()]
+    if stop < n and cut == stop:
+        enter_x.append(np.iinfo(np.int64).max)
+        exits.append(leave[stop])
+    return enter_x, exits
+
+
+def _tables(keys: list[str], stride: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        for pdf, lo, hi in _runs(batches, keys):
+            part = pdf.iloc[lo:hi]
+            x, forced = part["_x"].to_numpy(np.int64), part["_forced"].to_numpy(bool)
+            out.append((*part[keys].iloc[0].tolist(), *_table_of(x, forced, stride)))
+            if len(out) >= 1024:
+                yield pd.DataFrame(out, columns=[*keys, "_enter", "_leave"])
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=[*keys, "_enter", "_leave"])
+
+    return run
+
+
+def _chain(parts: list[str]):
+    """Carry the target from chunk to chunk; a new sequence starts without one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        target, current = 0, None
+        for pdf in batches:
+            targets = []
+            owners = zip(*[pdf[p] for p in parts]) if parts else iter([()] * len(pdf))
+            for owner, enter, leave in zip(owners, pdf["_enter"], pdf["_leave"]):
+                if owner != current:
+                    target, current = np.iinfo(np.int64).min, owner
+                targets.append(target)
+                i = int(np.searchsorted(np.asarray(enter, np.int64), target, side="left"))
+                if i < len(enter):
+                    target = int(leave[i])
+            yield pdf[[*parts, "_chunk"]].assign(_target=targets)
+
+    return run
+
+
+def _emit(keys: list[str], stride: int):
+    """Walk the sorted rows once and keep the starts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        goal, current = 0, None
+        for pdf in batches:
+            chosen = []
+            owners = zip(*[pdf[k] for k in keys])
+            rows = zip(owners, pdf["_x"].tolist(), pdf["_forced"].tolist(), pdf["_target"].tolist())
+            for i, (owner, x, forced, target) in enumerate(rows):
+                if owner != current:
+                    goal, current = target, owner
+                if forced or x >= goal:
+                    chosen.append(i)
+                    goal = x + stride
+            yield pdf.iloc[chosen][[*keys[:-1], "_pos"]]
+
+    return run
 
 
 def greedy_starts(
@@ -319,17 +358,18 @@ def greedy_starts(
     part_fields = [fields[p] for p in parts]
     chunk_field = fields["_chunk"]
     longs = T.ArrayType(T.LongType())
-    tables = rows.groupBy(*keys).applyInPandas(
-        _chunk_table(keys, stride),
+    together = lambda df, by, then: df.repartition(*by).sortWithinPartitions(*by, then)
+    tables = together(rows, keys, "_pos").mapInPandas(
+        _tables(keys, stride),
         T.StructType([*part_fields, chunk_field, T.StructField("_enter", longs),
                       T.StructField("_leave", longs)]),
     )
-    grouped = tables.groupBy(*parts) if parts else tables.groupBy(F.lit(0).alias("_all"))
-    targets = grouped.applyInPandas(
-        _compose(parts),
+    sequence = [F.col(p) for p in parts] or [F.lit(0)]
+    targets = tables.repartition(*sequence).sortWithinPartitions(*parts, "_chunk").mapInPandas(
+        _chain(parts),
         T.StructType([*part_fields, chunk_field, T.StructField("_target", T.LongType())]),
     )
-    starts = rows.join(targets, keys).groupBy(*keys).applyInPandas(
+    starts = together(rows.join(targets, keys), keys, "_pos").mapInPandas(
         _emit(keys, stride),
         T.StructType([*part_fields, T.StructField("_pos", T.LongType())]),
     )
