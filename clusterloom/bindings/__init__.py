@@ -27,4 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_all() -> None:
-    from clusterloom.bindings import evaluation, features, ordering, proteins, scalars  # noqa: F401
+    from clusterloom.bindings import (  # noqa: F401
+        corpus, evaluation, features, ordering, policy, proteins, scalars,
+    )

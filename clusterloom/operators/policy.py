@@ -121,7 +121,8 @@ def gene_policy(gene_domains: DataFrame, q: DataFrame) -> DataFrame:
             F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "domain"))),
                                      lambda e: e["domain"]), ", ").alias("domains"),
         )
-        .withColumn("action", greedy_action(F.col("keep_reward"), F.col("skip_reward")))
+        # Sums arrive in any order: ties are decided on rounded values.
+        .withColumn("action", greedy_action(F.round("keep_reward", 9), F.round("skip_reward", 9)))
     )
 
 
