@@ -12,6 +12,7 @@ from clusterloom.operators import match as mt
 from clusterloom.operators import merge as mg
 from clusterloom.operators import similarity as sim
 from clusterloom.operators.ordered import index_rows
+from clusterloom.session import cut_lineage
 
 # Inputs --------------------------------------------------------------------------------
 
@@ -141,8 +142,8 @@ credit AS (SELECT cluster_id, sum(pident) / 100 AS credit FROM (
 
 
 def _matched(spark, sf):
-    preds = predictions(spark, sf)
-    return preds, ev.match_gold(gold_with_absent(spark, sf), preds)
+    preds = cut_lineage(predictions(spark, sf))
+    return preds, cut_lineage(ev.match_gold(gold_with_absent(spark, sf), preds))
 
 
 # Folding and matching ------------------------------------------------------------------

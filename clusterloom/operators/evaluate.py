@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from clusterloom.functions.scalar import cluster_display_id
 from clusterloom.operators.ordered import index_rows, islands
+from clusterloom.session import cut_lineage
 
 NOT_FOUND = "not found"
 
@@ -218,7 +219,8 @@ def best_original(
     target = processed.select("pos", F.slice("genes", 1, take).alias("_t"))
     first = lambda c: F.element_at(c, 1)
     starts = originals.groupBy(first("genes").alias("_g")).agg(F.min("pos").alias("original_pos"))
-    by_start = target.select("pos", "_t", first("_t").alias("_g")).join(starts, "_g", "left").drop("_g")
+    by_start = cut_lineage(
+        target.select("pos", "_t", first("_t").alias("_g")).join(starts, "_g", "left").drop("_g"))
     rest = by_start.filter("original_pos IS NULL").select(
         "pos", F.explode(F.array_distinct("_t")).alias("gene"))
     pool = originals.select(F.col("pos").alias("_o"), F.explode(F.array_distinct("genes")).alias("gene"))
@@ -239,6 +241,8 @@ def overestimation(
 
     ``pos, cluster, n_original, n_processed, over_original, over_merged, over_total``.
     """
+    # Both inputs are used several times.
+    processed, originals = cut_lineage(processed), cut_lineage(originals)
     origin = best_original(processed, originals, successive).join(
         originals.select(F.col("pos").alias("original_pos"), F.col("genes").alias("_pre")),
         "original_pos", "left")

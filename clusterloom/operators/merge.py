@@ -177,7 +177,7 @@ def filter_and_split(
     ``genes`` are the flagged genes of positive clusters (``cluster…, idx, gene, flag``). A
     fragment shorter than ``min_fragment`` joins the next one; a short last one is dropped.
     """
-    rows = split_runs(genes, cluster, min_run)
+    rows = cut_lineage(split_runs(genes, cluster, min_run))
     cut = F.col("in_split") if do_split else F.lit(False)
     gone = cut | (F.col("flag") if do_filter else F.lit(False))
     rows = rows.select(

@@ -54,21 +54,24 @@ def q_iteration(
     the lineage is cut.
     """
     total = moves.groupBy("state").agg(F.sum("n").alias("_total"))
-    share = cut_lineage(
-        moves.join(total, "state").select(
-            "state", "next_state", (F.col("n") / F.col("_total")).alias("_p"))
-    )
-    start = rewards.select(
+    share = moves.join(total, "state").select(
+        "state", "next_state", (F.col("n") / F.col("_total")).alias("_p"))
+    # Every state also points at itself without weight, which carries its own values along:
+    # a round then reads Q once, so the plan grows by one join per round.
+    own = rewards.select(F.col("domain").alias("state"), F.col("domain").alias("next_state"),
+                         F.lit(None).cast("double").alias("_p"))
+    edges = cut_lineage(share.unionByName(own))
+    q = cut_lineage(rewards.select(
         F.col("domain").alias("state"), "r_keep", "r_skip",
-        F.lit(0.0).alias("q_keep"), F.lit(0.0).alias("q_skip"))
-    q = cut_lineage(start)
+        F.lit(0.0).alias("q_keep"), F.lit(0.0).alias("q_skip")))
+    values = ("r_keep", "r_skip", "q_keep", "q_skip")
     for i in range(1, iterations + 1):
-        best = q.select(
-            F.col("state").alias("next_state"), F.greatest("q_keep", "q_skip").alias("_best"))
-        ahead = (
-            share.join(best, "next_state")
+        carried = [F.max(F.when(F.col("_p").isNull(), F.col(c))).alias(c) for c in values]
+        seen = (
+            edges.join(q.withColumnRenamed("state", "next_state"), "next_state")
             .groupBy("state")
-            .agg(F.sum(F.col("_p") * F.col("_best")).alias("_ahead"))
+            .agg(F.sum(F.col("_p") * F.greatest("q_keep", "q_skip")).alias("_ahead"), *carried)
+            .filter(F.col("r_keep").isNotNull())
         )
 
         def updated(action: str) -> Column:
@@ -78,9 +81,8 @@ def q_iteration(
                 F.col("_ahead").isNull(), F.col(f"q_{action}")
             ).otherwise((1 - alpha) * F.col(f"q_{action}") + alpha * target)
 
-        q = q.join(ahead, "state", "left").select(
-            "state", "r_keep", "r_skip", updated("keep").alias("q_keep"),
-            updated("skip").alias("q_skip"))
+        q = seen.select("state", "r_keep", "r_skip", updated("keep").alias("q_keep"),
+                        updated("skip").alias("q_skip"))
         if i % checkpoint_every == 0 or i == iterations:
             q = cut_lineage(q)
     return q

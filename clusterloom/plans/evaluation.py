@@ -11,6 +11,7 @@ from clusterloom.operators import evaluate as ev
 from clusterloom.operators import merge as mg
 from clusterloom.operators import policy as pl
 from clusterloom.operators.ordered import index_rows
+from clusterloom.session import cut_lineage
 
 
 def merge_stage(
@@ -87,7 +88,9 @@ def evaluate(
     ``original`` and ``processed`` are predictions with a global ``pos`` before and after the
     merge and filter stages.
     """
-    matched = ev.match_gold(gold, processed, threshold)
+    # Predictions and matches feed every table below.
+    original, processed = cut_lineage(original), cut_lineage(processed)
+    matched = cut_lineage(ev.match_gold(gold, processed, threshold))
     represented = ev.matched_clusters(matched)
     credit = None
     if pairs is not None:
