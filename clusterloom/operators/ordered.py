@@ -63,8 +63,8 @@ def index_rows(
     )
 
 
-def chunk_of(pos: str, chunk_rows: int = CHUNK) -> Column:
-    return F.floor(F.col(pos) / F.lit(chunk_rows)).cast("long")
+def chunk_of(pos: str, chunk_rows: int | None = None) -> Column:
+    return F.floor(F.col(pos) / F.lit(chunk_rows or CHUNK)).cast("long")
 
 
 def scan(
@@ -78,7 +78,7 @@ def scan(
     prevs: dict[str, Column] | None = None,
     nexts: dict[str, Column] | None = None,
     totals: dict[str, Column] | None = None,
-    chunk_rows: int = CHUNK,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Add running values along each sequence.
 
@@ -164,7 +164,7 @@ def scan(
 
 def islands(
     df: DataFrame, parts: Sequence[str], pos: str, key: Column,
-    totals: dict[str, Column] | None = None, chunk_rows: int = CHUNK,
+    totals: dict[str, Column] | None = None, chunk_rows: int | None = None,
 ) -> DataFrame:
     """Maximal runs of equal ``key``: adds ``island_start``, ``island_end`` (positions).
 
@@ -331,7 +331,7 @@ def greedy_starts(
     stride: int,
     eligible: Column | None = None,
     forced: Column | None = None,
-    chunk_rows: int = CHUNK,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Greedy selection of group starts along each sequence.
 
@@ -379,13 +379,14 @@ def greedy_starts(
 def neighbour_frame(
     df: DataFrame, parts: Sequence[str], pos: str, width: int,
     before: dict[str, Column] | None = None, after: dict[str, Column] | None = None,
-    chunk_rows: int = CHUNK,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Sums over the ``width`` rows before / after each row (0 at the ends).
 
     ``pos`` must be dense. Rows within ``width`` of a chunk border are copied to the next
     chunk, so each chunk sees its whole frame.
     """
+    chunk_rows = chunk_rows or CHUNK
     if not 1 <= width <= chunk_rows:
         raise ValueError("width must be between 1 and the chunk size")
     at = lambda shift: F.floor((F.col(pos) + shift) / F.lit(chunk_rows)).cast("long")
@@ -403,7 +404,7 @@ def neighbour_frame(
 
 def group_starts(
     df: DataFrame, parts: Sequence[str], pos: str, starts: DataFrame, name: str,
-    chunk_rows: int = CHUNK,
+    chunk_rows: int | None = None,
 ) -> DataFrame:
     """Mark every row with the position of the last start at or before it."""
     # The scan reads its input twice; the starts are few, so they are fixed first.
