@@ -121,7 +121,8 @@ WITH {POLICY}
 SELECT gene, round(keep_reward, 5) AS keep_reward, round(skip_reward, 5) AS skip_reward, n_penalties, domains,
        CASE WHEN round(keep_reward, 9) >= round(skip_reward, 9) THEN 'keep' ELSE 'skip' END AS action FROM gp""")
 def gene_policy_report(spark, sf):
-    out = pl.gene_policy(gene_domains(spark, sf), known_values(spark, sf))
+    domains = gene_domains(spark, sf)
+    out = pl.domain_report(pl.gene_policy(domains, known_values(spark, sf)), domains)
     return out.withColumns({c: F.round(c, 5) for c in ("keep_reward", "skip_reward")})
 
 

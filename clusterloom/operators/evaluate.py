@@ -186,15 +186,18 @@ def gold_regions(gold: DataFrame, max_span: int = 100) -> DataFrame:
     else the members only.
     """
     number = lambda c: F.regexp_extract(c, r"_(\d+)", 1).try_cast("long")
-    folded = fold_clusters(gold).select(
-        "cluster_id", "genes", F.split_part(F.element_at("genes", 1), F.lit("_"), F.lit(1)).alias("_org"),
-        number(F.element_at("genes", 1)).alias("_lo"), number(F.element_at("genes", -1)).alias("_hi"))
-    compact = F.col("_hi") - F.col("_lo") + 1 <= max_span
+    bounds = gold.groupBy("cluster_id").agg(F.min("gene").alias("_first"), F.max("gene").alias("_last")).select(
+        "cluster_id", F.split_part("_first", F.lit("_"), F.lit(1)).alias("_org"),
+        number("_first").alias("_lo"), number("_last").alias("_hi"))
+    compact = F.coalesce(F.col("_hi") - F.col("_lo") + 1 <= max_span, F.lit(False))
     region = F.transform(
         F.sequence("_lo", F.greatest("_lo", "_hi")),
         lambda i: F.concat(F.col("_org"), F.lit("_"), F.lpad(i.cast("string"), 5, "0")))
-    genes = F.when(compact, region).otherwise(F.col("genes"))
-    return folded.select(F.explode(genes).alias("gene"), "cluster_id").distinct()
+    filled = bounds.filter(compact).select(F.explode(region).alias("gene"), "cluster_id")
+    # Spread clusters keep their members, which stay rows.
+    members = gold.select("gene", "cluster_id").join(
+        bounds.filter(~compact).select("cluster_id"), "cluster_id", "left_semi").select("gene", "cluster_id")
+    return filled.unionByName(members).distinct()
 
 
 def top_gold_matches(predictions: DataFrame, regions: DataFrame, top: int = 2) -> DataFrame:

@@ -108,36 +108,40 @@ def domain_choices(gene_domains: DataFrame, q: DataFrame) -> DataFrame:
 
 
 def gene_policy(gene_domains: DataFrame, q: DataFrame) -> DataFrame:
-    """One row per gene with domains: ``gene, keep_reward, skip_reward, action, n_penalties, domains``.
+    """One row per gene with domains: ``gene, keep_reward, skip_reward, action, n_penalties``.
 
-    The decision depends on the gene alone, so it is taken once per gene and joined to the
-    clusters afterwards. ``gene_domains`` rows are ``gene, pos, domain``.
+    The decision depends on the gene alone, so it is taken once per gene (sums only, combined
+    before the shuffle) and joined to the clusters afterwards. ``gene_domains`` rows are
+    ``gene, pos, domain``.
     """
-    chosen = domain_choices(gene_domains, q)
+    part = lambda action: F.sum(
+        F.when(F.col("action") == action, F.col("reward")).otherwise(0.0)).alias(f"{action}_reward")
     return (
-        chosen.groupBy("gene")
-        .agg(
-            F.sum(F.when(F.col("action") == "keep", F.col("reward")).otherwise(0.0)).alias("keep_reward"),
-            F.sum(F.when(F.col("action") == "skip", F.col("reward")).otherwise(0.0)).alias("skip_reward"),
-            F.count_if(F.col("reward") < 0).alias("n_penalties"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "domain"))),
-                                     lambda e: e["domain"]), ", ").alias("domains"),
-        )
+        domain_choices(gene_domains, q)
+        .groupBy("gene")
+        .agg(part("keep"), part("skip"), F.count_if(F.col("reward") < 0).alias("n_penalties"))
         # Sums arrive in any order: ties are decided on rounded values.
         .withColumn("action", greedy_action(F.round("keep_reward", 9), F.round("skip_reward", 9)))
     )
 
 
+def domain_report(policy: DataFrame, gene_domains: DataFrame) -> DataFrame:
+    """Gene, action and its domains as one text."""
+    named = gene_domains.groupBy("gene").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "domain"))),
+                                 lambda e: e["domain"]), ", ").alias("domains"))
+    return policy.join(named, "gene")
+
+
 def apply_policy(genes: DataFrame, policy: DataFrame, undecided: bool = False) -> DataFrame:
     """Action of every gene of every cluster.
 
     A gene without domains is skipped, or ``undecided`` when a later rule will settle it.
     """
     fallback = "undecided" if undecided else "skip"
-    return genes.join(policy.select("gene", "action", "n_penalties", "domains"), "gene", "left").withColumns(
+    return genes.join(policy.select("gene", "action", "n_penalties"), "gene", "left").withColumns(
         {"action": F.coalesce("action", F.lit(fallback)),
-         "n_penalties": F.coalesce("n_penalties", F.lit(0)),
-         "domains": F.coalesce("domains", F.lit("-"))})
+         "n_penalties": F.coalesce("n_penalties", F.lit(0))})
 
 
 def settle_undecided(decisions: DataFrame, cluster: Sequence[str], keep_percent: float = 50.0) -> DataFrame:

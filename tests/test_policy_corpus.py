@@ -52,7 +52,7 @@ def test_policy_application(spark):
         F.col("domain").alias("state"), "r_keep", "r_skip", F.col("r_keep").alias("q_keep"), F.col("r_skip").alias("q_skip"))
     domains = spark.createDataFrame(
         [("g1", 0, "A"), ("g1", 1, "C"), ("g2", 0, "B"), ("g3", 0, "new")], "gene string, pos int, domain string")
-    policy = {r["gene"]: r for r in pl.gene_policy(domains, q).collect()}
+    policy = {r["gene"]: r for r in pl.domain_report(pl.gene_policy(domains, q), domains).collect()}
     assert {g: r["action"] for g, r in policy.items()} == {"g1": "keep", "g2": "skip", "g3": "keep"}
     assert policy["g1"]["domains"] == "A, C" and policy["g3"]["keep_reward"] == 0
     genes = spark.createDataFrame([(1, i, g) for i, g in enumerate(["g1", "g2", "g3", "g4"])], "c int, idx long, gene string")
