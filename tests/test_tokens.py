@@ -73,13 +73,13 @@ def test_dispatch_needs_properties(spark):
 
 
 def test_scalars(spark):
-    df = spark.createDataFrame([("/data/run/BGC0001.region001.gbk", ">NRRL3_00129.1", ">a|b.1")], "p string, g string, h string")
+    df = spark.createDataFrame([("/data/run/BGC0001.region001.gbk", ">ORG1_00129.1", ">a|b.1")], "p string, g string, h string")
     r = df.select(
-        sc.label_from_name("p" and F.col("p")).alias("label"), sc.base_name(F.col("p")).alias("base"),
+        sc.label_from_name(F.col("p")).alias("label"), sc.base_name(F.col("p")).alias("base"),
         sc.file_stem(F.col("p")).alias("stem"), sc.extension(F.col("p")).alias("ext"),
         sc.species_from_path(F.col("p")).alias("species"), sc.normalize_gene_id(F.col("g")).alias("g"),
         sc.normalize_gene_id(F.col("h")).alias("h")).first()
-    assert tuple(r) == (1, "BGC0001.region001.gbk", "BGC0001", ".gbk", "run", "NRRL3_00129", "a|b.1")
+    assert tuple(r) == (1, "BGC0001.region001.gbk", "BGC0001", ".gbk", "run", "ORG1_00129", "a|b.1")
 
 
 def test_padding(spark):
