@@ -34,3 +34,23 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.decode(encoded, path).select(
         "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+#: Host and path rules of the URL query.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+@query("op5_url_vocabulary")
+def op5_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clusterloom.llm import url_vocabulary
+
+    return url_vocabulary.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op9_bounded_ring")
+def op9_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clusterloom.llm import bounded_ring
+
+    return bounded_ring.assign(read(spark, sf_dir, "documents"), 8).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
