@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterloom.llm.common import read
+from clusterloom.llm.common import read, unsigned_crc32
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,3 +54,18 @@ def op9_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounded_ring.assign(read(spark, sf_dir, "documents"), 8).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+def in_training(modulus: int, held_out: int):
+    """Whether a row's id puts it in the training part; a null id does not."""
+    return F.coalesce(unsigned_crc32(F.col("doc_id")) % modulus != held_out, F.lit(False))
+
+
+@query("op3_crf_language")
+def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clusterloom.llm import crf_language
+
+    docs = read(spark, sf_dir, "documents")
+    model = crf_language.train(docs, in_training(3, 1))
+    return crf_language.predict(docs, model).select(
+        "doc_id", (unsigned_crc32(F.col("doc_id")) % 3 == 1).alias("held_out"), "lang_pred", "score")
