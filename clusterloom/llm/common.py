@@ -78,3 +78,10 @@ def stage_folder(spark: SparkSession) -> str:
 
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage is cut, size is known."""
+    path = stage_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -69,3 +69,10 @@ def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = crf_language.train(docs, in_training(3, 1))
     return crf_language.predict(docs, model).select(
         "doc_id", (unsigned_crc32(F.col("doc_id")) % 3 == 1).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_template_decontamination")
+def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clusterloom.llm import template_decontamination
+
+    return template_decontamination.flag(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

@@ -130,3 +130,26 @@ def word_slices(column: pa.Array, slice_bytes: int = SLICE_BYTES) -> Iterator[tu
     for first, last, data, offsets in text_slices(column, slice_bytes):
         s = split(first, last, lower[data], offsets, gap)
         yield s, hash_words(s)
+
+
+#: Odd multipliers, one per place in a window.
+_PLACES = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
+
+
+def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` word hashes from each position on (``len(h) - width + 1`` of them)."""
+    n = max(0, len(h) - width + 1)
+    total = np.full(n, width, np.uint64)
+    for i in range(width):
+        total += h[i:i + n] * _PLACES[i]
+    return mix(total)
+
+
+def windows_inside(word_offsets: np.ndarray, width: int) -> np.ndarray:
+    """Positions whose window of ``width`` words lies within one row."""
+    n = int(word_offsets[-1])
+    fits = np.ones(max(0, n - width + 1), bool)
+    for back in range(1, width):
+        at = word_offsets[1:] - back
+        fits[at[(at >= 0) & (at < len(fits)) & (at >= word_offsets[:-1])]] = False
+    return np.flatnonzero(fits)
