@@ -76,3 +76,10 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     from clusterloom.llm import template_decontamination
 
     return template_decontamination.flag(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op8_ngram_join")
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clusterloom.llm import ngram_join
+
+    return ngram_join.cluster(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
