@@ -83,3 +83,12 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clusterloom.llm import ngram_join
 
     return ngram_join.cluster(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op7_column_suffixes")
+def op7_column_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clusterloom.llm import column_suffixes
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return column_suffixes.remove(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
