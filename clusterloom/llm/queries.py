@@ -92,3 +92,17 @@ def op7_column_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return column_suffixes.remove(docs).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_subspace_join")
+def op4_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clusterloom.llm import subspace_join
+
+    return subspace_join.cluster(read(spark, sf_dir, "embeddings"))
+
+
+@query("op2_perspective_chat")
+def op2_perspective_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clusterloom.llm import perspective_chat
+
+    return perspective_chat.rotate(read(spark, sf_dir, "conversations"))
