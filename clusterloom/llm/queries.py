@@ -106,3 +106,13 @@ def op2_perspective_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clusterloom.llm import perspective_chat
 
     return perspective_chat.rotate(read(spark, sf_dir, "conversations"))
+
+
+@query("op6_gated_lm")
+def op6_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clusterloom.llm import gated_lm
+
+    scored, n = gated_lm.score_documents(read(spark, sf_dir, "documents"), in_training(7, 2))
+    return scored.select(
+        "doc_id", (unsigned_crc32(F.col("doc_id")) % 7 == 2).alias("held_out"), "n_tokens", "n_known",
+        F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
