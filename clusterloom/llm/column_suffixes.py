@@ -375,3 +375,26 @@ def remove(docs: DataFrame, *, length: int = LENGTH, limit: int = LIMIT) -> Data
                 [*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
     return rows.mapInArrow(run, schema + ", kept binary, n_bytes long, n_removed long, n_spans long")
+
+
+def remove_text(docs: DataFrame, *, length: int = LENGTH, limit: int = LIMIT) -> DataFrame:
+    """As ``remove``, with ``text`` itself cut: a null text stays null, and what is left of a
+    character whose other bytes went is dropped too."""
+    cut = remove(docs, length=length, limit=limit)
+    whole = F.when(F.col("n_removed") == 0, F.col("text"))
+    order = [c for c in cut.columns if c != "kept"]
+    names = [*order, "kept"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.select(*order).schema)
+    at = order.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t if t is not None else None if k is None else k.decode("utf-8", "ignore")
+                     for t, k in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, order)
+
+    # Only texts that were cut are decoded; the others keep their value.
+    rows = cut.withColumn("kept", F.when(F.col("n_removed") > 0, F.col("kept"))).withColumn("text", whole)
+    return rows.select(*names).mapInArrow(run, schema)

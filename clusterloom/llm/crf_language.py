@@ -288,13 +288,23 @@ def sample(docs: DataFrame, train: Column, *, rows: int, windows: int, window_wo
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``(doc_id, text)`` to ``(doc_id, lang_pred, score, n_words)``."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    return judge(docs.select("doc_id", "text"), model).select(
+        "doc_id", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_words").alias("n_words"))
+
+
+def judge(docs: DataFrame, model: Model | None) -> DataFrame:
+    """All rows and columns with ``lang_pred``, ``lang_score`` and ``lang_words``, which replace
+    columns of these names."""
+    added = ("lang_pred", "lang_score", "lang_words")
+    names = [c for c in docs.columns if c not in added]
+    at = names.index("text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             best, score, size = np.full(n, -1), np.zeros(n), np.zeros(n, np.int64)
-            for s in letter_words(batch.column(1)) if model is not None else ():
+            for s in letter_words(batch.column(at)) if model is not None else ():
                 p = marginals(emissions(features(s), model), s.word_offsets, model.transition)
                 sums = np.vstack([np.zeros(len(model.labels)), np.cumsum(p, axis=0)])
                 m = np.diff(s.word_offsets)
@@ -305,15 +315,14 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 size[rows] = m
                 # Bytes above 127 are taken for letters; a text that has no others may hold none.
                 for i in np.flatnonzero((m > 0) & (m < 50)):
-                    text = batch.column(1)[s.first + i].as_py()
+                    text = batch.column(at)[s.first + i].as_py()
                     if not any(c.isalpha() for c in text):
                         best[s.first + i], score[s.first + i] = -1, 0.0
-            names = [model.labels[b] if b >= 0 else UND for b in best] if model is not None else [UND] * n
+            found = [model.labels[b] if b >= 0 else UND for b in best] if model is not None else [UND] * n
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(np.where(best >= 0, score, 0.0)), pa.array(size)],
-                ["doc_id", "lang_pred", "score", "n_words"])
+                [*batch.columns, pa.array(found, pa.string()), pa.array(np.where(best >= 0, score, 0.0)), pa.array(size)], [*names, *added])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, n_words long")
+    return docs.select(*names).mapInArrow(run, schema + ", lang_pred string, lang_score double, lang_words long")
 
 
 def train(

@@ -5,18 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from clusterloom.llm.common import read
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: A text whose most likely language has less than this mean probability is in none of them.
+MIN_LANGUAGE_SCORE = 0.3
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language by a conditional random field; texts without a recognised language go."""
+    from clusterloom.llm import crf_language
+
+    model = crf_language.train(docs, F.col("lang").isNotNull())
+    judged = crf_language.judge(docs, model)
+    kept = judged.filter((F.col("lang_pred") != crf_language.UND) & (F.col("lang_score") >= MIN_LANGUAGE_SCORE))
+    return kept.select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: of each group of similar documents the one of the smallest id stays."""
+    from clusterloom.llm import ngram_join
+
+    return ngram_join.keep_one(docs)
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Suffix sorting: bytes of long repeated strings go; half characters at the cuts go with them."""
+    from clusterloom.llm import column_suffixes
+
+    cut = column_suffixes.remove_text(docs)
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(
+        F.col("n_chars"))).select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Template canonicalisation: documents that hold a benchmark item go."""
+    from clusterloom.llm import template_decontamination
+
+    return template_decontamination.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: ids of every text that is left, with the digest of their decoded bytes."""
     import public_tokenizers
 
-    from pyspark.sql import functions as F
-
     from clusterloom.llm import byte_bpe
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -27,6 +63,10 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", identify_language),
+    ("ngram_join", drop_near_copies),
+    ("suffix_dedup", remove_repeats),
+    ("decontamination", drop_leaks),
     ("byte_bpe", encode_tokens),
 ]
 
