@@ -293,12 +293,16 @@ def _incidence(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 
 
 def verify(nodes_a, nodes_b, percent: int, same: bool) -> list[tuple[int, int]]:
-    """Spanning links between two lists of ``(node, n, tokens, prefixes)`` (one list if ``same``)."""
+    """Spanning links between two lists of ``(node, n, tokens, prefixes)`` (one list if ``same``);
+    a fifth value names a component, within which no pair is looked at."""
     n_a, n_b = (np.array([x[1] for x in side], np.int64) for side in (nodes_a, nodes_b))
     low, high = np.minimum(n_a[:, None], n_b[None]), np.maximum(n_a[:, None], n_b[None])
     possible = 100 * low >= percent * high
     if same:
         possible &= np.triu(np.ones(possible.shape, bool), 1)
+    if nodes_a and len(nodes_a[0]) > 4:
+        part_a, part_b = (np.array([x[4] for x in side]) for side in (nodes_a, nodes_b))
+        possible &= part_a[:, None] != part_b[None]
     for k in range(len(SEEDS)):
         if not possible.any():
             return []
@@ -336,44 +340,78 @@ def links(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, block:
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = [np.array_split(np.frombuffer(x, np.int64), len(SEEDS))[0] for x in batch.column(1).to_pylist()]
+            first = [np.array_split(np.frombuffer(x, np.int64), len(SEEDS))[0] for x in batch.column(2).to_pylist()]
             if first:
-                nodes = np.repeat(batch.column(0).to_numpy(), [len(x) for x in first])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first)), pa.array(nodes)], ["token", "node"])
+                times = [len(x) for x in first]
+                n = batch.column(1).to_numpy()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(first)), pa.array(np.repeat(batch.column(0).to_numpy(), times)), pa.array(np.repeat(n, times)),
+                     pa.array(np.repeat(times / n, times))], ["token", "node", "n", "share"])
 
-    postings = table.select("node", "prefixes").mapInArrow(explode, "token long, node long")
-    # Lists of the same documents lead to the same pairs: one of them is kept.
+    postings = table.select("node", "n", "prefixes").mapInArrow(explode, "token long, node long, n long, share double")
+    # Lists of the same documents lead to the same pairs: one of them is kept. A list's hub is the
+    # document whose tokens are shared most, as an original's are.
     lists = postings.groupBy("token").agg(
-        F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")
-    ).filter("m > 1").groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token", "m")
-    blocks = F.ceil(F.col("m") / block).cast("int")
+        F.count("*").alias("m"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+        F.max(F.struct("share", "node", "n")).alias("hub")
+    ).filter("m > 1").groupBy("m", "x", "y").agg(F.min("token").alias("token"), F.first("hub").alias("hub"))
+    listed = hold(postings.select("token", "node", "n").join(
+        lists.select("token", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "token"))
+
+    # Each document against the hubs of its lists: this joins most copies, at one set a pair.
+    near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
+    stars = listed.filter(near & (F.col("node") != F.col("hub"))).select("node", "hub").distinct()
+    sized = stars.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("_k"))
+    members = stars.join(sized, "hub").withColumn("i", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
+    centres = sized.select("hub", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("i"), F.col("hub").alias("node"))
+    spokes = members.select("hub", "i", "node").unionByName(centres).join(table, "node").select(
+        F.col("hub").alias("token"), "i", (F.col("node") == F.col("hub")).cast("int").alias("j"), "node", "n", "tokens", "prefixes")
+
+    def check_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (hub, _), rows in _grouped(batches, 2):
+            sides = [[], []]
+            for r in rows:
+                sides[r["node"] == hub].append(_member(r))
+            for i in range(0, len(sides[0]), 64):
+                out = verify(sides[0][i:i + 64], sides[1], percent, False)
+                if out:
+                    yield _link_batch(out)
+
+    found = hold(spokes.repartition("token", "i").sortWithinPartitions("token", "i").mapInArrow(check_stars, "a long, b long"))
+
+    # What is left: pairs of different components in lists that hold several.
+    parts = components(found)
+    tagged = listed.select("token", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    mixed = tagged.groupBy("token").agg(F.count("*").alias("m"), F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y")
     placed = (
-        postings.join(lists, "token").withColumn("_k", blocks)
+        tagged.join(mixed.select("token", F.ceil(F.col("m") / block).cast("int").alias("_k")), "token")
         .withColumn("_own", F.pmod(F.xxhash64("node", "token"), F.col("_k")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-        .select("token", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "node")
+        .select("token", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "node", "part")
     )
-    full = placed.join(table, "node").select("token", "i", "j", "_own", "node", "n", "tokens", "prefixes")
+    full = placed.join(table, "node").select("token", "i", "j", "_own", "node", "n", "tokens", "prefixes", "part")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = []
         for (_, i, j), rows in _grouped(batches, 3):
             sides = [[], []]
             for r in rows:
-                sides[r["_own"] != i].append((r["node"], r["n"], np.frombuffer(r["tokens"], np.uint64), np.frombuffer(r["prefixes"], np.uint64)))
+                sides[r["_own"] != i].append((*_member(r), r["part"]))
             # Pairs within a block are checked with the pair of blocks that names it twice.
-            out += verify(sides[0], sides[0], percent, True) if i == j else (verify(*sides, percent, False) if all(sides) else [])
-            if len(out) > 10000:
+            out = verify(sides[0], sides[0], percent, True) if i == j else (verify(*sides, percent, False) if all(sides) else [])
+            if out:
                 yield _link_batch(out)
-                out = []
-        if out:
-            yield _link_batch(out)
 
-    def _link_batch(rows):
-        a, b = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    rest = full.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(check, "a long, b long")
+    return found.unionByName(rest)
+
+
+def _member(r: dict) -> tuple:
+    return r["node"], r["n"], np.frombuffer(r["tokens"], np.uint64), np.frombuffer(r["prefixes"], np.uint64)
+
 
-    return full.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(check, "a long, b long")
+def _link_batch(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def cluster(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, **options) -> DataFrame:
