@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from clusterloom.bindings import query, table
 from clusterloom.bindings.features import SEQS, sequences
@@ -18,7 +17,7 @@ from clusterloom.session import cut_lineage
 
 CUST = ["o_custkey"]
 txt = lambda c: F.col(c).cast("string")
-plain_gene = lambda c: F.concat(F.lit("P_"), F.lpad(txt(c), 5, "0"))
+plain_gene = lambda c: F.format_string("P_%05d", F.col(c) if isinstance(c, str) else c)
 
 
 def line_gene():
@@ -39,7 +38,8 @@ def clusters(spark, sf, gene):
 
 def globally(df):
     """One global position per prediction: customer first, then position."""
-    return df.select((F.col("o_custkey") * 1000 + F.col("pos")).alias("pos"), "genes", "score")
+    rows = df.select("o_custkey", F.col("pos").alias("_pos"), "genes", "score")
+    return index_rows(rows, [], ["o_custkey", "_pos"]).select("pos", "genes", "score")
 
 
 def predictions(spark, sf):
@@ -59,8 +59,8 @@ def gold_with_absent(spark, sf):
     return gold(spark, sf).unionByName(brands)
 
 
-LG = "'P_' || lpad(l_partkey::VARCHAR, 5, '0') || 'x' || l_suppkey"
-PG = "'P_' || lpad(l_partkey::VARCHAR, 5, '0')"
+LG = "printf('P_%05d', l_partkey) || 'x' || l_suppkey"
+PG = "printf('P_%05d', l_partkey)"
 
 
 def preds_sql(gene: str) -> str:
@@ -71,14 +71,14 @@ def preds_sql(gene: str) -> str:
   FROM (SELECT l_orderkey, list({gene} ORDER BY l_linenumber, l_partkey, l_suppkey) AS genes
         FROM lineitem GROUP BY l_orderkey)
   JOIN (SELECT o_orderkey, o_custkey, o_totalprice / 500000 AS score FROM orders) ON o_orderkey = l_orderkey),
-preds AS (SELECT o_custkey * 1000 + cpos AS pos, genes, score FROM cl)"""
+preds AS (SELECT row_number() OVER (ORDER BY o_custkey, cpos) - 1 AS pos, genes, score FROM cl)"""
 
 
 GOLD = f"""gold AS (SELECT 'S' || l_suppkey AS cluster_id, {LG} AS gene FROM lineitem WHERE l_returnflag = 'R')"""
 GOLD_ABSENT = f"""gold AS (
   SELECT 'S' || l_suppkey AS cluster_id, {LG} AS gene FROM lineitem WHERE l_returnflag = 'R'
   UNION ALL
-  SELECT p_brand, 'P_' || lpad(p_partkey::VARCHAR, 5, '0') || 'x' || p_size FROM part)"""
+  SELECT p_brand, printf('P_%05d', p_partkey) || 'x' || p_size FROM part)"""
 MATCHED = """pg AS (
   SELECT pos, score, 'Cluster' || genes[1] || '_' || genes[-1] AS name, unnest(genes) AS gene FROM preds),
 per_gene AS (SELECT gene, min(pos) AS first_pos, arg_min(name, pos) AS name,
@@ -107,24 +107,16 @@ scores AS (SELECT cluster_id, coalesce(run, 0) AS run, n_genes FROM sized LEFT J
 
 
 def similar_pairs(spark, sf):
-    """Neighbouring lines of the same part, by price, stand for similar genes."""
-    order = W.partitionBy("l_partkey").orderBy("l_extendedprice", "l_orderkey", "l_linenumber", "l_suppkey")
+    """Genes of one part on lines of one number are similar, by their quantities."""
     li = table(spark, sf, "lineitem").select(
-        "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_orderkey", "l_linenumber")
-    near = F.collect_list(F.struct(line_gene().alias("b"), F.col("l_quantity").alias("q"))).over(
-        order.rowsBetween(-8, 8))
-    rows = li.withColumn("_near", near).select(
-        line_gene().alias("a"), F.col("l_quantity").alias("_q"), F.explode("_near").alias("_n"))
-    pairs = rows.select("a", F.col("_n.b").alias("b"),
-                        (F.col("_q") + F.col("_n.q")).alias("pident"))
-    return mt.max_similarity(pairs)
-
-
-PAIRS = f"""near AS (
-  SELECT {LG} AS a, l_quantity AS q, list({LG}) OVER w AS bs, list(l_quantity) OVER w AS qs FROM lineitem
-  WINDOW w AS (PARTITION BY l_partkey ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_suppkey
-               ROWS BETWEEN 8 PRECEDING AND 8 FOLLOWING)),
-pairs AS (SELECT a, b, max(q + bq) AS pident FROM (SELECT a, q, unnest(bs) AS b, unnest(qs) AS bq FROM near) GROUP BY a, b)"""
+        "l_partkey", "l_linenumber", line_gene().alias("gene"), F.col("l_quantity").alias("q"))
+    keys = ["l_partkey", "l_linenumber"]
+    pairs = li.withColumnsRenamed({"gene": "a", "q": "_q"}).join(li.withColumnRenamed("gene", "b"), keys)
+    return mt.max_similarity(pairs.select("a", "b", (F.col("_q") + F.col("q")).alias("pident")))
+
+
+PAIRS = f"""near AS (SELECT l_partkey, l_linenumber, {LG} AS gene, l_quantity AS q FROM lineitem),
+pairs AS (SELECT x.gene AS a, y.gene AS b, max(x.q + y.q) AS pident FROM near x JOIN near y USING (l_partkey, l_linenumber) GROUP BY ALL)"""
 
 CREDIT = """found AS (SELECT DISTINCT gene FROM matched WHERE label = 1),
 missing AS (SELECT cluster_id, gene FROM matched WHERE gene NOT IN (SELECT gene FROM found)),
@@ -240,7 +232,7 @@ REGIONS = """rgold AS (
   UNION ALL SELECT p_brand, p_partkey FROM part WHERE p_size <= 3),
 spans AS (SELECT cluster_id, min(k) AS lo, max(k) AS hi FROM rgold GROUP BY cluster_id),
 regions AS (
-  SELECT DISTINCT 'P_' || lpad(k::VARCHAR, 5, '0') AS gene, cluster_id FROM (
+  SELECT DISTINCT printf('P_%05d', k) AS gene, cluster_id FROM (
     SELECT cluster_id, unnest(range(lo, hi + 1)) AS k FROM spans WHERE hi - lo + 1 <= 100
     UNION ALL SELECT cluster_id, k FROM rgold JOIN spans USING (cluster_id) WHERE hi - lo + 1 > 100))"""
 
@@ -256,11 +248,12 @@ grp AS (SELECT o_custkey, coalesce(lead, cpos) AS g, cpos, genes, score,
 folded AS (
   SELECT o_custkey, g, list(gene ORDER BY ord) AS genes FROM (
     SELECT o_custkey, g, gene, min(ord) AS ord FROM (
-      SELECT o_custkey, g, CASE WHEN members = 1 THEN i ELSE 0 END AS solo, gene, cpos * 100 + i AS ord
+      SELECT o_custkey, g, CASE WHEN members = 1 THEN i ELSE 0 END AS solo, gene, {{'c': cpos, 'i': i}} AS ord
       FROM (SELECT o_custkey, g, cpos, members, unnest(genes) AS gene, unnest(range(len(genes))) AS i FROM grp))
     GROUP BY o_custkey, g, solo, gene) GROUP BY o_custkey, g),
-post AS (SELECT f.o_custkey * 1000 + f.g AS pos, f.genes FROM folded f JOIN cl c ON c.o_custkey = f.o_custkey AND c.cpos = f.g
-         WHERE c.score >= 0.5),
+post AS (SELECT pos, genes FROM (
+  SELECT row_number() OVER (ORDER BY f.o_custkey, f.g) - 1 AS pos, f.genes, c.score
+  FROM folded f JOIN cl c ON c.o_custkey = f.o_custkey AND c.cpos = f.g) WHERE score >= 0.5),
 orig AS (SELECT pos, genes FROM preds WHERE score >= 0.5)"""
 
 BEST = """target AS (SELECT pos, CASE WHEN len(genes) > 2 THEN genes[:len(genes) // 2] ELSE genes END AS t FROM post),
@@ -318,7 +311,7 @@ def best_original_cluster(spark, sf):
 
 
 @query("best_original_by_overlap", f"""
-WITH RECURSIVE {MERGED.replace("post AS (SELECT f.o_custkey * 1000 + f.g AS pos, f.genes", "post AS (SELECT f.o_custkey * 1000 + f.g AS pos, list_concat(['none'], f.genes) AS genes")}, {BEST}
+WITH RECURSIVE {MERGED.replace("post AS (SELECT pos, genes", "post AS (SELECT pos, list_concat(['none'], genes) AS genes")}, {BEST}
 SELECT pos, original_pos FROM origin""")
 def best_original_by_overlap(spark, sf):
     """A leading gene that no original has: every cluster is settled by shared genes."""
@@ -466,7 +459,7 @@ def order_genes(spark, sf):
 
 
 LOCATED = f"""mrna AS (
-  SELECT 'P_' || lpad(p_partkey::VARCHAR, 5, '0') AS name, p_brand AS seqid, p_size * 100 AS start,
+  SELECT printf('P_%05d', p_partkey) AS name, p_brand AS seqid, p_size * 100 AS start,
          p_size * 100 + floor(p_retailprice)::BIGINT AS "end", CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand,
          (p_partkey % 3)::VARCHAR AS phase, p_partkey, p_type, p_size FROM part WHERE p_size <= 40),
 located AS (
@@ -498,7 +491,7 @@ def cluster_extents(spark, sf):
 
 @query("coloured_genes", f"""
 WITH {LOCATED}, {GOLD.replace(LG, PG)}, kinds AS (
-  SELECT 'P_' || lpad(p_partkey::VARCHAR, 5, '0') AS gene, CASE WHEN p_size > 30 THEN 'backbone' ELSE 'transporter' END AS kind
+  SELECT printf('P_%05d', p_partkey) AS gene, CASE WHEN p_size > 30 THEN 'backbone' ELSE 'transporter' END AS kind
   FROM part WHERE p_size > 20)
 SELECT cluster_id, pos, l.gene, CASE WHEN kind = 'backbone' THEN '#EE0000' WHEN kind = 'transporter' THEN '#1888f0'
        WHEN g.gene IS NOT NULL THEN '#9931f2' END AS colour

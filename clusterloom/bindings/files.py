@@ -173,13 +173,13 @@ def domain_hit_round_trip(spark, sf):
 
 
 DOMAIN_LINES = """dl AS (
-  SELECT l_orderkey AS instance_id, l_linenumber * 1000000 + l_partkey AS pos, 'PF' || l_partkey || '|dom' || l_suppkey AS line FROM lineitem)"""
+  SELECT l_orderkey AS instance_id, {'n': l_linenumber, 'p': l_partkey} AS pos, 'PF' || l_partkey || '|dom' || l_suppkey AS line FROM lineitem)"""
 
 
 def line_domains(spark, sf):
     t = lambda c: F.col(c).cast("string")
     return table(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("instance_id"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("pos"),
+        F.col("l_orderkey").alias("instance_id"), F.struct("l_linenumber", "l_partkey").alias("pos"),
         F.concat(F.lit("PF"), t("l_partkey"), F.lit("|dom"), t("l_suppkey")).alias("line"))
 
 
@@ -340,12 +340,14 @@ def reward_file(spark, sf):
 
 
 @query("orthogroup_file", """
-SELECT 'OG' || lpad(c_nationkey::VARCHAR, 3, '0') AS group_id, count(*) AS n, min(c_name) AS low FROM customer
+SELECT printf('OG%03d', c_nationkey) AS group_id, count(*) AS n, min(c_name) AS low FROM customer
 GROUP BY c_nationkey ORDER BY 1 LIMIT 10""")
 def orthogroup_file(spark, sf):
     rows = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.collect_list("c_name").alias("m"))
-    line = F.concat(F.lit("OG"), F.lpad(txt("c_nationkey"), 3, "0"), F.lit("\t"), F.array_join("m", ", "))
-    path = write_lines(rows.select(line.alias("value")), scratch(spark, "ortho"))
+    name = F.format_string("OG%03d", "c_nationkey")
+    line = F.concat(name, F.lit("\t"), F.array_join("m", ", "))
+    path = scratch(spark, "ortho")
+    rows.orderBy(name).select(line.alias("Orthogroup\tmembers")).write.mode("overwrite").csv(path, header=True, sep="\u0001", quote="", escape="")
     return rd.read_orthogroups(spark, path, 10).select(
         "group_id", F.size("members").cast("long").alias("n"), F.array_min("members").alias("low"))
 
@@ -364,23 +366,16 @@ def word_vector_file(spark, sf):
 
 @query("metrics_summary", """
 SELECT 'logit_kmers6_domains_len' || (user_id * 10) || '_overlap50_x.IDs.test.succ2.eval.metrics' AS name,
-       'kmers6+domains' AS features, 'logit' AS classifier, (user_id * 10)::VARCHAR AS length, '50' AS overlap, 'succ2' AS variant,
+       'kmers6+domains' AS features, 'logit' AS classifier, (user_id * 10)::VARCHAR AS length, '50' AS overlap, 'succ2' AS variant, '20' AS pos,
        count(*) || chr(9) || '0.5' AS metrics FROM events GROUP BY user_id""")
 def metrics_summary(spark, sf):
-    root = scratch(spark, "metrics")
+    root = scratch(spark, "metrics-pos20")
     rows = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n")).select(
         F.concat(F.lit("logit_kmers6_domains_len"), (F.col("user_id") * 10).cast("string"),
                  F.lit("_overlap50_x.IDs.test.succ2.eval.metrics")).alias("run"),
         F.concat(F.lit("Metrics\n\tP\npos\t"), txt("n"), F.lit("\t0.5")).alias("value"))
     rows.repartition("run").write.mode("overwrite").partitionBy("run").text(root)
-    # The run name is the folder here; files named by run read the same way.
-    lines = rd.read_lines(spark, root, "txt").filter(F.col("line").startswith("pos\t"))
-    from clusterloom.functions.scalar import parse_result_name
-
-    named = lines.select(F.regexp_extract("file", "run=([^/]*)/", 1).alias("name"),
-                         F.regexp_replace("line", "^pos\t", "").alias("metrics"))
-    fields = parse_result_name(F.col("name"))
-    return named.select("name", *(c.alias(n) for n, c in fields.items()), "metrics").orderBy("name")
+    return rd.summarize_metrics(spark, root)
 
 
 @query("gzip_text", f"WITH {SEQS} SELECT doc_id::VARCHAR AS seq_id, length(seq) AS n FROM seqs")
@@ -397,4 +392,4 @@ def feature_list_file(spark, sf):
 
     path = scratch(spark, "words.feat")
     wr.write_tsv(word_tokens(spark, sf).select("feature").distinct().orderBy("feature"), path, header=False)
-    return rd.read_dictionary(spark, path).filter("feature <> '' AND feature <> '\"\"'")
+    return rd.read_dictionary(spark, path)

@@ -15,11 +15,11 @@ from clusterloom.plans import evaluation as pe
 MERGE_THEN_VOTE = f"""{bo.LEADERS},
 grp AS (SELECT user_id, coalesce(lead, pos) AS pos, arg_min(score, pos) AS score FROM led GROUP BY user_id, coalesce(lead, pos)),
 members AS (
-  SELECT user_id, coalesce(lead, pos) AS pos, gene, min(pos * 10 + i) AS ord
+  SELECT user_id, coalesce(lead, pos) AS pos, gene, min({{'p': pos, 'i': i}}) AS ord
   FROM (SELECT user_id, pos, lead, unnest(genes) AS gene, unnest(range(0, 3)) AS i FROM led) GROUP BY ALL),
 seated AS (SELECT m.*, row_number() OVER (PARTITION BY user_id, pos ORDER BY ord) - 1 AS i FROM members m),
 votes AS (
-  SELECT user_id, gene, avg(CASE WHEN score >= 0.5 THEN 1.0 ELSE 0.0 END)::DOUBLE AS share, min(pos * 1000 + i) AS first
+  SELECT user_id, gene, avg(CASE WHEN score >= 0.5 THEN 1.0 ELSE 0.0 END)::DOUBLE AS share, min({{'p': pos, 'i': i}}) AS first
   FROM seated JOIN grp USING (user_id, pos) GROUP BY user_id, gene),
 lengths AS (SELECT 'g' || user_id || '_' || pos AS gene, floor(value * 10)::BIGINT AS length FROM ranked),
 placed AS (

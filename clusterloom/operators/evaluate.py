@@ -182,17 +182,16 @@ def gold_metrics(
 def gold_regions(gold: DataFrame, max_span: int = 100) -> DataFrame:
     """Genes of every gold region: ``gene, cluster_id``.
 
-    All ordinals between the first and the last gene when the span is at most ``max_span``,
-    else the members only.
+    All ordinals between the least and the greatest gene number when the span is at most
+    ``max_span``, else the members only. Numbers have five digits or more.
     """
-    number = lambda c: F.regexp_extract(c, r"_(\d+)", 1).try_cast("long")
-    bounds = gold.groupBy("cluster_id").agg(F.min("gene").alias("_first"), F.max("gene").alias("_last")).select(
-        "cluster_id", F.split_part("_first", F.lit("_"), F.lit(1)).alias("_org"),
-        number("_first").alias("_lo"), number("_last").alias("_hi"))
+    number = F.regexp_extract("gene", r"_(\d+)", 1).try_cast("long")
+    bounds = gold.groupBy("cluster_id").agg(
+        F.split_part(F.min("gene"), F.lit("_"), F.lit(1)).alias("_org"), F.min(number).alias("_lo"), F.max(number).alias("_hi"))
     compact = F.coalesce(F.col("_hi") - F.col("_lo") + 1 <= max_span, F.lit(False))
     region = F.transform(
-        F.sequence("_lo", F.greatest("_lo", "_hi")),
-        lambda i: F.concat(F.col("_org"), F.lit("_"), F.lpad(i.cast("string"), 5, "0")))
+        F.sequence("_lo", "_hi"),
+        lambda i: F.concat(F.col("_org"), F.lit("_"), F.format_string("%05d", i)))
     filled = bounds.filter(compact).select(F.explode(region).alias("gene"), "cluster_id")
     # Spread clusters keep their members, which stay rows.
     members = gold.select("gene", "cluster_id").join(

@@ -73,7 +73,7 @@ def gene_features(genes: DataFrame, mrna: DataFrame) -> DataFrame:
     ``genes`` rows are ``cluster_id, pos, gene``; ``mrna`` rows carry ``name, seqid, start, end,
     strand, phase``, one per name.
     """
-    name = F.regexp_replace("gene", r"\.1", "")
+    name = F.regexp_replace("gene", r"\.1$", "")
     return genes.withColumn("name", name).join(
         mrna.withColumn("found", F.lit(True)), "name", "left"
     ).withColumn("found", F.coalesce("found", F.lit(False)))

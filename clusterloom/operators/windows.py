@@ -26,20 +26,20 @@ def sequence_windows(
     """Full windows over the id-sorted concatenation of each part.
 
     ``parts…, window, ids, window_id, content``: ids of every sequence that reaches into the
-    window, in order, once. Offsets come from a chunked running sum over (id, length) rows
+    window, in order, once. Offsets come from a chunked running sum over lengths
     only; the text is cut into bounded pieces and moved once, keyed by (part, window). A window
     collects at most ``length`` characters.
     """
     step = window_step(length, overlap_percent)
-    keys = [*parts, id_col]
-    sized = df.select(*keys, *[c for c in (order or []) if isinstance(c, str) and c not in keys],
-                      F.length(seq_col).cast("long").alias("_len"))
+    # An id may repeat, so sequences are numbered once and joined by their number.
+    numbered = index_rows(df, parts, [*(order or [id_col]), F.xxhash64(seq_col)], "_at").select(*parts, "_at", id_col, seq_col)
+    keys = [*parts, "_at"]
     placed = scan(
-        index_rows(sized, parts, order or [id_col], "_at"), parts, "_at",
+        numbered.select(*keys, F.length(seq_col).cast("long").alias("_len")), parts, "_at",
         sums={"_end": F.col("_len")}, totals={"_total": F.col("_len")},
     ).select(*keys, (F.col("_end") - F.col("_len")).alias("_off"), "_total")
     pieces = explode_blocks(
-        df.select(*keys, F.col(seq_col)).join(placed, keys).filter(F.col("_total") >= length),
+        numbered.join(placed, keys).filter(F.col("_total") >= length),
         seq_col, BLOCK,
     ).withColumn("_from", F.col("_off") + F.col("block_start"))
     low = F.greatest(F.ceil((F.col("_from") - length + 1) / step), F.lit(0)).cast("long")

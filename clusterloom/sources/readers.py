@@ -128,21 +128,24 @@ def genbank_translations(records: DataFrame) -> DataFrame:
 
 
 def read_gff(spark: SparkSession, path: str, ext: str | None = None) -> DataFrame:
-    rows = _reader(spark, ext).schema(GFF_SCHEMA).csv(path, sep="\t", comment="#")
-    return rows.withColumn("attributes", F.str_to_map("attributes", F.lit(";"), F.lit("=")))
+    """Feature rows; of a repeated attribute key the first value stands."""
+    rows = _reader(spark, ext).schema(GFF_SCHEMA).csv(path, sep="\t", comment="#", quote="")
+    pairs = F.transform(F.split("attributes", ";"), lambda a: F.struct(
+        F.split_part(a, F.lit("="), F.lit(1)).alias("key"), F.get(F.split(a, "=", 2), F.lit(1)).alias("value")))
+    keys = F.transform(pairs, lambda p: p["key"])
+    first = F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
+    return rows.withColumn("attributes", F.map_from_entries(first))
 
 
 def mrna_features(gff: DataFrame) -> DataFrame:
     """mRNA features keyed by name (version ``.1`` removed), one row per name."""
-    name = F.replace(F.col("attributes")["Name"], F.lit(".1"), F.lit(""))
-    return gff.filter("type = 'mRNA'").select(
-        name.alias("name"), "seqid", "start", "end", "strand", "phase"
-    ).groupBy("name").agg(*[F.min_by(c, F.struct("seqid", "start")).alias(c)
-                            for c in ("seqid", "start", "end", "strand", "phase")])
+    name = F.regexp_replace(F.col("attributes")["Name"], r"\.1$", "")
+    return gff.filter("type = 'mRNA'").groupBy(name.alias("name")).agg(
+        F.min(F.struct("seqid", "start", "end", "strand", "phase")).alias("_f")).select("name", "_f.*")
 
 
 def read_blast(spark: SparkSession, path: str, ext: str | None = None) -> DataFrame:
-    return _reader(spark, ext).schema(BLAST_SCHEMA).csv(path, sep="\t")
+    return _reader(spark, ext).schema(BLAST_SCHEMA).csv(path, sep="\t", quote="")
 
 
 def read_domain_hits(spark: SparkSession, path: str, ext: str | None = None) -> DataFrame:
@@ -206,7 +209,7 @@ def read_dataset(
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", header=True, schema="cluster_id string, gene string")
+    return spark.read.csv(path, sep="\t", header=True, quote="", schema="cluster_id string, gene string")
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -230,13 +233,13 @@ def read_scores(spark: SparkSession, path: str, threshold: float = 0.5) -> DataF
 
 def read_similarity(spark: SparkSession, path: str) -> DataFrame:
     """``a, b, pident``: the highest identity per pair."""
-    rows = spark.read.csv(path, sep="\t", header=True, schema="id string, pident double, bitscore double, qcovs double")
+    rows = spark.read.csv(path, sep="\t", header=True, quote="", schema="id string, pident double, bitscore double, qcovs double")
     return rows.groupBy(F.split_part("id", F.lit("|"), F.lit(1)).alias("a"),
                         F.split_part("id", F.lit("|"), F.lit(2)).alias("b")).agg(F.max("pident").alias("pident"))
 
 
 def read_ontology_mapping(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", header=True, schema="entry string, goids string")
+    return spark.read.csv(path, sep="\t", header=True, quote="", schema="entry string, goids string")
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
@@ -248,7 +251,7 @@ def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_gene_lengths(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.csv(path, sep="\t", schema="gene string, length long")
+    rows = spark.read.csv(path, sep="\t", quote="", schema="gene string, length long")
     return rows.select(scalar.strip_version(F.col("gene")).alias("gene"), "length")
 
 
@@ -257,12 +260,12 @@ def read_list(spark: SparkSession, path: str, name: str = "domain") -> DataFrame
 
 
 def read_annotation(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, sep="\t", schema="domain string, type string")
+    return spark.read.csv(path, sep="\t", quote="", schema="domain string, type string")
 
 
 def read_target_clusters(spark: SparkSession, path: str) -> DataFrame:
     """Key and value of a two-column list; spaces become underscores."""
-    rows = spark.read.csv(path, sep="\t", schema="key string, value string")
+    rows = spark.read.csv(path, sep="\t", quote="", schema="key string, value string")
     return rows.select(*[F.translate(c, " ", "_").alias(c) for c in ("key", "value")])
 
 
@@ -280,29 +283,52 @@ def long_rewards(rewards: DataFrame) -> DataFrame:
     return rewards.select("domain", F.posexplode("rewards").alias("file", "reward"))
 
 
+def _file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value`` with ``_at``, which orders lines by file and place."""
+    return spark.read.text(path).select("value", F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line")).alias("_at"))
+
+
 def read_orthogroups(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """``group_id, members`` split on tab, ``;`` and ``,``; optionally the first groups by id."""
+    """``group_id, members`` split on tab, ``;`` and ``,``; the first line of a file is its
+    header; optionally only the first groups, in the order of the files."""
     parts = F.transform(F.split("value", "[\t;,]"), lambda p: F.trim(p))
-    rows = spark.read.text(path).select(
+    lines = _file_lines(spark, path)
+    headers = lines.groupBy("_at.file").agg(F.min("_at").alias("_at")).select("_at")
+    rows = lines.join(headers, "_at", "left_anti").select(
         F.get(parts, F.lit(0)).alias("group_id"),
-        F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda m: m != "").alias("members"))
-    return rows.orderBy("group_id").limit(limit) if limit else rows
+        F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda m: m != "").alias("members"), "_at")
+    return (rows.orderBy("_at").limit(limit) if limit else rows).drop("_at")
 
 
 def read_word_vectors(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """``feature, vector`` of a text vector file; the count line is skipped."""
+    """``feature, vector`` of a text vector file; the count line is skipped.
+
+    Vector files are sorted by frequency: ``limit`` keeps the first lines in the order of the
+    files, found by their numbers alone.
+    """
     parts = F.split(F.rtrim("value"), " ")
-    rows = spark.read.text(path).filter(F.size(parts) > 2).select(
+    lines = _file_lines(spark, path).filter(F.size(parts) > 2)
+    if limit:
+        first = index_rows(lines.select("_at"), [], ["_at"]).filter(F.col("pos") < limit).select("_at")
+        lines = lines.join(first, "_at", "left_semi")
+    return lines.select(
         F.get(parts, F.lit(0)).alias("feature"),
         F.transform(F.slice(parts, 2, F.size(parts) - 1), lambda x: x.cast("float")).alias("vector"))
-    return rows.orderBy("feature").limit(limit) if limit else rows
 
 
 def summarize_metrics(spark: SparkSession, path: str, ext: str = "metrics") -> DataFrame:
-    """One row per metrics file: name fields and the ``pos`` metric line, sorted by name."""
-    lines = read_lines(spark, path, ext).filter(F.col("line").startswith("pos\t"))
+    """One row per metrics file: name fields and the ``pos`` metric line, sorted by name.
+
+    A file is named by itself or, where a writer made it a folder, by that; ``pos`` is the two
+    characters after the first ``pos`` of ``path``.
+    """
+    lines = _reader(spark, None).text(path).select(
+        F.url_decode("_metadata.file_path").alias("file"), F.rtrim("value").alias("line")).filter(F.col("line").startswith("pos\t"))
     named = lines.select(
-        F.url_decode(scalar.base_name(F.col("file"))).alias("name"),
-        F.regexp_replace("line", "^pos\t", "").alias("metrics"))
+        F.regexp_extract("file", rf"([^/=]*\.{ext})(/[^/]*)?$", 1).alias("name"),
+        F.regexp_replace("line", "^pos\t", "").alias("metrics")).filter("name <> ''")
     fields = scalar.parse_result_name(F.col("name"))
-    return named.select("name", *(c.alias(n) for n, c in fields.items()), "metrics").orderBy("name")
+    share = path.split("pos")[1][:2] if "pos" in path else ""
+    return named.select("name", *(c.alias(n) for n, c in fields.items()), F.lit(share).alias("pos"), "metrics").orderBy("name")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 
 def _tsv(df: DataFrame, path: str, header: bool = True) -> None:
-    df.write.mode("overwrite").csv(path, sep="\t", header=header)
+    # Lines are read back as plain text: no quotes, no escapes.
+    df.write.mode("overwrite").csv(path, sep="\t", header=header, quote="", escape="", emptyValue="", nullValue="")
 
 
 def write_fasta(df: DataFrame, id_col: str | Column, seq_col: str | Column, path: str, sort: bool = False) -> None:
@@ -91,9 +92,10 @@ def gff_lines(df: DataFrame, source: str, note: Column, name: Column, colour: Co
     info = F.concat(F.lit("Name="), name, F.lit(";Note="), note)
     if colour is not None:
         info = F.concat(info, F.coalesce(F.concat(F.lit(";color="), colour), F.lit("")))
-    text = lambda c: F.col(c).cast("string")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
     return df.select(F.concat_ws(
-        "\t", "seqid", F.lit(source), text("start"), text("end"), F.lit("?"), "strand", "phase", info
+        "\t", text("seqid"), F.lit(source), text("start"), text("end"), F.lit("?"), text("strand"), text("phase"),
+        F.coalesce(info, F.concat(F.lit("Name="), name), F.lit("."))
     ).alias("line"))
 
 
