@@ -291,15 +291,21 @@ def max_instance_length(spark, sf):
     return ft.max_length(encoded_words(spark, sf))
 
 
+def training_width(encoded) -> int:
+    return encoded.filter("instance_id % 5 <> 0").agg(F.max("size")).first()[0]
+
+
 @query("padded_sequences", f"""
 WITH {WORD_VOCAB}, shifted AS (
-  SELECT instance_id, list_transform(ids, lambda i: i + 1)[greatest(len(ids) - 99, 1):] AS kept
-  FROM encoded)
+  SELECT instance_id, list_transform(ids, lambda i: i + 1)[greatest(len(ids) - w + 1, 1):] AS kept, w
+  FROM encoded, (SELECT max(size) AS w FROM encoded WHERE instance_id % 5 <> 0))
 SELECT instance_id, md5(array_to_string(
-  list_concat(kept, list_transform(range(100 - len(kept)), lambda i: 0)), ',')) AS digest
+  list_concat(kept, list_transform(range(w - len(kept)), lambda i: 0)), ',')) AS digest
 FROM shifted""")
 def padded_sequences(spark, sf):
-    return ft.pad_sequences(encoded_words(spark, sf), 100).select(
+    """All instances at the width of the longest training instance."""
+    encoded = encoded_words(spark, sf)
+    return ft.pad_sequences(encoded, training_width(encoded)).select(
         "instance_id", _digest("padded").alias("digest"))
 
 
@@ -318,7 +324,7 @@ def padded_to_longest(spark, sf):
 WITH {WORD_VOCAB}, batched AS (
   SELECT instance_id, ids, (row_number() OVER (ORDER BY instance_id) - 1) // 32 AS batch
   FROM encoded),
-widths AS (SELECT batch, least(max(len(ids)), 400) AS width FROM batched GROUP BY batch),
+widths AS (SELECT batch, least(max(len(ids)), (SELECT max(size) FROM encoded WHERE instance_id % 5 <> 0)) AS width FROM batched GROUP BY batch),
 shifted AS (
   SELECT instance_id, batch, width,
          list_transform(ids, lambda i: i + 1)[greatest(len(ids) - width + 1, 1):] AS kept
@@ -327,7 +333,8 @@ SELECT instance_id, batch, md5(array_to_string(
   list_concat(list_transform(range(width - len(kept)), lambda i: 0), kept), ',')) AS digest
 FROM shifted""")
 def padded_batches(spark, sf):
-    return ft.pad_batches(encoded_words(spark, sf), 32, 400).select(
+    encoded = encoded_words(spark, sf)
+    return ft.pad_batches(encoded, 32, training_width(encoded)).select(
         "instance_id", "batch", _digest("padded").alias("digest"))
 
 

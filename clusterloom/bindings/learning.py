@@ -48,72 +48,114 @@ def sparse_feature_rows(spark, sf):
         F.round(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
 
 
-@query("linear_svm_predictions")
-def linear_svm_predictions(spark, sf):
+# Fitted values depend on the solver, so the checked columns are those that do not: which held-out
+# rows are scored and their labels, and whether each prediction obeys what its model promises.
+
+def held_out(column="instance_id"):
+    return F.col(column) % 5 == 0
+
+
+def on_held_out(data, fit):
+    """Fit on the training rows, score the others."""
+    data = cut_lineage(data)
+    model = fit(data.filter(~held_out()))
+    return model, model.transform(data.filter(held_out()))
+
+
+def _scored(scored):
+    return scored.select(
+        "instance_id", F.col("label").cast("long").alias("label"), F.col("prediction").isin(0.0, 1.0).alias("decided"))
+
+
+def word_vectors(spark, sf):
     occ, labels, vocab = word_data(spark, sf)
     n = vocab.count()
-    data = ln.labelled(ln.feature_vectors(occ, n), labels).cache()
-    return _scored(ln.train(data, "linearsvc", n, maxIter=20), data)
+    return ln.labelled(ln.feature_vectors(occ, n, labels), labels), n
+
 
+HELD_WORDS = "SELECT doc_id AS instance_id, quality::BIGINT AS label{} FROM labels WHERE doc_id % 5 = 0"
+HELD_VECTORS = "SELECT vec_id AS instance_id, (label >= 2)::BIGINT AS label{} FROM embeddings WHERE vec_id % 5 = 0"
 
-@query("logistic_confidences")
+
+@query("linear_svm_predictions", HELD_WORDS.format(", TRUE AS decided"))
+def linear_svm_predictions(spark, sf):
+    data, n = word_vectors(spark, sf)
+    return _scored(on_held_out(data, lambda d: ln.train(d, "linearsvc", n))[1])
+
+
+@query("logistic_confidences", HELD_WORDS.format(", TRUE AS agrees"))
 def logistic_confidences(spark, sf):
-    occ, labels, vocab = word_data(spark, sf)
-    n = vocab.count()
-    data = ln.labelled(ln.feature_vectors(occ, n), labels).cache()
-    model = ln.train(data, "logit", n, maxIter=20)
+    """The margin's sign is the predicted class, of every held-out instance."""
+    data, n = word_vectors(spark, sf)
+    model, scored = on_held_out(data, lambda d: ln.train(d, "logit", n))
     ln.check_width(model, n)
-    return ln.confidence_table(model.transform(data))
+    return ln.confidence_table(scored).select(
+        "instance_id", F.col("actual").cast("long").alias("label"), ((F.col("confidence") > 0) == (F.col("predicted") == 1)).alias("agrees"))
 
 
-@query("kernel_svm_predictions")
+@query("kernel_svm_predictions", HELD_VECTORS.format(", TRUE AS decided"))
 def kernel_svm_predictions(spark, sf):
     occ = embedded(spark, sf).select("instance_id", F.posexplode("embedding").alias("idx", "cnt"))
     labels = embedded(spark, sf).select("instance_id", "label")
-    data = ln.labelled(ln.fourier_features(ln.sparse_rows(occ), 0.5, 64), labels).cache()
-    return _scored(ln.train(data, "svc", 64, maxIter=20), data)
+    data = ln.labelled(ln.fourier_features(ln.sparse_rows(occ), 0.5, 256), labels)
+    return _scored(on_held_out(data, lambda d: ln.train(d, "svc", 256))[1])
 
 
-@query("perceptron_predictions")
+@query("perceptron_predictions", HELD_VECTORS.format(", TRUE AS decided"))
 def perceptron_predictions(spark, sf):
-    data = embedded(spark, sf).cache()
-    return _scored(ln.train(data, "mlp", dimension(spark, sf), maxIter=15, seed=1), data)
+    n = dimension(spark, sf)
+    return _scored(on_held_out(embedded(spark, sf), lambda d: ln.train(d, "mlp", n, seed=1))[1])
 
 
-@query("forest_importances")
+@query("forest_importances", """
+WITH d AS (SELECT max(len(embedding)) AS n FROM embeddings)
+SELECT i AS idx, 'dim-' || (i + 1) AS feature, TRUE AS is_share, 1.0::DOUBLE AS total FROM d, unnest(range(n)) AS t(i)""")
 def forest_importances(spark, sf):
-    data = embedded(spark, sf).cache()
+    """Importances of all features, which are shares that add up to one."""
+    data = cut_lineage(embedded(spark, sf))
     n = dimension(spark, sf)
-    model = ln.train(data, "randomforest", n, numTrees=20, seed=1)
+    model = ln.train(data, "randomforest", n, numTrees=100, seed=1)
     names = data.select(F.posexplode("embedding").alias("idx", "_v")).select(
         F.col("idx").cast("long").alias("idx"), F.concat(F.lit("dim-"), (F.col("idx") + 1).cast("string")).alias("feature")).distinct()
-    return ln.feature_importance(model, names)
+    out = ln.feature_importance(model, names)
+    total = out.agg(F.round(F.sum("importance"), 6).alias("total"))
+    return out.select("idx", "feature", F.col("importance").between(0, 1).alias("is_share")).withColumn("total", total.scalar())
 
 
-@query("reduced_dimensions")
+@query("reduced_dimensions", "SELECT count(*) AS n, TRUE AS ordered, 0.0::DOUBLE AS correlation FROM embeddings")
 def reduced_dimensions(spark, sf):
+    """Components of falling variance without correlation."""
     from pyspark.ml.functions import vector_to_array
 
     data = embedded(spark, sf)
     out = ln.reduce_dimensions(data, 2).transform(data)
     xy = vector_to_array("reduced")
-    return out.select("instance_id", F.get(xy, F.lit(0)).alias("x"), F.get(xy, F.lit(1)).alias("y"))
+    both = out.select(F.get(xy, F.lit(0)).alias("x"), F.get(xy, F.lit(1)).alias("y"))
+    return both.agg(F.count("*").alias("n"), (F.variance("x") >= F.variance("y")).alias("ordered"),
+                    (F.abs(F.round(F.corr("x", "y"), 4))).alias("correlation"))
 
 
-@query("cross_validated_report")
+@query("cross_validated_report", """
+SELECT quality::INT AS label, count(*) AS support, TRUE AS is_share FROM labels GROUP BY quality""")
 def cross_validated_report(spark, sf):
+    """Every labelled instance is predicted in exactly one fold."""
     occ, labels, vocab = word_data(spark, sf)
-    out, _ = ln.cross_validate(occ, labels, "logit", vocab.count(), maxIter=10)
-    return ln.class_report(out)
+    out, _ = ln.cross_validate(occ, labels, "logit", vocab.count())
+    shares = [F.col(c).between(0, 1) for c in ("precision", "recall", "f1", "accuracy")]
+    return ln.class_report(out).select("label", "support", (shares[0] & shares[1] & shares[2] & shares[3]).alias("is_share"))
 
 
-@query("grid_search_scores")
+@query("grid_search_scores", """
+SELECT c, penalty, TRUE AS is_share
+FROM (VALUES (0.01::DOUBLE), (0.1), (1), (10), (100)) AS a(c), (VALUES (0.0::DOUBLE), (1.0)) AS b(penalty)""")
 def grid_search_scores(spark, sf):
-    data = embedded(spark, sf).select("features", "label").cache()
-    _, scores = ln.grid_search(
-        data, "randomforest", dimension(spark, sf), "f1", folds=3,
-        limits={"trees": [5, 10], "bootstrap": [True], "impurity": ["gini", "entropy"], "subsets": ["log2"]}, seed=1)
-    return scores
+    """The whole grid of the logistic classifier by five folds."""
+    data = cut_lineage(embedded(spark, sf).select("features", "label"))
+    _, scores = ln.grid_search(data, "logit", dimension(spark, sf), "f1", seed=1)
+    value = lambda name: F.regexp_extract("params", rf"{name}=([^,]*)", 1).cast("double")
+    return scores.select(
+        F.round(1 / (value("regParam") * F.lit(data.count())), 6).alias("c"), value("elasticNetParam").alias("penalty"),
+        F.col("mean").between(0, 1).alias("is_share"))
 
 
 RULE = "CASE WHEN (toxic = 1 OR doc_id % 3 = 0) THEN 1 ELSE 0 END"
@@ -152,17 +194,27 @@ def grid_score_summary(spark, sf):
         {c: F.round(c, 6) for c in ("mean", "spread")})
 
 
-@query("isolation_outliers")
+@query("isolation_outliers", "SELECT vec_id AS instance_id, TRUE AS is_share, TRUE AS agrees FROM embeddings")
 def isolation_outliers(spark, sf):
-    return ln.isolation_labels(embedded(spark, sf), "instance_id", "embedding", trees=50)
+    out = ln.isolation_labels(embedded(spark, sf), "instance_id", "embedding")
+    return out.select("instance_id", F.col("score").between(0, 1).alias("is_share"),
+                      ((F.col("score") > 0.5) == (F.col("prediction") == -1)).alias("agrees"))
 
 
-@query("covariance_outliers")
+@query("covariance_outliers", "SELECT count(*) AS n, 0.1::DOUBLE AS labelled FROM embeddings")
 def covariance_outliers(spark, sf):
-    return ln.covariance_labels(embedded(spark, sf), "instance_id", "embedding", dimension(spark, sf))
-
-
-@query("local_outlier_factors")
+    out = ln.covariance_labels(embedded(spark, sf), "instance_id", "embedding", dimension(spark, sf))
+    return out.agg(F.count("*").alias("n"), F.round(F.avg((F.col("prediction") == -1).cast("double")), 2).alias("labelled"))
+
+
+@query("local_outlier_factors", """
+WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x FROM embeddings),
+near AS (SELECT a.id, b.id AS other, list_distance(a.x, b.x) AS d FROM v a JOIN v b ON a.id <> b.id
+         QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY d, b.id) <= 20),
+reach AS (SELECT id, max(d) AS k FROM near GROUP BY id),
+density AS (SELECT n.id, 1 / (avg(greatest(d, k)) + 1e-10) AS lrd FROM near n JOIN reach r ON r.id = n.other GROUP BY n.id),
+f AS (SELECT n.id, avg(o.lrd) / any_value(s.lrd) AS factor FROM near n JOIN density o ON o.id = n.other JOIN density s ON s.id = n.id GROUP BY n.id)
+SELECT id AS instance_id, round(factor, 4) AS factor, CASE WHEN factor > 1.5 THEN -1 ELSE 1 END AS prediction FROM f""")
 def local_outlier_factors(spark, sf):
-    near = ln.nearest_neighbours(embedded(spark, sf), "instance_id", "embedding", dimension(spark, sf), k=20)
-    return ln.local_outliers(near, "instance_id")
+    near = ln.nearest_neighbours(embedded(spark, sf), "instance_id", "embedding", k=20)
+    return ln.local_outliers(near, "instance_id").withColumn("factor", F.round("factor", 4))

@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from clusterloom.operators.corpus import positive_features_per_fold, stratified_folds
-from clusterloom.operators.ordered import index_rows
 from clusterloom.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -35,22 +34,28 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # ------------------------------------------------------------------ vectors
 
 
-def sparse_rows(occ: DataFrame) -> DataFrame:
-    """``instance_id, indices, values`` from rows ``instance_id, idx, cnt``."""
+def sparse_rows(occ: DataFrame, instances: DataFrame | None = None) -> DataFrame:
+    """``instance_id, indices, values`` from rows ``instance_id, idx, cnt``.
+
+    With ``instances`` there is one row for each of them; one without a feature is empty.
+    """
     entries = F.array_sort(F.collect_list(F.struct("idx", "cnt")))
-    return occ.groupBy("instance_id").agg(entries.alias("_e")).select(
-        "instance_id", F.transform("_e", lambda e: e["idx"].cast("int")).alias("indices"),
-        F.transform("_e", lambda e: e["cnt"].cast("double")).alias("values"))
+    rows = occ.groupBy("instance_id").agg(entries.alias("_e"))
+    if instances is not None:
+        rows = instances.select("instance_id").join(rows, "instance_id", "left")
+    at = lambda name, kind: F.coalesce(F.transform("_e", lambda e: e[name].cast(kind)), F.array().cast(f"array<{kind}>"))
+    return rows.select("instance_id", at("idx", "int").alias("indices"), at("cnt", "double").alias("values"))
 
 
-def feature_vectors(occ: DataFrame, size: int) -> DataFrame:
-    """``instance_id, features``. Only the final wrap into the vector type runs in Python."""
+def feature_vectors(occ: DataFrame, size: int, instances: DataFrame | None = None) -> DataFrame:
+    """``instance_id, features``, of all ``instances`` where given. Only the final wrap into the
+    vector type runs in Python."""
     wrap = F.udf(lambda i, v: Vectors.sparse(size, i, v), VectorUDT())
-    return sparse_rows(occ).select("instance_id", wrap("indices", "values").alias("features"))
+    return sparse_rows(occ, instances).select("instance_id", wrap("indices", "values").alias("features"))
 
 
 def labelled(vectors: DataFrame, labels: DataFrame, id_col: str = "instance_id") -> DataFrame:
-    """Add ``label``; instances without any feature are not lost from ``vectors``."""
+    """Add ``label`` to the vectors that have one."""
     return vectors.join(labels.select(id_col, F.col("label").cast("double").alias("label")), id_col)
 
 
@@ -216,7 +221,7 @@ def cross_validate(
     parts = []
     for fold in range(folds):
         kept = occ.join(allowed.filter(F.col("fold") == fold).select("idx"), "idx", "left_semi")
-        data = feature_vectors(kept, n_features).join(
+        data = feature_vectors(kept, n_features, assigned).join(
             assigned.select("instance_id", "fold", F.col("label").cast("double").alias("label")), "instance_id")
         model = train(data.filter(F.col("fold") != fold), kind, n_features, **options)
         parts.append(model.transform(data.filter(F.col("fold") == fold)).select(
@@ -224,7 +229,7 @@ def cross_validate(
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    final = train(labelled(feature_vectors(occ, n_features), labels), kind, n_features, **options)
+    final = train(labelled(feature_vectors(occ, n_features, labels), labels), kind, n_features, **options)
     return out, final
 
 
@@ -287,10 +292,10 @@ def _average_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, full, np.where(n == 2, 1.0, 0.0))
 
 
-def _grow_tree(seed: int):
+def _grow_tree(seed: int, sample: int):
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values("_h").head(256)
+        pdf = pdf.sort_values("_h").head(sample)
         x = np.stack(pdf["x"].to_numpy())
         rng = np.random.default_rng([seed, tree])
         limit = math.ceil(math.log2(max(len(x), 2)))
@@ -317,8 +322,9 @@ def isolation_labels(
 ) -> DataFrame:
     """Isolation-forest labels: ``id, score, prediction`` (-1 for scores above 0.5).
 
-    Every tree grows on a hash sample of at most 256 rows; rows send only the few copies that
-    are sampled. The forest has at most ``trees * 511`` nodes, which bounds what each task gets.
+    Every tree grows on a hash sample of at most ``sample`` rows; rows send only the few copies
+    that are sampled. The forest has under ``2 * trees * sample`` nodes, which bounds what each
+    task gets.
     """
     n = data.count()
     share = min(1.0, 1.2 * sample / max(n, 1))
@@ -330,10 +336,10 @@ def isolation_labels(
         .select(id_col, "x", F.explode("_t").alias("tree"))
         .withColumn("_h", draw(F.col("tree")))
         .groupBy("tree")
-        .applyInPandas(_grow_tree(seed), "tree int, node int, feature int, cut double, depth double")
+        .applyInPandas(_grow_tree(seed, sample), "tree int, node int, feature int, cut double, depth double")
     )
     forest: dict[int, dict[int, tuple]] = {}
-    for r in grown.collect():  # bounded by trees * 511 nodes
+    for r in grown.collect():  # under 2 * trees * sample nodes
         forest.setdefault(r["tree"], {})[r["node"]] = (r["feature"], r["cut"], r["depth"])
     size = float(_average_path(min(sample, n)))
 
@@ -418,43 +424,43 @@ def covariance_labels(
 
 
 def nearest_neighbours(
-    data: DataFrame, id_col: str, array_col: str, dim: int, k: int = 20, projections: int = 4,
-    leaf: int = 512, seed: int = 3,
+    data: DataFrame, id_col: str, array_col: str, k: int = 20, block: int = 2048,
 ) -> DataFrame:
-    """k nearest rows by random-projection blocks: ``id, other, distance``.
+    """The k nearest other rows of every row: ``id, other, distance``; exact at every size.
 
-    Rows are sorted along each random direction and cut into blocks of ``leaf``; neighbours are
-    exact inside a block and merged over directions. A block is never larger than ``leaf``, so
-    no pair list is skewed; with at most ``leaf`` rows the result is exact.
+    Rows fall into hash blocks of about ``block``. Each pair of blocks is one bounded task that
+    keeps k candidates per row; the candidates are merged. The work is quadratic in the rows, as
+    exact neighbours in many dimensions are.
     """
-    rng = np.random.default_rng(seed)
     kind = data.schema[id_col].dataType.simpleString()
-
-    def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, x = pdf[id_col].to_numpy(), np.stack(pdf["x"].to_numpy())
-        square = (x**2).sum(1)
-        d = np.sqrt(np.maximum(square[:, None] + square[None] - 2 * x @ x.T, 0))
-        np.fill_diagonal(d, np.inf)
-        take = min(k, len(ids) - 1)
-        if take < 1:
-            return pd.DataFrame({id_col: ids[:0], "other": ids[:0], "distance": d.ravel()[:0]})
-        order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :take]
-        return pd.DataFrame({
-            id_col: np.repeat(ids, take), "other": ids[order].ravel(),
-            "distance": np.take_along_axis(d, order, 1).ravel()})
-
     rows = data.select(id_col, F.col(array_col).cast("array<double>").alias("x"))
-    found: DataFrame | None = None
-    for _ in range(projections):
-        direction = F.array(*[F.lit(float(v)) for v in rng.normal(size=dim)])
-        along = F.aggregate(F.zip_with("x", direction, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        placed = index_rows(rows.withColumn("_v", along), [], ["_v", id_col], "_p")
-        part = placed.groupBy(F.floor(F.col("_p") / leaf).alias("_leaf")).applyInPandas(
-            block, f"{id_col} {kind}, other {kind}, distance double")
-        found = part if found is None else found.unionByName(part)
-    pairs = found.groupBy(id_col, "other").agg(F.min("distance").alias("distance"))
+    count = max(1, -(-rows.count() // block))
+    placed = rows.withColumn("_own", F.pmod(F.xxhash64(id_col), F.lit(count)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<bigint>"))
+    asked = placed.select(id_col, "x", F.col("_own").alias("_q"), every.alias("_b"))
+    given = placed.select(id_col, "x", every.alias("_q"), F.col("_own").alias("_b"))
+
+    def nearest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ids, others = left[id_col].to_numpy(), right[id_col].to_numpy()
+        if not len(ids) or not len(others):
+            return pd.DataFrame({id_col: ids[:0], "other": ids[:0], "distance": np.zeros(0)})
+        x, y = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
+        parts = []
+        for a in range(0, len(ids), 256):
+            d = (x[a:a + 256] ** 2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x[a:a + 256] @ y.T
+            d[ids[a:a + 256, None] == others[None]] = np.inf
+            take = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
+            row = np.repeat(np.arange(a, a + len(d)), take.shape[1])
+            near = take.ravel()
+            exact = np.sqrt(((x[row] - y[near]) ** 2).sum(1))
+            fine = np.isfinite(np.take_along_axis(d, take, 1)).ravel()
+            parts.append(pd.DataFrame({id_col: ids[row], "other": others[near], "distance": exact})[fine])
+        return pd.concat(parts)
+
+    found = asked.groupBy("_q", "_b").cogroup(given.groupBy("_q", "_b")).applyInPandas(
+        nearest, f"{id_col} {kind}, other {kind}, distance double")
     order = W.partitionBy(id_col).orderBy("distance", "other")
-    return pairs.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
+    return found.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
 
 
 def local_outliers(neighbours: DataFrame, id_col: str, offset: float = 1.5) -> DataFrame:

@@ -75,7 +75,8 @@ def train_and_predict(
     n = vocab.count()
 
     def vectors(contents: DataFrame) -> DataFrame:
-        return ln.labelled(ln.feature_vectors(feature_matrix(contents, vocab, size), n), with_labels(contents))
+        labels = with_labels(contents)
+        return ln.labelled(ln.feature_vectors(feature_matrix(contents, vocab, size), n, labels), labels)
 
     data, width = vectors(train_contents), n
     test = vectors(rd.read_dataset(spark, test_path, feature_types, source_type))

@@ -150,9 +150,17 @@ def test_dataset_plans(spark, tmp_path):
     assert [(r["a"], r["b"]) for r in pairs] == [("a", "b")]
 
 
-def test_local_outliers_exact_in_one_block(spark):
+def test_vectors_of_instances_without_features(spark):
+    occ = spark.createDataFrame([("a", 1, 2)], "instance_id string, idx long, cnt long")
+    labels = spark.createDataFrame([("a", 1), ("b", 0)], "instance_id string, label int")
+    rows = {r["instance_id"]: r["features"].toArray().tolist() for r in ln.labelled(ln.feature_vectors(occ, 3, labels), labels).collect()}
+    assert rows == {"a": [0, 2, 0], "b": [0, 0, 0]}
+
+
+@pytest.mark.parametrize("rows", [60, 700])
+def test_local_outliers_exact(spark, rows):
     rng = np.random.default_rng(0)
-    x = np.vstack([rng.normal(size=(60, 3)), [[8.0, 8.0, 8.0]]])
+    x = np.vstack([rng.normal(size=(rows, 3)), [[8.0, 8.0, 8.0]]])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
     k, n = 5, len(x)
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
@@ -161,13 +169,13 @@ def test_local_outliers_exact_in_one_block(spark):
     kd = np.take_along_axis(d, near, 1)[:, -1]
     lrd = np.array([1 / (np.mean([max(kd[j], d[i, j]) for j in near[i]]) + 1e-10) for i in range(n)])
     want = np.array([lrd[near[i]].mean() / lrd[i] for i in range(n)])
-    got = {r["id"]: r for r in ln.local_outliers(ln.nearest_neighbours(df, "id", "v", 3, k=k, projections=2), "id").collect()}
+    got = {r["id"]: r for r in ln.local_outliers(ln.nearest_neighbours(df, "id", "v", k=k, block=256), "id").collect()}
     assert np.allclose([got[i]["factor"] for i in range(n)], want, rtol=1e-6)
-    assert got[60]["prediction"] == -1
+    assert got[rows]["prediction"] == -1
     iso = {r["id"]: r for r in ln.isolation_labels(df, "id", "v", trees=30).collect()}
-    assert iso[60]["score"] == max(r["score"] for r in iso.values()) and iso[60]["prediction"] == -1
+    assert iso[rows]["score"] == max(r["score"] for r in iso.values()) and iso[rows]["prediction"] == -1
     cov = {r["id"]: r for r in ln.covariance_labels(df, "id", "v", 3).collect()}
-    assert cov[60]["prediction"] == -1 and sum(r["prediction"] == -1 for r in cov.values()) <= 7
+    assert cov[rows]["prediction"] == -1 and sum(r["prediction"] == -1 for r in cov.values()) <= rows // 10 + 1
 
 
 def test_fourier_features_approximate_the_kernel(spark):
