@@ -32,5 +32,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load_all() -> None:
     from clusterloom.bindings import (  # noqa: F401
-        corpus, evaluation, features, files, learning, ordering, policy, proteins, scalars, stages,
+        corpus, datasets, evaluation, features, files, learning, ordering, policy, proteins, scalars, stages,
     )

@@ -16,13 +16,15 @@ from clusterloom.sources import readers as rd
 from clusterloom.sources import writers as wr
 
 
-def similarity_table(spark: SparkSession, fasta: str, out: str, k: int = 6, threshold: float = 0.5) -> None:
+def similarity_table(
+    spark: SparkSession, fasta: str, out: str, k: int = 6, threshold: float = 0.5, ext: str | None = "fasta",
+) -> None:
     """All-against-all seed similarity of a FASTA folder, as the reduced similarity table.
 
     Jaccard stands for identity (percent), shared seeds for the bit score. The copy groups are
     written beside it, so every id finds its representative.
     """
-    seqs = rd.read_fasta(spark, fasta)
+    seqs = rd.read_fasta(spark, fasta, ext)
     pairs = sim.seed_similarity(seqs, "seq_id", "seq", k, threshold)
     wr.write_tsv(
         pairs.select(F.concat_ws("|", "a", "b").alias("id"), (F.col("jaccard") * 100).alias("pident"),

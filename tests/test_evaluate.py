@@ -63,6 +63,15 @@ def test_gold_regions(spark):
     assert got == {("near", f"N_0000{i}") for i in (3, 4, 5, 6)} | {("far", "N_00001"), ("far", "N_00500")}
 
 
+def test_gold_regions_of_long_numbers(spark):
+    rows = [("a", "N_99998"), ("a", "N_100001"), ("b", "P_123450"), ("b", "P_123452"), ("c", "N_00009"), ("d", "N_99990"), ("d", "N_100500")]
+    gold = spark.createDataFrame(rows, "cluster_id string, gene string")
+    got = sorted((r["cluster_id"], r["gene"]) for r in ev.gold_regions(gold).collect())
+    assert got == sorted(
+        [("a", f"N_{i}") for i in range(99998, 100002)] + [("b", f"P_{i}") for i in range(123450, 123453)]
+        + [("c", "N_00009"), ("d", "N_99990"), ("d", "N_100500")])
+
+
 def test_overestimation(spark):
     schema = "pos long, genes array<string>"
     orig = spark.createDataFrame([(0, ["a", "b", "c"]), (1, ["d", "e"])], schema)

@@ -150,6 +150,32 @@ def test_dataset_plans(spark, tmp_path):
     assert [(r["a"], r["b"]) for r in pairs] == [("a", "b")]
 
 
+def test_unmatched_gff_columns_and_repeated_ids(spark):
+    from clusterloom.operators.windows import sequence_windows
+    from clusterloom.sources import writers as wr
+
+    rows = spark.createDataFrame([(None, 1, 2, None, None, "c"), ("s", None, 9, "+", "0", "d")], "seqid string, start int, end int, strand string, phase string, name string")
+    lines = {r["line"] for r in wr.gff_lines(rows, "src", F.lit("n"), F.col("name")).collect()}
+    assert lines == {".\tsrc\t1\t2\t?\t.\t.\tName=c;Note=n", "s\tsrc\t.\t9\t?\t+\t0\tName=d;Note=n"}
+    seqs = spark.createDataFrame([("p", "x", "AAAA"), ("p", "x", "CCCC")], "part string, id string, seq string")
+    got = sorted(r["content"] for r in sequence_windows(seqs, ["part"], "id", "seq", 4, 0).collect())
+    assert got == ["AAAA", "CCCC"]
+
+
+def test_text_files_keep_quotes_and_order(spark, tmp_path):
+    from clusterloom.sources import writers as wr
+
+    words = ['a"b', '"', "c,d", "plain"]
+    wr.write_tsv(spark.createDataFrame([(w,) for w in words], "feature string"), str(tmp_path / "w"), header=False)
+    assert {r["feature"] for r in rd.read_dictionary(spark, str(tmp_path / "w")).collect()} == set(words)
+    put(tmp_path / "v", "v.txt", "3 2\nzeta 1 2\nalpha 3 4\nmid 5 6\n")
+    assert {r["feature"] for r in rd.read_word_vectors(spark, str(tmp_path / "v"), 2).collect()} == {"zeta", "alpha"}
+    put(tmp_path / "o", "o.tsv", "Orthogroup\tx\nG9\ta, b\nG1\tc\n")
+    assert [(r["group_id"], r["members"]) for r in rd.read_orthogroups(spark, str(tmp_path / "o"), 1).collect()] == [("G9", ["a", "b"])]
+    put(tmp_path / "g", "g.gff", 's\t"x\tmRNA\t1\t2\t.\t+\t0\tName=g1.10;ID=1;ID=2\n')
+    assert rd.mrna_features(rd.read_gff(spark, str(tmp_path / "g"))).first()["name"] == "g1.10"
+
+
 def test_vectors_of_instances_without_features(spark):
     occ = spark.createDataFrame([("a", 1, 2)], "instance_id string, idx long, cnt long")
     labels = spark.createDataFrame([("a", 1), ("b", 0)], "instance_id string, label int")
