@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clusterloom.llm import url_vocabulary
 from clusterloom.llm.common import read, unsigned_crc32
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,10 +41,29 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
 
-@query("op5_url_vocabulary")
-def op5_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from clusterloom.llm import url_vocabulary
+def _quoted(terms) -> str:
+    return "[" + ", ".join(f"'{t}'" for t in terms) + "]"
+
+
+# Terms are single runs of letters, so a hit between boundaries is a token of the URL.
+URL_SQL = f"""
+WITH u AS (
+  SELECT page_id, coalesce(url, '') AS url, regexp_split_to_array(lower(coalesce(url, '')), '[^a-z0-9]+') AS tokens FROM pages),
+h AS (SELECT *, translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '{url_vocabulary.UPPER}', '{url_vocabulary.LOWER}') AS host,
+             regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
+             len(list_filter(tokens, lambda t: list_contains({_quoted(url_vocabulary.STRICT)}, t))) AS n_strict,
+             len(list_distinct(list_filter(tokens, lambda t: list_contains({_quoted(url_vocabulary.SOFT)}, t)))) AS n_soft FROM u),
+r AS (SELECT *, CASE
+  WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+  WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+  WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+  WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM h)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+       WHEN n_strict > 0 OR n_soft >= 2 THEN 'block' ELSE 'allow' END AS verdict, n_strict, n_soft, n_soft::DOUBLE AS soft_weight FROM r"""
+
 
+@query("op5_url_vocabulary", URL_SQL)
+def op5_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_vocabulary.judge(read(spark, sf_dir, "pages"), URL_RULES)
 
 
@@ -78,7 +98,21 @@ def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return template_decontamination.flag(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-@query("op8_ngram_join")
+#: Links ``l`` (both ways) over nodes ``v`` to the smallest node each one reaches.
+REACH = """r AS (SELECT id AS a, id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a AS id, min(b) AS component_id FROM r GROUP BY a)"""
+
+
+@query("op8_ngram_join", f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), '{url_vocabulary.UPPER}', '{url_vocabulary.LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+s AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+v AS (SELECT w.id, count(s.s) AS n FROM w LEFT JOIN s ON s.id = w.id GROUP BY w.id),
+shared AS (SELECT x.id AS a, y.id AS b, count(*) AS m FROM s x JOIN s y ON x.s = y.s AND x.id <> y.id GROUP BY ALL),
+l AS (SELECT a, b FROM shared JOIN v p ON p.id = a JOIN v q ON q.id = b WHERE 100 * m >= 80 * (p.n + q.n - m)), {REACH}
+SELECT v.id AS doc_id, n AS n_shingles, component_id FROM v JOIN c USING (id)""")
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clusterloom.llm import ngram_join
 
@@ -94,18 +128,35 @@ def op7_column_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op4_subspace_join")
+@query("op4_subspace_join", f"""
+WITH RECURSIVE v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS x, label FROM embeddings),
+l AS (SELECT p.id AS a, q.id AS b FROM v p JOIN v q ON p.label = q.label AND p.id <> q.id AND list_cosine_similarity(p.x, q.x) >= 0.98), {REACH},
+n AS (SELECT a AS id, count(*) AS n_links FROM l GROUP BY a)
+SELECT c.id AS vec_id, coalesce(n_links, 0) AS n_links, component_id, c.id = component_id AS kept FROM c LEFT JOIN n USING (id)""")
 def op4_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clusterloom.llm import subspace_join
 
     return subspace_join.cluster(read(spark, sf_dir, "embeddings"))
 
 
-@query("op2_perspective_chat")
+@query("op2_perspective_chat", """
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS who, replace(coalesce(text, ''), '<|', '<\\|') AS body FROM conversations),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, who, body) - 1 AS pos FROM t),
+people AS (SELECT DISTINCT conv_id, who AS assistant FROM t WHERE who <> 'system'),
+n AS (SELECT conv_id, count(*) AS n_participants FROM people GROUP BY conv_id),
+v AS (SELECT p.*, assistant, pos // 64 AS piece, CASE WHEN who = assistant THEN '<|assistant|>' WHEN who = 'system' THEN '<|system|>'
+             ELSE '<|user|>' || replace(who, '<|', '<\\|') END || chr(10) AS head FROM p JOIN people USING (conv_id)),
+m AS (SELECT *, head || body || '<|end|>' || chr(10) AS msg FROM v),
+o AS (SELECT *, sum(length(msg)) OVER (PARTITION BY conv_id, assistant, piece ORDER BY pos) - length(msg) + length(head) AS pt FROM m)
+SELECT conv_id, assistant, piece, count(*) AS n_turns, any_value(n_participants) AS n_participants, string_agg(msg, '' ORDER BY pos) AS text,
+       coalesce(string_agg(pt || '-' || (pt + length(body) + 7), ',' ORDER BY pos) FILTER (who = assistant), '') AS mask
+FROM o JOIN n USING (conv_id) GROUP BY conv_id, assistant, piece""")
 def op2_perspective_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clusterloom.llm import perspective_chat
 
-    return perspective_chat.rotate(read(spark, sf_dir, "conversations"))
+    out = perspective_chat.rotate(read(spark, sf_dir, "conversations"))
+    shown = F.array_join(F.transform("mask", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return out.withColumn("mask", shown)
 
 
 @query("op6_gated_lm")
