@@ -10,9 +10,11 @@ How it runs. (1) N-grams are hashed inside the tasks and exchanged in packed buc
 each token's document frequency; a token that many documents of one slice share skips the bucket
 (it counts as most frequent), so no bucket holds a hot token's whole list. (2) Only tokens of two
 documents or more go on, packed, to their documents; all others matter by number alone. (3) Tokens
-of the first order's prefixes list their documents. Equal lists are kept once, long lists are cut
-into blocks, and each pair of blocks is verified in one task, which returns a spanning set of its
-links and never the pairs. (4) Components of the links.
+of the first order's prefixes list their documents, apart for sizes that cannot be similar; equal
+lists are kept once. Every document is verified against the hub of each of its lists, which joins
+most copies. (4) Of lists that still hold several components, short ones name their open pairs,
+long ones are cut into blocks, and each pair of blocks is verified in one task, which returns a
+spanning set of its links and never the pairs. (5) Components of the links.
 
 Hashes have 64 bits; a bucket keeps 48 of them beside its own bits. Copies of a text are one node.
 
@@ -38,6 +40,8 @@ by_value(__name__)
 WIDTH, PERCENT = 5, 80
 #: Text bytes whose tokens make up one bucket, and documents of one block.
 BUCKET_BYTES, BLOCK = 24 << 20, 1024
+#: Lists up to this length name their open pairs; longer ones are verified block by block.
+SHORT = 32
 #: Documents of a slice that make a token hot; frequency of a hot token.
 HOT, MOST = 32, 65535
 SEEDS = tuple(np.uint64(s) for s in (0x1F83D9AB, 0x5BE0CD19, 0x3C6EF372))
@@ -338,15 +342,20 @@ def links(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, block:
     bits = max(0, int(np.ceil(np.log2(max(1, size / bucket_bytes)))))
     table = hold(candidates(shared_tokens(docs, width, bits), percent))
 
+    base = np.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first = [np.array_split(np.frombuffer(x, np.int64), len(SEEDS))[0] for x in batch.column(2).to_pylist()]
+            first = [np.array_split(np.frombuffer(x, np.uint64), len(SEEDS))[0] for x in batch.column(2).to_pylist()]
             if first:
                 times = [len(x) for x in first]
                 n = batch.column(1).to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(first)), pa.array(np.repeat(batch.column(0).to_numpy(), times)), pa.array(np.repeat(n, times)),
-                     pa.array(np.repeat(times / n, times))], ["token", "node", "n", "share"])
+                band = np.repeat(np.floor(np.log(n) / base).astype(np.int64).astype(np.uint64), times)
+                for more in (0, 1):  # sizes that can be similar share one of two bands
+                    key = mix(np.concatenate(first) + (band + np.uint64(more)) * np.uint64(0x9E3779B97F4A7C15))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), times)), pa.array(np.repeat(n, times)),
+                         pa.array(np.repeat(times / n, times))], ["token", "node", "n", "share"])
 
     postings = table.select("node", "n", "prefixes").mapInArrow(explode, "token long, node long, n long, share double")
     # Lists of the same documents lead to the same pairs: one of them is kept. A list's hub is the
@@ -361,8 +370,25 @@ def links(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, block:
     # Each document against the hubs of its lists: this joins most copies, at one set a pair.
     near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
     stars = listed.filter(near & (F.col("node") != F.col("hub"))).select("node", "hub").distinct()
-    sized = stars.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("_k"))
-    members = stars.join(sized, "hub").withColumn("i", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
+    found = hold(_verified(stars, table, percent, block))
+
+    # What is left: pairs of different components in lists that hold several.
+    parts = components(found)
+    tagged = listed.select("token", "node", "n").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    mixed = tagged.groupBy("token").agg(F.count("*").alias("m"), F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y")
+    left = hold(tagged.join(mixed.select("token", "m"), "token"))
+    # Short lists repeat each other's pairs: those are named first and verified once.
+    short = left.filter(F.col("m") <= SHORT).select("token", "node", "n", "part")
+    again = short.withColumnsRenamed({"node": "hub", "n": "hub_n", "part": "other"})
+    pairs = short.join(again, "token").filter((F.col("node") < F.col("hub")) & (F.col("part") != F.col("other")) & near).select("node", "hub").distinct()
+    return found.unionByName(_verified(pairs, table, percent, block)).unionByName(
+        _blocks(left.filter(F.col("m") > SHORT), table, percent, block))
+
+
+def _verified(pairs: DataFrame, table: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links among the pairs ``(node, hub)``; a hub's set travels once per block of partners."""
+    sized = pairs.groupBy("hub").agg(F.ceil(F.count("*") / block).cast("int").alias("_k"))
+    members = pairs.join(sized, "hub").withColumn("i", F.pmod(F.xxhash64("node"), F.col("_k")).cast("int"))
     centres = sized.select("hub", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("i"), F.col("hub").alias("node"))
     spokes = members.select("hub", "i", "node").unionByName(centres).join(table, "node").select(
         F.col("hub").alias("token"), "i", (F.col("node") == F.col("hub")).cast("int").alias("j"), "node", "n", "tokens", "prefixes")
@@ -377,14 +403,13 @@ def links(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, block:
                 if out:
                     yield _link_batch(out)
 
-    found = hold(spokes.repartition("token", "i").sortWithinPartitions("token", "i").mapInArrow(check_stars, "a long, b long"))
+    return spokes.repartition("token", "i").sortWithinPartitions("token", "i").mapInArrow(check_stars, "a long, b long")
 
-    # What is left: pairs of different components in lists that hold several.
-    parts = components(found)
-    tagged = listed.select("token", "node").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    mixed = tagged.groupBy("token").agg(F.count("*").alias("m"), F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y")
+
+def _blocks(lists: DataFrame, table: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links within long lists ``(token, node, part, m)``, by pairs of blocks."""
     placed = (
-        tagged.join(mixed.select("token", F.ceil(F.col("m") / block).cast("int").alias("_k")), "token")
+        lists.withColumn("_k", F.ceil(F.col("m") / block).cast("int"))
         .withColumn("_own", F.pmod(F.xxhash64("node", "token"), F.col("_k")).cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
         .select("token", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "_own", "node", "part")
@@ -401,8 +426,7 @@ def links(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, block:
             if out:
                 yield _link_batch(out)
 
-    rest = full.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(check, "a long, b long")
-    return found.unionByName(rest)
+    return full.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(check, "a long, b long")
 
 
 def _member(r: dict) -> tuple:

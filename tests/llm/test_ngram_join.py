@@ -57,11 +57,12 @@ def test_near_copies_against_brute_force(spark):
              (6, "one two"), (None, "only this"), (9, "z " * 9000)]
     assert run(spark, rows) == brute(rows)
     # Small buckets and blocks, and hot tokens from two documents on, change nothing.
-    hot, j.HOT = j.HOT, 2
+    hot, short = j.HOT, j.SHORT
+    j.HOT, j.SHORT = 2, 4
     try:
         assert run(spark, rows, bucket_bytes=2000, block=7) == brute(rows)
     finally:
-        j.HOT = hot
+        j.HOT, j.SHORT = hot, short
 
 
 def test_empty_table_and_keep_one(spark):
