@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from clusterloom.llm.common import by_value
+from clusterloom.llm.common import by_value, small_batches
 
 by_value(__name__)
 
@@ -91,7 +91,7 @@ def encode(
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(content, pattern)
-        for batch in batches:
+        for batch in small_batches(batches):
             ids = [_ids(encoder, t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -189,7 +189,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
         for token, rank in ranks.items():
             table[rank] = token
         take = table.__getitem__
-        for batch in batches:
+        for batch in small_batches(batches):
             out = [b"".join(map(take, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])

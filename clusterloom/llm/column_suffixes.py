@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.common import by_value, hold
+from clusterloom.llm.common import by_value, hold, small_batches
 from clusterloom.llm.words import _POWERS, mix, text_slices
 
 by_value(__name__)
@@ -315,7 +315,7 @@ def repeated(docs: DataFrame, *, length: int = LENGTH, limit: int = LIMIT) -> Da
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "seg", "shift", "body", "twice"]
-        for batch in batches:
+        for batch in small_batches(batches):
             out = []
             for text, want in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
                 for w in want:
@@ -351,8 +351,7 @@ def remove(docs: DataFrame, *, length: int = LENGTH, limit: int = LIMIT) -> Data
     text_at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept, size, gone, spans = [], [], [], []
+        for batch in small_batches(batches):
             froms, tos = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
             marked = np.flatnonzero(froms.is_valid().to_numpy(zero_copy_only=False))
             texts = batch.column(text_at).cast(pa.binary()).to_pylist()
@@ -388,7 +387,7 @@ def remove_text(docs: DataFrame, *, length: int = LENGTH, limit: int = LIMIT) ->
     at = order.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = [t if t is not None else None if k is None else k.decode("utf-8", "ignore")
                      for t, k in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
             columns = list(batch.columns[:-1])

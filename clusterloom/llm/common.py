@@ -17,6 +17,13 @@ def by_value(module: str) -> None:
 by_value(__name__)
 
 
+def small_batches(batches, rows: int = 512):
+    """Cut record batches, so that a task holds the Python objects of few rows at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

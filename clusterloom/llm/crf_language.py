@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.common import by_value
+from clusterloom.llm.common import by_value, small_batches
 from clusterloom.llm.words import Slice, hash_words, split, text_slices
 
 by_value(__name__)
@@ -35,6 +35,8 @@ by_value(__name__)
 SAMPLE_ROWS, WINDOWS, WINDOW_WORDS = 2000, 4, 40
 AFFIX_BITS, LEXICON_BITS = 15, 17
 BLOCK_WORDS = 64
+#: Weights are gathered for each byte, so slices are smaller than elsewhere.
+SLICE_BYTES = 1 << 19
 UND = "und"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,7 +75,7 @@ class Features:
 
 def letter_words(column: pa.Array) -> Iterator[Slice]:
     gap = _gap()
-    for first, last, data, offsets in text_slices(pc.utf8_lower(column)):
+    for first, last, data, offsets in text_slices(pc.utf8_lower(column), SLICE_BYTES):
         yield split(first, last, data, offsets, gap)
 
 
@@ -301,7 +303,7 @@ def judge(docs: DataFrame, model: Model | None) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 2048):
             n = batch.num_rows
             best, score, size = np.full(n, -1), np.zeros(n), np.zeros(n, np.int64)
             for s in letter_words(batch.column(at)) if model is not None else ():

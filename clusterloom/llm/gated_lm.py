@@ -42,7 +42,7 @@ SHAPES = 48
 ROUNDS = (1, 5, 10)
 RATE = 0.02
 END = np.uint64(0x5851F42D4C957F2D)
-SLICE = 1 << 22
+SLICE = 1 << 21
 
 
 def shape_of(s: Slice) -> np.ndarray:
