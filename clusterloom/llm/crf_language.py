@@ -316,7 +316,8 @@ def judge(docs: DataFrame, model: Model | None) -> DataFrame:
                 score[rows] = np.clip(mean.max(axis=1), 0, 1)
                 size[rows] = m
                 # Bytes above 127 are taken for letters; a text that has no others may hold none.
-                for i in np.flatnonzero((m > 0) & (m < 50)):
+                latin = np.concatenate([[0], np.cumsum((s.data >= 97) & (s.data < 123))])[s.offsets]
+                for i in np.flatnonzero((m > 0) & (np.diff(latin) == 0)):
                     text = batch.column(at)[s.first + i].as_py()
                     if not any(c.isalpha() for c in text):
                         best[s.first + i], score[s.first + i] = -1, 0.0

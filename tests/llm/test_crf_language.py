@@ -57,6 +57,16 @@ def test_edge_texts(spark, sf_dir):
     assert {r.lang_pred for r in c.predict(docs, None).collect()} == {"und"}
 
 
+def test_long_texts_without_a_letter(spark, sf_dir):
+    m = c.train(spark.read.parquet(f"{sf_dir}/documents.parquet"), F.lit(True))
+    rows = [(1, "12 – 15 € " * 60), (2, "“ ” … " * 5000), (3, "😀 " * 49), (4, "😀 " * 51), (5, "٣ ٤ " * 40), (6, "– " * 200 + "é"),
+            (7, "– " * 60 + "THE OF AND"), (8, "– € " * 60 + "слово"), (9, "– " * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in c.predict(docs, m).collect()}
+    assert {i for i, x in got.items() if x == ("und", 0.0)} == {1, 2, 3, 4, 5, 9}
+    assert all(got[i][0] != "und" and got[i][1] > 0 for i in (6, 7, 8))
+
+
 def test_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
     rows = QUERIES["op3_crf_language"](spark, sf_dir).join(docs, "doc_id").filter("held_out and lang is not null").collect()
