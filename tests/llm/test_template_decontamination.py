@@ -30,6 +30,30 @@ def test_templates_and_slots(spark):
     assert t.flag(one, bench, min_cover=13).first().contaminated is True
 
 
+def found(spark, items, docs):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    return {r.doc_id: (r.item_id, r.kind) for r in t.flag(frame, bench).collect() if r.contaminated}
+
+
+def test_names_wherever_they_stand(spark):
+    items = ["Maria has 5 apples. Maria buys 3 more. How many apples does Maria have?",
+             "Tom Miller walks slowly along the river until Tom Miller reaches the old mill near Bonn",
+             "Gravity pulls every falling stone down"]
+    docs = [
+        f"{FILL}. " + items[0].replace("Maria", "Anna") + f" {FILL}",
+        f"{FILL} Question " + items[0].replace("Maria", "Anna") + f" {FILL}",
+        items[1].replace("Tom Miller", "Eve"), items[1].replace("Tom Miller", "Jo Ann Hill"),
+        *(f"{FILL} {mark} {items[2]} {FILL}" for mark in ("-", "|", "(", "and")),
+        items[0].replace("Maria buys", "Anna buys").replace("Maria have", "Eve have"), f"{FILL}. Gravity pulls every falling leaf down",
+    ]
+    same = "reparameterised"
+    got = found(spark, items, docs)
+    assert {i: got[i] for i in range(4)} == {0: (0, same), 1: (0, same), 2: (1, same), 3: (1, same)}
+    assert {i: got[i] for i in range(4, 8)} == dict.fromkeys(range(4, 8), (2, "exact"))
+    assert 9 not in got
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
