@@ -3,7 +3,8 @@
 Words become a template: numbers, units after a number, and names turn into typed placeholders,
 everything else is lower-cased. Names are read in two ways, each matched by itself: as capitalised
 words inside a sentence, and, wherever they stand, as runs of capitalised words that are not in a
-list of common ones (a run is one slot). Windows of template words
+list of common ones (a run is one slot). A third reading keeps all words as they are, so that
+verbatim copies match whatever their share of placeholders is. Windows of template words
 of the benchmark are hash-joined with those of the documents. The windows of one item that lie in
 one document at one offset form an alignment. It counts once it covers ``min_cover`` words (or
 the whole item, if shorter) and either its slots map one-to-one between item and document, which
@@ -12,8 +13,9 @@ catches re-parameterised questions, or that many of its words are no placeholder
 Documents are filtered by a bitmap of the benchmark's window hashes before anything is shuffled;
 its size is a parameter, so a larger benchmark lets more windows through but loses none.
 
-Edge cases: null and empty texts match nothing; items with fewer than ``min_literal`` words that
-are no placeholders are no evidence and are not searched; an item shorter than a window is one
+Edge cases: null and empty texts match nothing; windows with fewer than ``min_literal`` words that
+are no placeholders are evidence of verbatim copies only; items of fewer than ``min_literal`` words
+of any kind are no evidence and are not searched; an item shorter than a window is one
 window; repeated items count once; repeated rows get the same result; null ids are kept.
 """
 
@@ -59,8 +61,8 @@ COMMON = (
     "para es son se su"
 ).split()
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (3, 5, 7))
-#: Readings: names inside sentences, word by word; capitalised words anywhere, runs merged.
-SENTENCE, FORM = 0, 1
+#: Readings: names inside sentences, word by word; capitalised words anywhere, runs merged; no slots.
+SENTENCE, FORM, EXACT = 0, 1, 2
 _SLOT = {1: "number", 2: "name", 3: "unit"}
 
 
@@ -134,6 +136,7 @@ def template_slices(column: pa.Array) -> Iterator[Tokens]:
         begins[1:] |= kind[:-1] != 2
         before = np.concatenate([[0], np.cumsum(begins)])
         yield Tokens(s, FORM, h[begins], kind[begins], np.append(np.flatnonzero(begins), n), before[s.word_offsets])
+        yield Tokens(s, EXACT, raw, np.zeros(n, np.int8), np.arange(n + 1), s.word_offsets)
 
 
 def _slots(t: Tokens, at: int, width: int, a: int, b: int) -> list[str]:
@@ -247,7 +250,7 @@ def matches(
     covered = F.size("_at")
     good = cover.select(
         *key, "_iwords", covered.cast("long").alias("covered"),
-        F.when(F.forall("_pairs", lambda p: p["a"] == p["b"]), "exact").otherwise("reparameterised").alias("kind"),
+        F.when((F.col("_reading") == EXACT) | F.forall("_pairs", lambda p: p["a"] == p["b"]), "exact").otherwise("reparameterised").alias("kind"),
         ((covered >= needed) & (one_to_one | (F.size("_literal") >= needed))).alias("_ok"),
     ).filter("_ok")
     best = good.groupBy("doc_id", "_t", "item_id").agg(

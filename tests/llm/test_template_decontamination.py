@@ -54,6 +54,13 @@ def test_names_wherever_they_stand(spark):
     assert 9 not in got
 
 
+def test_verbatim_copies_full_of_placeholders(spark):
+    items = ["What is 12 plus 30?", "3 1 4 1 5 9 2 6 5 3 5 8 9 7 9", "Anna, Ben, Carl, Dora, Eve, Fay, Gus, Hal, Ida, Jan, Kim, Leo, Max and Nora",
+             "Der Lehrer gibt dem Kind Hefte Stifte Bücher Karten Bilder Kreide Papier und Farben", "5 6 7 8"]
+    docs = [f"{FILL} {x} {FILL}" for x in items] + ["What is 13 plus 31?", "3 1 4 1 5 9 2 7 5 3 5 8 9 7 9", items[2].replace("Gus", "Gil")]
+    assert found(spark, items, docs) == {i: (i, "exact") for i in range(5)}
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
