@@ -438,12 +438,17 @@ def _link_batch(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def cluster(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, **options) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, _node)`` of every row."""
+def _classes(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, **options) -> DataFrame:
+    """Every row's ``doc_id``, ``n_shingles``, ``_node`` and ``_class``, which is null without words."""
     rows = set_sizes(docs, width)
     member = components(links(docs, width=width, percent=percent, **options))
-    joined = rows.join(member.withColumnRenamed("node", "_node"), "_node", "left").withColumn(
+    return rows.join(member.withColumnRenamed("node", "_node"), "_node", "left").withColumn(
         "_class", F.when(F.col("n_shingles") > 0, F.coalesce("component", "_node")))
+
+
+def cluster(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, **options) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, _node)`` of every row."""
+    joined = _classes(docs, width=width, percent=percent, **options)
     names = joined.filter("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("_name"))
     return joined.join(names, "_class", "left").select(
         "doc_id", "n_shingles", F.when(F.col("_class").isNull(), F.col("doc_id")).otherwise(F.col("_name")).alias("component_id"), "_node")
@@ -452,9 +457,15 @@ def cluster(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, **op
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of every component: that of the smallest ``doc_id``; all columns as they were.
 
-    Of repeated rows with that id one stays. Documents without words are no copies of each other.
+    Of repeated rows with that id, and of different texts with it, one stays. Documents without
+    words are no copies of each other.
     """
-    kept = hold(cluster(docs, **options).filter("doc_id <=> component_id")
+    joined = _classes(docs, **options)
+    row = F.struct("doc_id", "_node")
+    # A null id is kept only where a component has no other.
+    first = joined.filter("_class is not null").groupBy("_class").agg(
+        F.coalesce(F.min(F.when(F.col("doc_id").isNotNull(), row)), F.min(row)).alias("_first"))
+    kept = hold(first.select("_first.*").unionByName(joined.filter("_class is null").select("doc_id", "_node"))
                 .select(F.xxhash64("doc_id", "_node").alias("_row")).distinct())
     # Both steps need rows of one key together, so the text moves once.
     marked = docs.withColumn("_row", F.xxhash64("doc_id", node_of(F.col("text"))))

@@ -76,3 +76,13 @@ def test_query(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted((repr(r.doc_id), r.n_shingles, r.component_id) for r in QUERIES["op8_ngram_join"](spark, sf_dir).collect())
     assert got == brute(rows)
+
+
+def test_one_of_different_texts_with_one_id_stays(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = words[:199] + ["z"]
+    far = [f"v{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (1, " ".join(near)), (2, " ".join(words)), (None, " ".join(near)), (1, " ".join(far)),
+            (None, " ".join(f"u{i}" for i in range(200))), (None, " ".join([f"u{i}" for i in range(199)] + ["z"]))]
+    kept = j.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text[0]) for r in kept) == [(0, "u"), (1, "v"), (1, "w")]
