@@ -226,19 +226,22 @@ def train_slice(p: dict, b: Batch, heads: int, squares: dict, rate: float) -> No
     """One pass of truncated backpropagation over a slice's tokens, dealt to lanes in order."""
     ids = input_ids(b.cls, b.slot, heads)
     lanes = int(min(LANES, max(1, len(ids) // WINDOW)))
-    length = len(ids) // lanes
+    length = -(-len(ids) // lanes)
     grid = np.arange(length)[:, None] + np.arange(lanes) * length
     starts = np.zeros(len(ids), bool)
     starts[b.offsets[:-1]] = True
     h = np.zeros((lanes, HIDDEN), np.float32)
     for a in range(0, length, WINDOW):
         where = grid[a:a + WINDOW]
+        live = where < len(ids)  # the last lanes are padded
+        where = np.where(live, where, 0)
         h = np.where(starts[where[0]][:, None], np.float32(0), h)
-        h = _train_window(p, ids[where], b.cls[where], b.slot[where], starts[where], h, squares, rate)
+        h = _train_window(p, ids[where], b.cls[where], b.slot[where], starts[where], h, squares, rate, live)
 
 
-def _train_window(p, ids, cls, slot, starts, h, squares, rate):
+def _train_window(p, ids, cls, slot, starts, h, squares, rate, live=None):
     k = HIDDEN
+    live = np.ones(ids.shape, bool) if live is None else live
     steps, lanes = ids.shape
     # A text that begins inside the window forgets the one before: its state is zeroed.
     states = np.empty((steps + 1, lanes, k), np.float32)
@@ -254,8 +257,10 @@ def _train_window(p, ids, cls, slot, starts, h, squares, rate):
         states[i + 1] = h + z * (c - h)
         trace.append((z, r, c, a[:, 2 * k:]))
     grads = {name: np.zeros_like(v) for name, v in p.items()}
-    _, back = outputs(p, states[:-1].reshape(-1, k), cls.ravel(), slot.ravel(), grads)
-    back = back.reshape(steps, lanes, k)
+    _, held = outputs(p, states[:-1][live], cls[live], slot[live], grads)
+    back = np.zeros((steps, lanes, k), np.float32)
+    back[live] = held
+    count = len(held)
     d = np.zeros((lanes, k), np.float32)
     dx = np.empty((steps, lanes, 3 * k), np.float32)
     for i in range(steps - 1, -1, -1):
@@ -277,11 +282,11 @@ def _train_window(p, ids, cls, slot, starts, h, squares, rate):
     cut = np.flatnonzero(np.append(True, np.diff(sorted_ids) > 0))
     touched = sorted_ids[cut]
     grads.pop("embed")
-    part = np.add.reduceat(flat[order], cut, axis=0) / ids.size
+    part = np.add.reduceat(flat[order], cut, axis=0) / count
     squares["embed"][touched] += part * part
     p["embed"][touched] += rate * part / np.sqrt(squares["embed"][touched])
     for name, g in grads.items():
-        g = g / ids.size
+        g = g / count
         squares[name] += g * g
         p[name] += rate * g / np.sqrt(squares[name])
     return states[-1]

@@ -91,6 +91,25 @@ def test_gradient_matches_differences():
             assert abs((loss(up) - loss(down)) / 2e-4 - step[i]) < 2e-3 + 0.05 * abs(step[i]), name
 
 
+def test_the_tail_of_a_slice_is_trained_on(monkeypatch):
+    seen, outputs = [], g.outputs
+    monkeypatch.setattr(g, "outputs", lambda p, h, cls, slot, grads: (seen.extend(zip(cls, slot)), outputs(p, h, cls, slot, grads))[1])
+    rng = np.random.default_rng(3)
+    heads, k = 64, g.HIDDEN
+    for n in (1, 5, 30, 383, 24 * 384 + 383, 25 * 384 * 2):
+        cls = rng.integers(0, 2, n)
+        slot = rng.integers(0, g.CLASS_WORDS, n)
+        size = int(g.input_ids(cls, slot, heads).max()) + 1
+        rand = lambda *x: rng.normal(size=x).astype(np.float32) * 0.1
+        p = {"embed": rand(size, 3 * k), "recur": rand(k, 3 * k), "bias": rand(3 * k), "class": rand(k, 3), "class_bias": rand(3),
+             "inner": rand(2, k, g.CLASS_WORDS), "inner_bias": rand(2, g.CLASS_WORDS)}
+        squares = {name: np.full_like(v, 1e-2) for name, v in p.items()}
+        b = g.Batch(offsets=np.array([0, n // 2, n]), cls=cls, slot=slot, count=np.zeros(n), hash=np.zeros(n, np.uint64))
+        g.train_slice(p, b, heads, squares, 0.02)
+        assert sorted(seen) == sorted(zip(cls, slot)) and all(np.isfinite(v).all() for v in p.values())
+        seen.clear()
+
+
 def test_state_is_carried_over_windows():
     w, s, h = small()
     b = g.tokens(s, h, w)
