@@ -167,3 +167,24 @@ def op6_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", (unsigned_crc32(F.col("doc_id")) % 7 == 2).alias("held_out"), "n_tokens", "n_known",
         F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query("op13_phrase_mining", r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM w, unnest(range(1, 6)) AS t(m) WHERE len(w) >= m),
+f AS (SELECT lang, phrase, m, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS s, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+x AS (SELECT c.lang, c.phrase, a, k, l.f AS l, r.f AS r, n.n, (1000::HUGEINT * a * n.n) // (l.f::HUGEINT * r.f) AS score
+      FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(s[1:k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(s[k + 1:], ' ')
+      JOIN n ON n.lang = c.lang),
+b AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[:m - 1], ' '), array_to_string(string_split(phrase, ' ')[2:], ' ')]) AS phrase FROM f WHERE m > 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b
+      WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.lang = b.lang AND i.phrase = b.phrase AND i.f = b.a))
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM o WHERE rank <= 2000""")
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clusterloom.llm import phrase_mining
+
+    return phrase_mining.mine(read(spark, sf_dir, "documents"))
