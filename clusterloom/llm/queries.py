@@ -205,3 +205,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clusterloom.llm import hard_negatives
 
     return hard_negatives.mine(read(spark, sf_dir, "embeddings"))
+
+
+@query("op12_host_suffixes")
+def op12_host_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from clusterloom.llm import host_suffixes
+
+    return host_suffixes.extract(read(spark, sf_dir, "pages"))
