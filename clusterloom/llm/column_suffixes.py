@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.common import by_value, hold, small_batches
+from clusterloom.llm.common import by_value, fenced, hold, small_batches
 from clusterloom.llm.words import _POWERS, mix, text_slices
 
 by_value(__name__)
@@ -302,9 +302,10 @@ def repeated(docs: DataFrame, *, length: int = LENGTH, limit: int = LIMIT) -> Da
     text = text.withColumn("_row", F.xxhash64("doc_id", "_t"))
     rows = hold(_segment_rows(text, length))
     place = F.struct("_t", "lo")
-    keys = rows.groupBy("key").agg(
+    # Held apart from the join, so that rows of one frequent key can be dealt to several tasks.
+    keys = hold(rows.groupBy("key").agg(
         F.min(place).alias("a"), F.max(place).alias("b"), F.min("seg").alias("s"), F.max("seg").alias("u")
-    ).filter("a <> b").select("key", (F.col("s") != F.col("u")).alias("several"))
+    ).filter("a <> b").select("key", (F.col("s") != F.col("u")).alias("several")))
     alive = hold(rows.join(keys, "key"))
     mixed = alive.filter("several").groupBy("key", "seg").agg(
         F.min(F.struct("_t", "lo", "_row")).alias("a"), F.max(place).alias("b"), F.first("hi").alias("_hi"), F.first("lo").alias("_lo"), F.first("shift").alias("shift"))
@@ -343,7 +344,15 @@ def repeated(docs: DataFrame, *, length: int = LENGTH, limit: int = LIMIT) -> Da
 
 
 def remove(docs: DataFrame, *, length: int = LENGTH, limit: int = LIMIT) -> DataFrame:
-    """All rows of ``docs`` with ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans``."""
+    """All rows of ``docs`` with ``kept`` (binary), ``n_bytes``, ``n_removed``, ``n_spans``, which
+    replace columns of these names; all other columns stay, whatever their names."""
+    apart, _ = fenced(docs, "doc_id", "text")
+    out = _remove(apart, length, limit)
+    added = ("kept", "n_bytes", "n_removed", "n_spans")
+    return out.select(*[F.col(n).alias(o) for n, o in zip(apart.columns, docs.columns) if o not in added], *added)
+
+
+def _remove(docs: DataFrame, length: int, limit: int) -> DataFrame:
     found = hold(repeated(docs, length=length, limit=limit)).select("_t", F.col("starts.a").alias("_a"), F.col("starts.b").alias("_b"))
     names = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
     rows = docs.select(*names, F.xxhash64("text").alias("_t")).join(found, "_t", "left").select(*names, "_a", "_b")
@@ -377,14 +386,14 @@ def remove(docs: DataFrame, *, length: int = LENGTH, limit: int = LIMIT) -> Data
 
 
 def remove_text(docs: DataFrame, *, length: int = LENGTH, limit: int = LIMIT) -> DataFrame:
-    """As ``remove``, with ``text`` itself cut: a null text stays null, and what is left of a
-    character whose other bytes went is dropped too."""
-    cut = remove(docs, length=length, limit=limit)
-    whole = F.when(F.col("n_removed") == 0, F.col("text"))
-    order = [c for c in cut.columns if c != "kept"]
-    names = [*order, "kept"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.select(*order).schema)
-    at = order.index("text")
+    """``docs`` with ``text`` cut and all other columns as they were: a null text stays null, and
+    what is left of a character whose other bytes went is dropped too. ``n_chars``, if there, is
+    counted anew for texts that were cut."""
+    apart, back = fenced(docs, "doc_id", "text", "n_chars")
+    cut = _remove(apart, length, limit)
+    names = [*apart.columns, "kept"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in apart.schema)
+    at = apart.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -392,8 +401,15 @@ def remove_text(docs: DataFrame, *, length: int = LENGTH, limit: int = LIMIT) ->
                      for t, k in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
             columns = list(batch.columns[:-1])
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, order)
+            yield pa.RecordBatch.from_arrays(columns, names[:-1])
 
     # Only texts that were cut are decoded; the others keep their value.
-    rows = cut.withColumn("kept", F.when(F.col("n_removed") > 0, F.col("kept"))).withColumn("text", whole)
-    return rows.select(*names).mapInArrow(run, schema)
+    changed = F.col("n_removed") > 0
+    rows = cut.withColumns({"kept": F.when(changed, F.col("kept")), "text": F.when(~changed, F.col("text"))})
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(~changed, F.col("n_chars")))
+    out = rows.select(*names, "n_removed").drop("n_removed").mapInArrow(run, schema)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.coalesce("n_chars", F.length("text").cast(kind)))
+    return back(out)

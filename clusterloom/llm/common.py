@@ -24,6 +24,32 @@ def small_batches(batches, rows: int = 512):
             yield batch.slice(start, rows)
 
 
+def buffers(batch, columns) -> list:
+    """Rows of binary columns as views of a record batch's own memory."""
+    import numpy as np
+
+    out = []
+    for c in columns:
+        column = batch.column(c)
+        _, where, data = column.buffers()
+        ends = np.frombuffer(where, np.int32)[column.offset:column.offset + len(column) + 1]
+        raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        out.append([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())])
+    return out
+
+
+def fenced(df: DataFrame, *needed: str):
+    """``df`` with all columns but the ``needed`` ones under names that operators do not use, and a
+    function that gives a result its old columns back, in their old order, and drops all others."""
+    old = df.columns
+    new = [c if c in needed else f"_other_{i}" for i, c in enumerate(old)]
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(f"`{n}`").alias(o) for n, o in zip(new, old)])
+
+    return df.toDF(*new), back
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -77,6 +103,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return member.unionByName(roots)
 
 
+def short_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bound the bytes of a record batch between Spark and Python, as rows may hold long texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().getConfString(key, str(size))
+    number = int("".join(c for c in now if c.isdigit() or c == "-") or size)
+    if not 0 < number <= size:
+        spark.conf.set(key, str(size))
+
+
 def stage_folder(spark: SparkSession) -> str:
     """A new folder in the shared checkpoint folder, for tables that later stages read again."""
     import uuid

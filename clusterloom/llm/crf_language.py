@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.common import by_value, small_batches
+from clusterloom.llm.common import by_value, fenced, small_batches
 from clusterloom.llm.words import Slice, hash_words, split, text_slices
 
 by_value(__name__)
@@ -328,6 +328,14 @@ def judge(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select(*names).mapInArrow(run, schema + ", lang_pred string, lang_score double, lang_words long")
 
 
+def accept(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
+    """The rows whose text is in a learned language with a mean probability of ``least`` or more,
+    all columns as they were, whatever their names."""
+    apart, back = fenced(docs, "doc_id", "text", "lang")
+    judged = judge(apart, model)
+    return back(judged.filter((F.col("lang_pred") != UND) & (F.col("lang_score") >= least)))
+
+
 def train(
     docs: DataFrame, where: Column, *, sample_rows: int = SAMPLE_ROWS, windows: int = WINDOWS, window_words: int = WINDOW_WORDS
 ) -> Model | None:

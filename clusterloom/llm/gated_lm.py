@@ -9,7 +9,8 @@ the output is a class softmax times a softmax within the class, or times a count
 A gated recurrent unit reads the words. Training is truncated backpropagation in numpy: texts run
 side by side in lanes, the state is carried from one window to the next, gradients stop at the
 window. Every training text is read once: rounds take growing parts of the texts, each task trains
-from the round's weights on its own texts, and weights are averaged by tokens, in a tree. Scoring
+from the round's weights on its own texts, and weights are averaged by tokens, in a tree. Tasks get
+their texts by hash, in the order of another hash, so weights do not depend on a table's splits. Scoring
 carries the state through whole texts, so a score is that of the complete document.
 
 Only counts of the ``table`` most frequent words travel to the tasks. Counts of the rest meet the
@@ -22,6 +23,7 @@ untrained weights; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,6 +43,8 @@ SHAPES = 48
 #: Parts of the training texts, in sixteenths, that the rounds read.
 ROUNDS = (1, 5, 10)
 RATE = 0.02
+#: Training tokens of one task.
+SLICE_TOKENS = 1500000
 END = np.uint64(0x5851F42D4C957F2D)
 SLICE = 1 << 21
 
@@ -91,8 +95,10 @@ def tokens(s: Slice, h: np.ndarray, w: Words) -> Batch:
     ends = offsets[1:] - 1
     heads = len(w.head_counts)
     classes = -(-heads // CLASS_WORDS)
-    at = np.searchsorted(w.hashes, h) if len(w.hashes) else np.zeros(len(h), np.int64)
-    at = np.minimum(at, max(0, len(w.hashes) - 1))
+    at = np.zeros(len(h), np.int64)
+    if len(w.hashes):  # a sorted search runs through the table once
+        order = np.argsort(h)
+        at[order] = np.minimum(np.searchsorted(w.hashes, h[order]), len(w.hashes) - 1)
     known = w.hashes[at] == h if len(w.hashes) else np.zeros(len(h), bool)
     rank = np.where(known, w.slot[at] if len(w.hashes) else -1, -1)
     cls[place] = np.where(rank >= 0, rank // CLASS_WORDS, classes + 1 + shape_of(s))
@@ -125,61 +131,87 @@ def start_weights(w: Words, seed: int = 3) -> dict[str, np.ndarray]:
     }
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.negative(x, x)
+    np.exp(x, x)
+    x += 1
+    return np.reciprocal(x, x)
 
 
-def forward(p: dict, ids: np.ndarray, h: np.ndarray, keep: bool):
-    """States of ``ids`` (steps x lanes) from ``h``: the state *before* each token, and the last."""
+def _step(x: np.ndarray, a: np.ndarray, h: np.ndarray, out: np.ndarray):
+    """One step of the gated unit into ``out``; ``x`` (the input's part) becomes gates and candidate.
+
+    Columns are lanes, so gates and candidate are contiguous.
+    """
     k = HIDDEN
+    gate, c = x[:2 * k], x[2 * k:]
+    gate += a[:2 * k]
+    _sigmoid(gate)
+    z, r = gate[:k], gate[k:]
+    c += r * a[2 * k:]
+    np.tanh(c, c)
+    np.subtract(c, h, out)
+    out *= z
+    out += h
+    return z, r, c
+
+
+def _inputs(p: dict, ids: np.ndarray) -> np.ndarray:
+    """The inputs' parts of all gates: steps x gates x lanes."""
+    return np.ascontiguousarray((p["embed"] + p["bias"])[ids].transpose(0, 2, 1))
+
+
+def _rows(states: np.ndarray) -> np.ndarray:
+    """States as rows, step after step."""
+    return states.transpose(0, 2, 1).reshape(-1, HIDDEN)
+
+
+def forward(p: dict, ids: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """States (steps x units x lanes) of ``ids`` from ``h``: that *before* each token, and the last."""
     steps, lanes = ids.shape
-    states = np.empty((steps + 1, lanes, k), np.float32)
+    states = np.empty((steps + 1, HIDDEN, lanes), np.float32)
     states[0] = h
-    trace = []
-    x = p["embed"][ids] + p["bias"]
+    x, recur = _inputs(p, ids), np.ascontiguousarray(p["recur"].T)
     for i in range(steps):
-        h = states[i]
-        a = h @ p["recur"]
-        gate = _sigmoid(x[i, :, :2 * k] + a[:, :2 * k])
-        z, r = gate[:, :k], gate[:, k:]
-        c = np.tanh(x[i, :, 2 * k:] + r * a[:, 2 * k:])
-        states[i + 1] = h + z * (c - h)
-        if keep:
-            trace.append((z, r, c, a[:, 2 * k:]))
-    return states, trace
+        _step(x[i], recur @ states[i], states[i], states[i + 1])
+    return states
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=-1, keepdims=True))
+def shares(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of logits, in place, and their sums; logits beyond +-80 are cut there."""
+    np.clip(x, -80, 80, out=x)
+    np.exp(x, x)
+    return x, x @ np.ones(x.shape[1], x.dtype)
 
 
 def outputs(p: dict, state: np.ndarray, cls: np.ndarray, slot: np.ndarray, grads: dict | None):
     """Natural log probability of each token's class and place in it; adds gradients if asked."""
-    logits = log_softmax(state @ p["class"] + p["class_bias"])
     at = np.arange(len(cls))
-    value = logits[at, cls].astype(np.float64)
+    e, total = shares(state @ p["class"] + p["class_bias"])
+    value = np.log(e[at, cls] / total).astype(np.float64)
     back = None
     if grads is not None:
-        d = -np.exp(logits)
-        d[at, cls] += 1
-        grads["class"] += state.T @ d
-        grads["class_bias"] += d.sum(axis=0)
-        back = d @ p["class"].T
+        e *= (-1 / total)[:, None]
+        e[at, cls] += 1
+        grads["class"] += state.T @ e
+        grads["class_bias"] += e.sum(axis=0)
+        back = e @ p["class"].T
     head = np.flatnonzero(slot >= 0)
     if len(head):
         head = head[np.argsort(cls[head].astype(np.int16), kind="stable")]
         cut = np.append(np.flatnonzero(np.append(True, np.diff(cls[head]) > 0)), len(head))
+        states, places = state[head], slot[head]
         for a, b in zip(cut[:-1], cut[1:]):
             rows = head[a:b]
             c = cls[rows[0]]
-            s = state[rows]
-            y = log_softmax(s @ p["inner"][c] + p["inner_bias"][c])
-            each = np.arange(len(rows))
-            value[rows] += y[each, slot[rows]]
+            s = states[a:b]
+            e, total = shares(s @ p["inner"][c] + p["inner_bias"][c])
+            each = np.arange(b - a)
+            value[rows] += np.log(e[each, places[a:b]] / total)
             if grads is not None:
-                e = -np.exp(y)
-                e[each, slot[rows]] += 1
+                e *= (-1 / total)[:, None]
+                e[each, places[a:b]] += 1
                 grads["inner"][c] += s.T @ e
                 grads["inner_bias"][c] += e.sum(axis=0)
                 back[rows] += e @ p["inner"][c].T
@@ -201,22 +233,22 @@ def score_rows(p: dict, cls: np.ndarray, slot: np.ndarray, sizes: np.ndarray, he
     order = np.argsort(-sizes, kind="stable")
     begin, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
     out = np.zeros(n)
-    h = np.zeros((n, HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, n), np.float32)
     at, live = 0, n
     while live:
         step = int(min(window, max(1, sizes[:live].max() - at)))
         where = begin[:live] + at + np.arange(step)[:, None]
         inside = at + np.arange(step)[:, None] < sizes[:live]
         where = np.where(inside, where, 0)
-        states, _ = forward(p, ids[where], h[:live], False)
+        states = forward(p, ids[where], h[:, :live])
         flat = np.flatnonzero(inside.ravel())
-        before = states[:-1].reshape(-1, HIDDEN)
+        before = _rows(states[:-1])
         place = where.ravel()
         for a in range(0, len(flat), 1 << 16):
             some = flat[a:a + (1 << 16)]
             value, _ = outputs(p, before[some], cls[place[some]], slot[place[some]], None)
             out[order[:live]] += np.bincount(some % live, value, live)
-        h[:live] = states[-1]
+        h[:, :live] = states[-1]
         at += step
         live = int(np.searchsorted(-sizes, -at, "left"))
     return out
@@ -230,51 +262,66 @@ def train_slice(p: dict, b: Batch, heads: int, squares: dict, rate: float) -> No
     grid = np.arange(length)[:, None] + np.arange(lanes) * length
     starts = np.zeros(len(ids), bool)
     starts[b.offsets[:-1]] = True
-    h = np.zeros((lanes, HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, lanes), np.float32)
     for a in range(0, length, WINDOW):
         where = grid[a:a + WINDOW]
-        live = where < len(ids)  # the last lanes are padded
-        where = np.where(live, where, 0)
-        h = np.where(starts[where[0]][:, None], np.float32(0), h)
+        live = None
+        if where[-1, -1] >= len(ids):  # the last lanes are padded
+            live = where < len(ids)
+            where = np.where(live, where, 0)
+        h = np.where(starts[where[0]], np.float32(0), h)
         h = _train_window(p, ids[where], b.cls[where], b.slot[where], starts[where], h, squares, rate, live)
 
 
 def _train_window(p, ids, cls, slot, starts, h, squares, rate, live=None):
     k = HIDDEN
-    live = np.ones(ids.shape, bool) if live is None else live
     steps, lanes = ids.shape
     # A text that begins inside the window forgets the one before: its state is zeroed.
-    states = np.empty((steps + 1, lanes, k), np.float32)
+    states = np.empty((steps + 1, k, lanes), np.float32)
     states[0] = h
-    x = p["embed"][ids] + p["bias"]
+    x, recur = _inputs(p, ids), np.ascontiguousarray(p["recur"].T)
     trace = []
     for i in range(steps):
-        h = states[i] = np.where(starts[i][:, None], np.float32(0), states[i]) if starts[i].any() else states[i]
-        a = h @ p["recur"]
-        gate = _sigmoid(x[i, :, :2 * k] + a[:, :2 * k])
-        z, r = gate[:, :k], gate[:, k:]
-        c = np.tanh(x[i, :, 2 * k:] + r * a[:, 2 * k:])
-        states[i + 1] = h + z * (c - h)
-        trace.append((z, r, c, a[:, 2 * k:]))
+        if starts[i].any():
+            states[i][:, starts[i]] = 0
+        a = recur @ states[i]
+        trace.append((*_step(x[i], a, states[i], states[i + 1]), a[2 * k:]))
     grads = {name: np.zeros_like(v) for name, v in p.items()}
-    _, held = outputs(p, states[:-1][live], cls[live], slot[live], grads)
-    back = np.zeros((steps, lanes, k), np.float32)
-    back[live] = held
-    count = len(held)
-    d = np.zeros((lanes, k), np.float32)
-    dx = np.empty((steps, lanes, 3 * k), np.float32)
+    rows = _rows(states[:-1])
+    if live is None:
+        count = ids.size
+        _, back = outputs(p, rows, cls.ravel(), slot.ravel(), grads)
+    else:
+        kept = np.flatnonzero(live.ravel())
+        count = len(kept)
+        _, held = outputs(p, rows[kept], cls.ravel()[kept], slot.ravel()[kept], grads)
+        back = np.zeros((ids.size, k), np.float32)
+        back[kept] = held
+    back = np.ascontiguousarray(back.reshape(steps, lanes, k).transpose(0, 2, 1))
+    d = np.zeros((k, lanes), np.float32)
+    dx = np.empty((steps, 3 * k, lanes), np.float32)
+    da = np.empty((3 * k, lanes), np.float32)
     for i in range(steps - 1, -1, -1):
         z, r, c, ac = trace[i]
-        h = states[i]
-        dc = d * z * (1 - c * c)
-        dz = d * (c - h) * z * (1 - z)
-        dr = dc * ac * r * (1 - r)
-        dx[i, :, :k], dx[i, :, k:2 * k], dx[i, :, 2 * k:] = dz, dr, dc
-        da = np.concatenate([dz, dr, dc * r], axis=1)
-        grads["recur"] += h.T @ da
-        d = d * (1 - z) + da @ p["recur"].T + back[i]
+        dz, dr, dc = dx[i, :k], dx[i, k:2 * k], dx[i, 2 * k:]
+        np.subtract(c, states[i], dz)
+        dz *= z
+        dz *= 1 - z
+        dz *= d
+        np.multiply(d, z, dc)
+        c *= c
+        dc -= dc * c
+        np.multiply(dc, r, da[2 * k:])
+        np.multiply(da[2 * k:], ac, dr)
+        dr *= 1 - r
+        da[:2 * k] = dx[i, :2 * k]
+        grads["recur"] += states[i] @ da.T
+        d *= 1 - z
+        d += p["recur"] @ da
+        d += back[i]
         if starts[i].any():
-            d = np.where(starts[i][:, None], np.float32(0), d)
+            d[:, starts[i]] = 0
+    dx = dx.transpose(0, 2, 1)
     flat = dx.reshape(-1, 3 * k)
     grads["bias"] += flat.sum(axis=0)
     order = np.argsort(ids.ravel().astype(np.int16), kind="stable")
@@ -381,7 +428,10 @@ def fit(docs: DataFrame, w: Words, rounds=ROUNDS, rate: float = RATE) -> dict:
                 both = np.concatenate([_flat(own), _flat(squares)]).astype(np.float64) * seen
                 yield pa.RecordBatch.from_arrays([pa.array([both.astype(np.float32).tobytes()], pa.binary()), pa.array([float(seen)])], ["weights", "n"])
 
-        chosen = docs.filter((part >= begin) & (part < begin + width)).select("text")
+        # Slices and their order depend on the texts alone, not on how the table is split.
+        slices = max(1, math.ceil(w.total * width / sum(rounds) / SLICE_TOKENS))
+        chosen = docs.filter((part >= begin) & (part < begin + width)).select("text").repartition(
+            slices, F.xxhash64("text", F.lit(6))).sortWithinPartitions(F.xxhash64("text", F.lit(7)))
         begin += width
         total = _sum_tree(chosen.mapInArrow(run, "weights binary, n double"))
         if total is not None:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.common import by_value, components, hold
+from clusterloom.llm.common import buffers, by_value, components, fenced, hold
 from clusterloom.llm.words import mix, window_hashes, windows_inside, word_slices
 
 by_value(__name__)
@@ -42,6 +42,9 @@ WIDTH, PERCENT = 5, 80
 BUCKET_BYTES, BLOCK = 24 << 20, 1024
 #: Lists up to this length name their open pairs; longer ones are verified block by block.
 SHORT = 32
+#: A bucket is worked on in shares of its tokens or documents.
+SHARE_BITS = 3
+SHARES = 1 << SHARE_BITS
 #: Documents of a slice that make a token hot; frequency of a hot token.
 HOT, MOST = 32, 65535
 SEEDS = tuple(np.uint64(s) for s in (0x1F83D9AB, 0x5BE0CD19, 0x3C6EF372))
@@ -125,6 +128,21 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tup
         yield current, rows
 
 
+def _viewed(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """As ``_grouped``, with the binary columns after the keys as views, not copies."""
+    current, rows = None, []
+    for batch in batches:
+        names = zip(*(batch.column(c).to_pylist() for c in range(keys)))
+        for key, *row in zip(names, *buffers(batch, range(keys, batch.num_columns))):
+            if key != current and rows:
+                yield current, rows
+                rows = []
+            current = key
+            rows.append(tuple(row))
+    if rows:
+        yield current, rows
+
+
 _ENTRY = "part int, nodes binary, sizes binary, counts binary, tokens binary, dfs binary"
 _ENTRY_NAMES = ["part", "nodes", "sizes", "counts", "tokens", "dfs"]
 
@@ -177,47 +195,60 @@ def shared_tokens(docs: DataFrame, width: int, bits: int) -> DataFrame:
                     [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])],
                     ["part", "salt", *_ENTRY_NAMES[1:]])
 
+    def count(part: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        token, node, size, hot = [], [], [], []
+        for nodes, sizes, owner, high, low in rows:
+            token.append((high.astype(np.uint64) << np.uint64(16)) | low)
+            hot.append(owner == len(nodes))
+            owner = np.minimum(owner, len(nodes) - 1)
+            node.append(nodes[owner])
+            size.append(sizes[owner])
+        token, node, size, hot = map(np.concatenate, (token, node, size, hot))
+        order = np.argsort(token)
+        token = token[order]
+        cut = _runs(token)
+        n = np.diff(cut)
+        if not len(n):
+            return
+        marked = np.logical_or.reduceat(hot[order], cut[:-1])
+        keep = np.repeat((n > 1) | marked, n)
+        order, token = order[keep], token[keep]
+        node, size, hot = node[order], size[order], hot[order]
+        order = np.lexsort((hot, node, token))  # copies of a text in other slices
+        token, node, size, hot = token[order], node[order], size[order], hot[order]
+        run = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else np.zeros(0, bool)
+        group = np.cumsum(run) - 1
+        marked = np.bincount(group, hot) > 0 if len(token) else np.zeros(0, bool)
+        again = np.zeros(len(token), bool)
+        again[1:] = (token[1:] == token[:-1]) & (node[1:] == node[:-1])
+        live = ~again & ~hot
+        df = np.bincount(group[live], minlength=len(marked)) if len(token) else np.zeros(0, int)
+        df = np.where(marked, MOST, np.minimum(df, MOST - 1))
+        live &= df[group] > 1
+        if live.any():
+            full = token[live] | (np.uint64(part << (64 - bits)) if bits else np.uint64(0))
+            out = list(_pack(bits, node[live], size[live], full, df[group[live]], 0))
+            for i in range(0, len(out), 64):
+                yield _entry_batch(out[i:i + 64])
+
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (part, salt), rows in _grouped(batches, 2):
+        for (part, salt), rows in _viewed(batches, 2):
             if salt:
                 for r in rows:
-                    yield _entry_batch([(part, *(r[c] for c in _ENTRY_NAMES[1:]))])
+                    yield _entry_batch([(part, *(x.tobytes() for x in r))])
                 continue
-            token, node, size, hot = [], [], [], []
-            for r in rows:
-                nodes = np.frombuffer(r["nodes"], np.uint64)
-                high = np.frombuffer(r["tokens"], np.uint32).astype(np.uint64)
-                owner = np.frombuffer(r["counts"], np.uint16 if len(nodes) < 65536 else np.uint32)
-                token.append((high << np.uint64(16)) | np.frombuffer(r["dfs"], np.uint16))
-                hot.append(owner == len(nodes))
-                owner = np.minimum(owner, len(nodes) - 1)
-                node.append(nodes[owner])
-                size.append(np.frombuffer(r["sizes"], np.uint32)[owner])
-            token, node, size, hot = map(np.concatenate, (token, node, size, hot))
-            order = np.argsort(token)
-            token = token[order]
-            cut = _runs(token)
-            n = np.diff(cut)
-            marked = np.logical_or.reduceat(hot[order], cut[:-1])
-            keep = np.repeat((n > 1) | marked, n)
-            order, token = order[keep], token[keep]
-            node, size, hot = node[order], size[order], hot[order]
-            order = np.lexsort((hot, node, token))  # copies of a text in other slices
-            token, node, size, hot = token[order], node[order], size[order], hot[order]
-            run = np.concatenate([[True], token[1:] != token[:-1]]) if len(token) else np.zeros(0, bool)
-            group = np.cumsum(run) - 1
-            marked = np.bincount(group, hot) > 0 if len(token) else np.zeros(0, bool)
-            again = np.zeros(len(token), bool)
-            again[1:] = (token[1:] == token[:-1]) & (node[1:] == node[:-1])
-            live = ~again & ~hot
-            df = np.bincount(group[live], minlength=len(marked)) if len(token) else np.zeros(0, int)
-            df = np.where(marked, MOST, np.minimum(df, MOST - 1))
-            live &= df[group] > 1
-            if live.any():
-                full = token[live] | (np.uint64(part << (64 - bits)) if bits else np.uint64(0))
-                out = list(_pack(bits, node[live], size[live], full, df[group[live]], 0))
-                for i in range(0, len(out), 64):
-                    yield _entry_batch(out[i:i + 64])
+            views = [(nodes.view(np.uint64), sizes.view(np.uint32), owner.view(np.uint16 if len(nodes) < 8 * 65536 else np.uint32),
+                      high.view(np.uint32), low.view(np.uint16)) for nodes, sizes, owner, high, low in rows]
+            del rows
+            # Tokens of one share at a time, so only the packed rows are held whole.
+            for share in range(SHARES):
+                some = []
+                for nodes, sizes, owner, high, low in views:
+                    at = np.flatnonzero(high >> np.uint32(32 - SHARE_BITS) == share)
+                    if len(at):
+                        some.append((nodes, sizes, owner[at], high[at], low[at]))
+                if some:
+                    yield from count(part, some)
 
     sent = docs.select(node_of(F.col("text")).alias("_node"), "text").filter("text is not null").mapInArrow(
         scatter, "part int, salt int, nodes binary, sizes binary, counts binary, tokens binary, dfs binary")
@@ -235,38 +266,45 @@ def candidates(entries: DataFrame, percent: int) -> DataFrame:
     ``prefixes`` holds the prefix under each order, one after the other.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _grouped(batches, 1):
-            node, size, token, df = [], [], [], []
-            for r in rows:
-                counts = np.frombuffer(r["counts"], np.uint32)
-                node.append(np.repeat(np.frombuffer(r["nodes"], np.uint64), counts))
-                size.append(np.repeat(np.frombuffer(r["sizes"], np.uint32), counts))
-                token.append(np.frombuffer(r["tokens"], np.uint64))
-                df.append(np.frombuffer(r["dfs"], np.uint16))
-            node, size, token, df = map(np.concatenate, (node, size, token, df))
-            order = np.lexsort((token, node))
-            node, size, token, df = node[order], size[order].astype(np.int64), token[order], df[order]
-            once = np.ones(len(node), bool)
-            once[1:] = (node[1:] != node[:-1]) | (token[1:] != token[:-1])
-            node, size, token, df = node[once], size[once], token[once], df[once]
-            cut = _runs(node)
-            k = np.diff(cut)
-            n = size[cut[:-1]]
-            prefix = n - (percent * n + 99) // 100 + 1 - (n - k)
-            chosen = np.flatnonzero(prefix > 0)
-            out = []
-            for i in chosen:
-                a, b, p = cut[i], cut[i + 1], int(prefix[i])
-                t, d = token[a:b], df[a:b].astype(np.int64)
-                ranks = (d, np.frexp(d)[1], np.zeros(len(d), np.int64))
-                pre = [t[np.lexsort((mix(t ^ seed), rank))[:p]] for seed, rank in zip(SEEDS, ranks)]
-                out.append((int(node[a:a + 1].view(np.int64)[0]), int(n[i]), t.tobytes(), np.concatenate(pre).tobytes()))
-                if len(out) == 2000:
-                    yield _node_batch(out)
-                    out = []
-            if out:
+    def choose(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        node, size, token, df = map(np.concatenate, zip(*rows))
+        order = np.lexsort((token, node))
+        node, size, token, df = node[order], size[order].astype(np.int64), token[order], df[order]
+        once = np.ones(len(node), bool)
+        once[1:] = (node[1:] != node[:-1]) | (token[1:] != token[:-1])
+        node, size, token, df = node[once], size[once], token[once], df[once]
+        cut = _runs(node)
+        k = np.diff(cut)
+        n = size[cut[:-1]]
+        prefix = n - (percent * n + 99) // 100 + 1 - (n - k)
+        chosen = np.flatnonzero(prefix > 0)
+        out = []
+        for i in chosen:
+            a, b, p = cut[i], cut[i + 1], int(prefix[i])
+            t, d = token[a:b], df[a:b].astype(np.int64)
+            ranks = (d, np.frexp(d)[1], np.zeros(len(d), np.int64))
+            pre = [t[np.lexsort((mix(t ^ seed), rank))[:p]] for seed, rank in zip(SEEDS, ranks)]
+            out.append((int(node[a:a + 1].view(np.int64)[0]), int(n[i]), t.tobytes(), np.concatenate(pre).tobytes()))
+            if len(out) == 500:
                 yield _node_batch(out)
+                out = []
+        if out:
+            yield _node_batch(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _viewed(batches, 1):
+            views = [(nodes.view(np.uint64), sizes.view(np.uint32), counts.view(np.uint32), tokens.view(np.uint64), dfs.view(np.uint16))
+                     for nodes, sizes, counts, tokens, dfs in rows]
+            del rows
+            for share in range(SHARES):  # the documents of one share at a time
+                some = []
+                for nodes, sizes, counts, tokens, dfs in views:
+                    mine = mix(nodes) >> np.uint64(64 - SHARE_BITS) == share
+                    if mine.any():
+                        at = np.repeat(mine, counts)
+                        some.append((np.repeat(nodes[mine], counts[mine]), np.repeat(sizes[mine], counts[mine]), tokens[at], dfs[at]))
+                if some:
+                    yield from choose(some)
 
     return entries.repartition("part").sortWithinPartitions("part").mapInArrow(
         run, "node long, n long, tokens binary, prefixes binary")
@@ -440,7 +478,7 @@ def _link_batch(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def _classes(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, **options) -> DataFrame:
     """Every row's ``doc_id``, ``n_shingles``, ``_node`` and ``_class``, which is null without words."""
-    rows = set_sizes(docs, width)
+    rows = hold(set_sizes(docs, width))
     member = components(links(docs, width=width, percent=percent, **options))
     return rows.join(member.withColumnRenamed("node", "_node"), "_node", "left").withColumn(
         "_class", F.when(F.col("n_shingles") > 0, F.coalesce("component", "_node")))
@@ -449,17 +487,19 @@ def _classes(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, **o
 def cluster(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, **options) -> DataFrame:
     """``(doc_id, n_shingles, component_id, _node)`` of every row."""
     joined = _classes(docs, width=width, percent=percent, **options)
-    names = joined.filter("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("_name"))
-    return joined.join(names, "_class", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("_class").isNull(), F.col("doc_id")).otherwise(F.col("_name")).alias("component_id"), "_node")
+    # Held apart, so that rows of one large class can be dealt to several tasks in the join.
+    names = hold(joined.filter("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("_name")))
+    named = joined.filter("_class is not null").join(names, "_class").select("doc_id", "n_shingles", F.col("_name").alias("component_id"), "_node")
+    return named.unionByName(joined.filter("_class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "_node"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of every component: that of the smallest ``doc_id``; all columns as they were.
 
     Of repeated rows with that id, and of different texts with it, one stays. Documents without
-    words are no copies of each other.
+    words are no copies of each other. Columns keep their names, whatever those are.
     """
+    docs, back = fenced(docs, "doc_id", "text")
     joined = _classes(docs, **options)
     row = F.struct("doc_id", "_node")
     # A null id is kept only where a component has no other.
@@ -469,4 +509,4 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
                 .select(F.xxhash64("doc_id", "_node").alias("_row")).distinct())
     # Both steps need rows of one key together, so the text moves once.
     marked = docs.withColumn("_row", F.xxhash64("doc_id", node_of(F.col("text"))))
-    return marked.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    return back(marked.join(kept, "_row", "left_semi").dropDuplicates(["_row"]))

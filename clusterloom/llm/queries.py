@@ -81,6 +81,11 @@ def in_training(modulus: int, held_out: int):
     return F.coalesce(unsigned_crc32(F.col("doc_id")) % modulus != held_out, F.lit(False))
 
 
+def held_out(modulus: int, remainder: int):
+    """The column ``held_out``; false for a null id."""
+    return F.coalesce(unsigned_crc32(F.col("doc_id")) % modulus == remainder, F.lit(False)).alias("held_out")
+
+
 @query("op3_crf_language")
 def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clusterloom.llm import crf_language
@@ -88,7 +93,7 @@ def op3_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = crf_language.train(docs, in_training(3, 1))
     return crf_language.predict(docs, model).select(
-        "doc_id", (unsigned_crc32(F.col("doc_id")) % 3 == 1).alias("held_out"), "lang_pred", "score")
+        "doc_id", held_out(3, 1), "lang_pred", "score")
 
 
 @query("op10_template_decontamination")
@@ -165,7 +170,7 @@ def op6_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scored, n = gated_lm.score_documents(read(spark, sf_dir, "documents"), in_training(7, 2))
     return scored.select(
-        "doc_id", (unsigned_crc32(F.col("doc_id")) % 7 == 2).alias("held_out"), "n_tokens", "n_known",
+        "doc_id", held_out(7, 2), "n_tokens", "n_known",
         F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clusterloom.llm.common import by_value, hold
+from clusterloom.llm.common import by_value, fenced, hold
 from clusterloom.llm.words import (
     Slice, hash_words, lower_table, mix, space_table, split, text_slices, window_hashes, windows_inside,
 )
@@ -274,6 +274,7 @@ def flag(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without a match, all columns as they were."""
+    """The documents without a match, all columns as they were, whatever their names."""
+    docs, back = fenced(docs, "doc_id", "text")
     hits = hold(matches(docs, benchmark, **options).select("doc_id", "_t").distinct())
-    return _joined(docs.withColumn("_t", F.xxhash64("text")), hits, "left_anti").select(*docs.columns)
+    return back(_joined(docs.withColumn("_t", F.xxhash64("text")), hits, "left_anti"))

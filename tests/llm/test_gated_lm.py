@@ -79,7 +79,7 @@ def test_gradient_matches_differences():
 
     moved = {k: v.astype(np.float32) for k, v in base.items()}
     squares = {k: np.full(v.shape, 1e6, np.float32) for k, v in moved.items()}
-    g._train_window(moved, ids, cls, slot, starts, np.zeros((2, g.HIDDEN), np.float32), squares, 1e6)
+    g._train_window(moved, ids, cls, slot, starts, np.zeros((g.HIDDEN, 2), np.float32), squares, 1e6)
     for name in base:
         step = (moved[name].astype(np.float64) - base[name]) / 1e3  # rate over the root of the squares
         for at in np.argsort(-np.abs(step).ravel())[:3]:

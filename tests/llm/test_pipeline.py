@@ -55,3 +55,23 @@ def test_cut_characters(spark):
     docs = spark.createDataFrame([(1, "x" + passage + "Ã", None), (2, "yy" + passage + "Â", 3), (3, None, 1)], "doc_id long, text string, n_spans int")
     got = {r.doc_id: r.text for r in column_suffixes.remove_text(docs).collect()}
     assert got[3] is None and got[1] in ("x", "xÃ") and got[2] in ("yy", "yyÂ")
+
+
+NAMES = ["kept", "n_bytes", "n_removed", "n_spans", "lang_pred", "lang_score", "lang_words", "_t", "_row", "_node", "_a", "starts", "component", "a", "key"]
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    extra = spark.createDataFrame([(100000, None, None, "s", None), (None, "the and of " * 300, "en", "s", 3)], docs.schema)
+    both = docs.unionByName(extra)
+    wide = both.withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in NAMES})
+    for i, (name, stage) in enumerate(c.STAGES[:-1]):
+        plain = sorted(map(repr, stage(spark, both, sf_dir).collect()))
+        out = stage(spark, wide, sf_dir)
+        assert out.columns == wide.columns, name
+        rows = out.collect()
+        assert all(r[n] == f"{n}{'-' if r.doc_id is None else r.doc_id}" for r in rows for n in NAMES), name
+        assert sorted(repr(r) for r in spark.createDataFrame([tuple(r)[:len(both.columns)] for r in rows], both.schema).collect()) == plain, name
+    assert c.STAGES[-1][1](spark, wide, sf_dir).count() == both.count()
