@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from clusterloom.llm.common import by_value, small_batches
+from clusterloom.llm.common import by_value, released, small_batches
 
 by_value(__name__)
 
@@ -194,4 +194,4 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {id_type}, ids binary, decoded binary")
+    return encoded.select("doc_id", "ids").mapInArrow(released(run), f"doc_id {id_type}, ids binary, decoded binary")

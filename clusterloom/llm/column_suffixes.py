@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.common import by_value, fenced, hold, small_batches
+from clusterloom.llm.common import by_value, fenced, hold, released, small_batches
 from clusterloom.llm.words import _POWERS, mix, text_slices
 
 by_value(__name__)
@@ -107,7 +107,7 @@ _ROW = "_t long, _row long, key long, seg long, lo long, hi long, shift int"
 def _segment_rows(docs: DataFrame, length: int) -> DataFrame:
     """Segments of all texts, places counted in the text; ``shift`` is anchor minus ``lo``."""
 
-    return docs.select("_t", "_row", "text").mapInArrow(lambda batches: _segment_batches(batches, length), _ROW)
+    return docs.select("_t", "_row", "text").mapInArrow(released(lambda batches: _segment_batches(batches, length)), _ROW)
 
 
 def _segment_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -248,7 +248,7 @@ def _sort_groups(rows: DataFrame, length: int) -> DataFrame:
         if pending:
             yield work(pending)
 
-    return rows.select("key", "seg", "shift", "body").repartition("key").sortWithinPartitions("key").mapInArrow(run, _FOUND)
+    return rows.select("key", "seg", "shift", "body").repartition("key").sortWithinPartitions("key").mapInArrow(released(run), _FOUND)
 
 
 def _cut_smaller(rows: DataFrame, block: int, length: int) -> DataFrame:
@@ -272,7 +272,7 @@ def _cut_smaller(rows: DataFrame, block: int, length: int) -> DataFrame:
                                                  ["key", "seg", "sub", "part", "lo", "hi", "shift", "body", "twice"])
 
     return rows.select("key", "seg", "shift", "body", "twice").mapInArrow(
-        run, "key long, seg long, sub long, part long, lo long, hi long, shift int, body binary, twice boolean")
+        released(run), "key long, seg long, sub long, part long, lo long, hi long, shift int, body binary, twice boolean")
 
 
 def _resolve(rows: DataFrame, level: int, length: int, limit: int) -> DataFrame:
@@ -330,7 +330,7 @@ def repeated(docs: DataFrame, *, length: int = LENGTH, limit: int = LIMIT) -> Da
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
     # A row that is there twice sends its segments twice; each key takes a segment once.
     bodies = text.join(wanted, "_row").select("text", "w").mapInArrow(
-        cut, "key long, seg long, shift int, body binary, twice boolean").dropDuplicates(["key", "seg"])
+        released(cut), "key long, seg long, shift int, body binary, twice boolean").dropDuplicates(["key", "seg"])
     found = _resolve(hold(bodies), 0, length, limit).filter(F.size("froms") > 0)
     sorted_hits = alive.filter("several").join(found, ["key", "seg"]).select(
         "_t", F.explode(F.arrays_zip("froms", "tos")).alias("z"), "lo").select(
@@ -352,7 +352,9 @@ def remove(docs: DataFrame, *, length: int = LENGTH, limit: int = LIMIT) -> Data
     return out.select(*[F.col(n).alias(o) for n, o in zip(apart.columns, docs.columns) if o not in added], *added)
 
 
-def _remove(docs: DataFrame, length: int, limit: int) -> DataFrame:
+def _remove(docs: DataFrame, length: int, limit: int, decode: bool = False) -> DataFrame:
+    """``docs`` with ``kept`` and the counts; with ``decode`` the text itself is cut, and
+    ``n_removed`` is all that is added."""
     found = hold(repeated(docs, length=length, limit=limit)).select("_t", F.col("starts.a").alias("_a"), F.col("starts.b").alias("_b"))
     names = [c for c in docs.columns if c not in ("kept", "n_bytes", "n_removed", "n_spans")]
     rows = docs.select(*names, F.xxhash64("text").alias("_t")).join(found, "_t", "left").select(*names, "_a", "_b")
@@ -378,11 +380,18 @@ def _remove(docs: DataFrame, length: int, limit: int) -> DataFrame:
                 out.append(kept[i][at:])
                 kept[i] = b"".join(out)
                 gone[i] = size[i] - len(kept[i])
+            if decode:
+                shown = list(batch.columns[:-2])
+                if any(gone):  # only texts that were cut are decoded
+                    old = batch.column(text_at).to_pylist()
+                    shown[text_at] = pa.array([k.decode("utf-8", "ignore") if g else t for k, g, t in zip(kept, gone, old)], pa.string())
+                yield pa.RecordBatch.from_arrays([*shown, pa.array(gone, pa.int64())], [*names, "n_removed"])
+                continue
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-2], pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64())],
                 [*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
-    return rows.mapInArrow(run, schema + ", kept binary, n_bytes long, n_removed long, n_spans long")
+    return rows.mapInArrow(released(run), schema + (", n_removed long" if decode else ", kept binary, n_bytes long, n_removed long, n_spans long"))
 
 
 def remove_text(docs: DataFrame, *, length: int = LENGTH, limit: int = LIMIT) -> DataFrame:
@@ -390,26 +399,8 @@ def remove_text(docs: DataFrame, *, length: int = LENGTH, limit: int = LIMIT) ->
     what is left of a character whose other bytes went is dropped too. ``n_chars``, if there, is
     counted anew for texts that were cut."""
     apart, back = fenced(docs, "doc_id", "text", "n_chars")
-    cut = _remove(apart, length, limit)
-    names = [*apart.columns, "kept"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in apart.schema)
-    at = apart.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            texts = [t if t is not None else None if k is None else k.decode("utf-8", "ignore")
-                     for t, k in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
-            columns = list(batch.columns[:-1])
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names[:-1])
-
-    # Only texts that were cut are decoded; the others keep their value.
-    changed = F.col("n_removed") > 0
-    rows = cut.withColumns({"kept": F.when(changed, F.col("kept")), "text": F.when(~changed, F.col("text"))})
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(~changed, F.col("n_chars")))
-    out = rows.select(*names, "n_removed").drop("n_removed").mapInArrow(run, schema)
+    out = _remove(apart, length, limit, decode=True)
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.coalesce("n_chars", F.length("text").cast(kind)))
+        counted = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, counted).otherwise(F.col("n_chars")))
     return back(out)

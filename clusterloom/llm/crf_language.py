@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.common import by_value, fenced, small_batches
+from clusterloom.llm.common import by_value, fenced, released, small_batches
 from clusterloom.llm.words import Slice, hash_words, split, text_slices
 
 by_value(__name__)
@@ -325,7 +325,7 @@ def judge(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(found, pa.string()), pa.array(np.where(best >= 0, score, 0.0)), pa.array(size)], [*names, *added])
 
-    return docs.select(*names).mapInArrow(run, schema + ", lang_pred string, lang_score double, lang_words long")
+    return docs.select(*names).mapInArrow(released(run), schema + ", lang_pred string, lang_score double, lang_words long")
 
 
 def accept(docs: DataFrame, model: Model | None, least: float) -> DataFrame:

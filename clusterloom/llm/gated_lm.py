@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.common import by_value, hold
+from clusterloom.llm.common import by_value, hold, released
 from clusterloom.llm.words import Slice, word_slices
 
 by_value(__name__)
@@ -384,7 +384,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         if held:
             yield from flush()
 
-    return texts.mapInArrow(run, "hash long, shape int, c long").groupBy("hash").agg(F.first("shape").alias("shape"), F.sum("c").alias("c"))
+    return texts.mapInArrow(released(run), "hash long, shape int, c long").groupBy("hash").agg(F.first("shape").alias("shape"), F.sum("c").alias("c"))
 
 
 def vocabulary(counts: DataFrame, head: int, table: int) -> Words:
@@ -433,7 +433,7 @@ def fit(docs: DataFrame, w: Words, rounds=ROUNDS, rate: float = RATE) -> dict:
         chosen = docs.filter((part >= begin) & (part < begin + width)).select("text").repartition(
             slices, F.xxhash64("text", F.lit(6))).sortWithinPartitions(F.xxhash64("text", F.lit(7)))
         begin += width
-        total = _sum_tree(chosen.mapInArrow(run, "weights binary, n double"))
+        total = _sum_tree(chosen.mapInArrow(released(run), "weights binary, n double"))
         if total is not None:
             flat, n = total
             half = len(flat) // 2
@@ -497,7 +497,7 @@ def score(docs: DataFrame, w: Words, p: dict, counts: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(x, ["doc_id", "n_tokens", "known", "base", "inner", "rare", "times"])
 
     rows = hold(docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_tokens long, known long, base double, inner double, rare array<long>, times array<int>"
+        released(run), f"doc_id {kind}, n_tokens long, known long, base double, inner double, rare array<long>, times array<int>"
     ).withColumn("_row", F.monotonically_increasing_id()))
     rare = rows.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("z")).select("_row", F.col("z.rare").alias("hash"), F.col("z.times").alias("t"))
     found = rare.join(counts.select("hash", "c"), "hash").groupBy("_row").agg(

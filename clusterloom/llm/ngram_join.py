@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clusterloom.llm.common import buffers, by_value, components, fenced, hold
+from clusterloom.llm.common import buffers, by_value, components, fenced, hold, released
 from clusterloom.llm.words import mix, window_hashes, windows_inside, word_slices
 
 by_value(__name__)
@@ -91,7 +91,7 @@ def set_sizes(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n)], ["doc_id", "_node", "n_shingles"])
 
     return docs.select("doc_id", node_of(F.col("text")).alias("_node"), "text").mapInArrow(
-        run, f"doc_id {kind}, _node long, n_shingles long")
+        released(run), f"doc_id {kind}, _node long, n_shingles long")
 
 
 def _runs(values: np.ndarray) -> np.ndarray:
@@ -251,8 +251,8 @@ def shared_tokens(docs: DataFrame, width: int, bits: int) -> DataFrame:
                     yield from count(part, some)
 
     sent = docs.select(node_of(F.col("text")).alias("_node"), "text").filter("text is not null").mapInArrow(
-        scatter, "part int, salt int, nodes binary, sizes binary, counts binary, tokens binary, dfs binary")
-    return sent.repartition("part", "salt").sortWithinPartitions("part", "salt").mapInArrow(reduce, _ENTRY)
+        released(scatter), "part int, salt int, nodes binary, sizes binary, counts binary, tokens binary, dfs binary")
+    return sent.repartition("part", "salt").sortWithinPartitions("part", "salt").mapInArrow(released(reduce), _ENTRY)
 
 
 def _keep(bits: int) -> np.uint64:
@@ -307,7 +307,7 @@ def candidates(entries: DataFrame, percent: int) -> DataFrame:
                     yield from choose(some)
 
     return entries.repartition("part").sortWithinPartitions("part").mapInArrow(
-        run, "node long, n long, tokens binary, prefixes binary")
+        released(run), "node long, n long, tokens binary, prefixes binary")
 
 
 def _node_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -395,7 +395,7 @@ def links(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, block:
                         [pa.array(key.view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), times)), pa.array(np.repeat(n, times)),
                          pa.array(np.repeat(times / n, times))], ["token", "node", "n", "share"])
 
-    postings = table.select("node", "n", "prefixes").mapInArrow(explode, "token long, node long, n long, share double")
+    postings = table.select("node", "n", "prefixes").mapInArrow(released(explode), "token long, node long, n long, share double")
     # Lists of the same documents lead to the same pairs: one of them is kept. A list's hub is the
     # document whose tokens are shared most, as an original's are.
     lists = postings.groupBy("token").agg(
@@ -441,7 +441,7 @@ def _verified(pairs: DataFrame, table: DataFrame, percent: int, block: int) -> D
                 if out:
                     yield _link_batch(out)
 
-    return spokes.repartition("token", "i").sortWithinPartitions("token", "i").mapInArrow(check_stars, "a long, b long")
+    return spokes.repartition("token", "i").sortWithinPartitions("token", "i").mapInArrow(released(check_stars), "a long, b long")
 
 
 def _blocks(lists: DataFrame, table: DataFrame, percent: int, block: int) -> DataFrame:
@@ -464,7 +464,7 @@ def _blocks(lists: DataFrame, table: DataFrame, percent: int, block: int) -> Dat
             if out:
                 yield _link_batch(out)
 
-    return full.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(check, "a long, b long")
+    return full.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(released(check), "a long, b long")
 
 
 def _member(r: dict) -> tuple:

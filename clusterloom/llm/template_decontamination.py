@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clusterloom.llm.common import by_value, fenced, hold
+from clusterloom.llm.common import by_value, fenced, hold, released
 from clusterloom.llm.words import (
     Slice, hash_words, lower_table, mix, space_table, split, text_slices, window_hashes, windows_inside,
 )
@@ -194,7 +194,7 @@ def _windows(frame_id: str, id_type: str, df: DataFrame, widths: dict[int, list[
                                      pa.list_(pa.int64())),
                         ], [frame_id, "_t", "_pos", "_hash", "_width", "_reading", "_slots", "_words", "_at", "_literal"])
 
-    return df.mapInArrow(run, f"{frame_id} {id_type}, _t long, _pos long, _hash long, _width int, _reading int, "
+    return df.mapInArrow(released(run), f"{frame_id} {id_type}, _t long, _pos long, _hash long, _width int, _reading int, "
                               "_slots array<string>, _words long, _at array<long>, _literal array<long>")
 
 
