@@ -125,15 +125,30 @@ def cluster_gff_files(spark, sf):
 # Policy ----------------------------------------------------------------------------------
 
 
+def policy_contents(spark, sf):
+    """Domain contents, one file per user."""
+    ev = table(spark, sf, "events").select("user_id", "ts", "event_id", bp.domain().alias("d"))
+    return ev.groupBy("user_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("ts", "event_id", "d"))), lambda e: e["d"]), "\n").alias("content")).select(
+        F.concat(F.lit("x/"), F.when(F.col("user_id") % 2 == 1, "bgc").otherwise("neg"), txt("user_id")).alias("file"),
+        F.lit("domains").alias("feature_type"), "content")
+
+
 @query("trained_policy", f"""
 WITH RECURSIVE {bp.QSQL}
 SELECT state, round(r_keep, 6) AS r_keep, round(r_skip, 6) AS r_skip, round(q_keep, 6) AS q_keep, round(q_skip, 6) AS q_skip FROM qf""")
 def trained_policy(spark, sf):
     """The Q table as a later run reads it."""
-    ev = table(spark, sf, "events").select("user_id", "ts", "event_id", bp.domain().alias("d"))
-    contents = ev.groupBy("user_id").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("ts", "event_id", "d"))), lambda e: e["d"]), "\n").alias("content")).select(
-        F.concat(F.lit("x/"), F.when(F.col("user_id") % 2 == 1, "bgc").otherwise("neg"), txt("user_id")).alias("file"),
-        F.lit("domains").alias("feature_type"), "content")
-    q = pc.train_policy(contents, bf.scratch(spark, "policy"), keep_threshold=0.9, alpha=bp.ALPHA, gamma=bp.GAMMA, iterations=bp.ROUNDS)
+    q = pc.train_policy(policy_contents(spark, sf), bf.scratch(spark, "policy"), keep_threshold=0.9, alpha=1.0, gamma=bp.GAMMA, tolerance=bp.TOLERANCE)
     return q.select("state", *[F.round(c, 6).alias(c) for c in ("r_keep", "r_skip", "q_keep", "q_skip")])
+
+
+@query("policy_statistics", f"""
+WITH RECURSIVE {bp.QSQL}
+SELECT state AS id, round(r_keep, 6) AS "rewardKeep", round(r_skip, 6) AS "rewardSkip", round(q_keep, 6) AS "qvalueKeep", round(q_skip, 6) AS "qvalueSkip" FROM qf""")
+def policy_statistics(spark, sf):
+    """The statistics file of a trained policy, read back."""
+    out = bf.scratch(spark, "policy")
+    pc.train_policy(policy_contents(spark, sf), out, keep_threshold=0.9, alpha=1.0, gamma=bp.GAMMA, tolerance=bp.TOLERANCE)
+    stat = rd.read_policy_statistics(spark, f"{out}/stat")
+    return stat.select("id", *[F.round(c, 6).alias(c) for c in stat.columns if c != "id"])

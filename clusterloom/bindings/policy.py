@@ -9,6 +9,7 @@ from clusterloom.bindings.ordering import GENES, SUPP, USER, supplier_genes
 from clusterloom.operators import features as ft
 from clusterloom.operators import policy as pl
 from clusterloom.operators.ordered import index_rows
+from clusterloom.session import cut_lineage
 
 
 
@@ -17,7 +18,9 @@ def domain():
 
 
 DOMAIN = "event_type || '_' || (floor(value)::BIGINT % 20)"
-ALPHA, GAMMA, ROUNDS = 0.2, 0.5, 12
+GAMMA = 0.5
+#: Values are the fixed point, to this distance; SQL takes as many rounds of full steps as give it.
+TOLERANCE, SQL_ROUNDS = 1e-9, 44
 
 REWARDS = f"""rew AS (
   SELECT {DOMAIN} AS domain, user_id AS file, sum(CASE WHEN user_id % 2 = 1 THEN 1 ELSE -1 END) AS reward
@@ -57,18 +60,17 @@ q AS (
   SELECT 0 AS i, domain AS state, r_keep, r_skip, 0.0::DOUBLE AS q_keep, 0.0::DOUBLE AS q_skip FROM rt
   UNION ALL
   SELECT i + 1, state, r_keep, r_skip,
-         CASE WHEN ahead IS NULL THEN q_keep ELSE (1 - {ALPHA}) * q_keep + {ALPHA} * (r_keep + {GAMMA} * ahead) END,
-         CASE WHEN ahead IS NULL THEN q_skip ELSE (1 - {ALPHA}) * q_skip + {ALPHA} * (r_skip + {GAMMA} * ahead) END
+         CASE WHEN ahead IS NULL THEN q_keep ELSE r_keep + {GAMMA} * ahead END,
+         CASE WHEN ahead IS NULL THEN q_skip ELSE r_skip + {GAMMA} * ahead END
   FROM (SELECT q.*, a.ahead FROM q LEFT JOIN (
           SELECT share.state, sum(p * greatest(q2.q_keep, q2.q_skip)) AS ahead
           FROM share JOIN q q2 ON q2.state = share.next_state GROUP BY share.state) a ON a.state = q.state)
-  WHERE i < {ROUNDS}),
-qf AS (SELECT * FROM q WHERE i = {ROUNDS})"""
+  WHERE i < {SQL_ROUNDS}),
+qf AS (SELECT * FROM q WHERE i = {SQL_ROUNDS})"""
 
 
 def q_table(spark, sf):
-    return pl.q_iteration(reward_table_(spark, sf), moves(spark, sf), alpha=ALPHA, gamma=GAMMA,
-                          iterations=ROUNDS, checkpoint_every=6)
+    return pl.q_iteration(reward_table_(spark, sf), moves(spark, sf), alpha=1.0, gamma=GAMMA, tolerance=TOLERANCE)
 
 
 @query("policy_values", f"""
@@ -79,14 +81,16 @@ def policy_values(spark, sf):
     return q.select("state", *[F.round(c, 6).alias(c) for c in ("r_keep", "r_skip", "q_keep", "q_skip")])
 
 
-# Rewards decide the same way as the values do (both actions share their successor), so the
-# application queries take the reward table as values and stay comparable.
+def learned_values(spark, sf):
+    """The Q table, learned once per session and folder, as an application reads a stored one."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LEARNED:
+        _LEARNED.clear()
+        _LEARNED[key] = cut_lineage(q_table(spark, sf))
+    return _LEARNED[key]
 
 
-def known_values(spark, sf):
-    return reward_table_(spark, sf).select(
-        F.col("domain").alias("state"), "r_keep", "r_skip",
-        F.col("r_keep").alias("q_keep"), F.col("r_skip").alias("q_skip"))
+_LEARNED = {}
 
 
 def gene_domains(spark, sf):
@@ -99,10 +103,10 @@ def gene_domains(spark, sf):
 
 GD = f"""gd AS (SELECT 'G' || (event_id % 1500) AS gene, event_id AS pos,
                CASE WHEN event_type = 'error' THEN 'new_' || user_id ELSE {DOMAIN} END AS domain FROM events)"""
-POLICY = f"""{REWARDS}, {GD},
-ch AS (SELECT gene, pos, gd.domain, CASE WHEN rt.domain IS NULL OR r_keep >= r_skip THEN 'keep' ELSE 'skip' END AS action,
-              coalesce(greatest(r_keep, r_skip), 0) AS reward
-       FROM gd LEFT JOIN rt ON rt.domain = gd.domain),
+POLICY = f"""{QSQL}, {GD},
+ch AS (SELECT gene, pos, gd.domain, CASE WHEN qf.state IS NULL OR q_keep >= q_skip THEN 'keep' ELSE 'skip' END AS action,
+              coalesce(CASE WHEN q_keep >= q_skip THEN r_keep ELSE r_skip END, 0) AS reward
+       FROM gd LEFT JOIN qf ON qf.state = gd.domain),
 gp AS (SELECT gene, coalesce(sum(reward) FILTER (action = 'keep'), 0) AS keep_reward,
               coalesce(sum(reward) FILTER (action = 'skip'), 0) AS skip_reward,
               count(*) FILTER (reward < 0) AS n_penalties, string_agg(domain, ', ' ORDER BY pos) AS domains
@@ -110,19 +114,19 @@ gp AS (SELECT gene, coalesce(sum(reward) FILTER (action = 'keep'), 0) AS keep_re
 
 
 @query("domain_choices", f"""
-WITH {POLICY} SELECT gene, pos, domain, action, round(reward, 6) AS reward FROM ch""")
+WITH RECURSIVE {POLICY} SELECT gene, pos, domain, action, round(reward, 6) AS reward FROM ch""")
 def domain_choices(spark, sf):
-    out = pl.domain_choices(gene_domains(spark, sf), known_values(spark, sf))
+    out = pl.domain_choices(gene_domains(spark, sf), learned_values(spark, sf))
     return out.withColumn("reward", F.round("reward", 6))
 
 
 @query("gene_policy_report", f"""
-WITH {POLICY}
+WITH RECURSIVE {POLICY}
 SELECT gene, round(keep_reward, 5) AS keep_reward, round(skip_reward, 5) AS skip_reward, n_penalties, domains,
        CASE WHEN round(keep_reward, 9) >= round(skip_reward, 9) THEN 'keep' ELSE 'skip' END AS action FROM gp""")
 def gene_policy_report(spark, sf):
     domains = gene_domains(spark, sf)
-    out = pl.domain_report(pl.gene_policy(domains, known_values(spark, sf)), domains)
+    out = pl.domain_report(pl.gene_policy(domains, learned_values(spark, sf)), domains)
     return out.withColumns({c: F.round(c, 5) for c in ("keep_reward", "skip_reward")})
 
 
@@ -149,23 +153,23 @@ settled AS (SELECT *, CASE WHEN act <> 'undecided' THEN act
 
 
 def applied(spark, sf, undecided):
-    policy = pl.gene_policy(gene_domains(spark, sf), known_values(spark, sf))
+    policy = pl.gene_policy(gene_domains(spark, sf), learned_values(spark, sf))
     return pl.apply_policy(supplier_genes(spark, sf), policy, undecided)
 
 
 @query("policy_actions", f"""
-WITH {ACTIONS} SELECT l_suppkey, idx, gene, CASE WHEN act = 'undecided' THEN 'skip' ELSE act END AS action FROM dec""")
+WITH RECURSIVE {ACTIONS} SELECT l_suppkey, idx, gene, CASE WHEN act = 'undecided' THEN 'skip' ELSE act END AS action FROM dec""")
 def policy_actions(spark, sf):
     return applied(spark, sf, False).select(*SUPP, "idx", "gene", "action")
 
 
-@query("settled_actions", f"WITH {ACTIONS} SELECT l_suppkey, idx, gene, fin AS action FROM settled")
+@query("settled_actions", f"WITH RECURSIVE {ACTIONS} SELECT l_suppkey, idx, gene, fin AS action FROM settled")
 def settled_actions(spark, sf):
     return pl.settle_undecided(applied(spark, sf, True), SUPP).select(*SUPP, "idx", "gene", "action")
 
 
 @query("policy_clusters", f"""
-WITH {ACTIONS}
+WITH RECURSIVE {ACTIONS}
 SELECT l_suppkey, CASE WHEN fin = 'keep' THEN 1.0 ELSE 0.0 END::DOUBLE AS score, count(DISTINCT gene) AS n,
        md5(string_agg(DISTINCT gene, '|' ORDER BY gene)) AS digest FROM settled GROUP BY ALL""")
 def policy_clusters(spark, sf):

@@ -97,7 +97,7 @@ UNION ALL
 SELECT l_suppkey, 0, count(*), md5(string_agg(gene, '|' ORDER BY idx)), 0.0 FROM genes WHERE l_suppkey % 4 = 0 GROUP BY l_suppkey""")
 def policy_filter_stage(spark, sf):
     flagged = mg.flagged_genes(bo.gene_domains(spark, sf), bo.rule_list(spark, sf))
-    policy = pl.gene_policy(bp.gene_domains(spark, sf), bp.known_values(spark, sf))
+    policy = pl.gene_policy(bp.gene_domains(spark, sf), bp.learned_values(spark, sf))
     out = pe.filter_stage(supplier_clusters(spark, sf), bo.SUPP, flagged=flagged, policy=policy, average_action=True)
     return _digested(out)
 

@@ -145,7 +145,9 @@ def feature_importance(model, vocab: DataFrame) -> DataFrame:
     """
     last = model.stages[-1] if hasattr(model, "stages") else model
     sparse = last.featureImportances
-    rows = [(int(i), float(sparse[int(i)])) for i in np.flatnonzero(sparse.toArray())]
+    indices = getattr(sparse, "indices", None)
+    pairs = enumerate(sparse.toArray()) if indices is None else zip(indices, sparse.values)
+    rows = [(int(i), float(v)) for i, v in pairs if v]
     scores = vocab.sparkSession.createDataFrame(rows, "idx long, importance double")
     return vocab.join(scores, "idx", "left").select(
         "idx", "feature", F.coalesce("importance", F.lit(0.0)).alias("importance")
@@ -197,6 +199,15 @@ def class_report(predictions: DataFrame) -> DataFrame:
         F.coalesce(F.col("right") / F.col("total"), F.lit(0.0)).alias("accuracy"))
 
 
+def fold_reports(predictions: DataFrame, folds: int = 5) -> DataFrame:
+    """The class report of every fold of out-of-fold predictions: ``fold`` and its columns."""
+    out = None
+    for fold in range(folds):
+        part = class_report(predictions.filter(F.col("fold") == fold)).withColumn("fold", F.lit(fold))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def grid_summary(scores: DataFrame, params: Sequence[str]) -> DataFrame:
     """Mean and twice the population deviation per parameter set."""
     return scores.groupBy(*params).agg(
@@ -266,14 +277,23 @@ def grid_search(
     data: DataFrame, kind: str, n_features: int, score: str = "f1", folds: int = 5,
     parallelism: int = 4, seed: int = 5, limits: dict | None = None, **options,
 ):
-    """Cross-validated search for one score: (best model, rows ``params, mean, spread``)."""
+    """Cross-validated search for one score: (best model, rows ``params, mean, spread``).
+
+    With an ``instance_id`` folds have equal shares of each class, as the folds of
+    ``cross_validate`` have.
+    """
     n_rows = data.count()
+    chosen = {}
+    if "instance_id" in data.columns:
+        fold = stratified_folds(data.select("instance_id", "label"), "instance_id", "label", folds, seed)
+        data = cut_lineage(data.join(fold.select("instance_id", F.col("fold").cast("int").alias("_fold")), "instance_id"))
+        chosen = {"foldCol": "_fold"}
     estimator = classifier(kind, n_rows, n_features, **options)
     search = CrossValidator(
         estimator=estimator,
         estimatorParamMaps=parameter_grid(kind, estimator, n_rows, n_features, **(limits or {})),
         evaluator=MulticlassClassificationEvaluator(metricName=GRID_SCORES[score], metricLabel=1.0),
-        numFolds=folds, parallelism=parallelism, seed=seed)
+        numFolds=folds, parallelism=parallelism, seed=seed, **chosen)
     fitted = search.fit(data)
     rows = [
         (", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda kv: kv[0].name)), float(a), 2 * float(s))

@@ -44,7 +44,7 @@ def transitions(states: DataFrame, parts: Sequence[str], pos: str = "pos") -> Da
 
 def q_iteration(
     rewards: DataFrame, moves: DataFrame, *, alpha: float = 0.01, gamma: float = 0.01,
-    iterations: int = 500, checkpoint_every: int = 10,
+    iterations: int = 500, checkpoint_every: int = 10, tolerance: float | None = None,
 ) -> DataFrame:
     """Batch value iteration: ``state, r_keep, r_skip, q_keep, q_skip``.
 
@@ -52,7 +52,14 @@ def q_iteration(
     observed transitions. Moves are aggregated once to one row per state pair, so a round
     costs the size of the transition table, not of the sequences. ``checkpoint_every`` rounds
     the lineage is cut.
+
+    With ``tolerance`` the rounds stop once no value is further than that from the fixed point. A
+    round shrinks that distance by ``c = 1 - alpha (1 - gamma)``, so it is at most ``c / (1 - c)``
+    times the last round's largest change; should ``iterations`` rounds not get there, it is an
+    error. ``alpha = 1`` takes the fewest rounds; the fixed point is the same for all.
     """
+    if tolerance is not None and not (0 < alpha <= 1 and 0 <= gamma < 1):
+        raise ValueError("a bounded distance needs 0 < alpha <= 1 and 0 <= gamma < 1")
     total = moves.groupBy("state").agg(F.sum("n").alias("_total"))
     share = moves.join(total, "state").select(
         "state", "next_state", (F.col("n") / F.col("_total")).alias("_p"))
@@ -81,10 +88,22 @@ def q_iteration(
                 F.col("_ahead").isNull(), F.col(f"q_{action}")
             ).otherwise((1 - alpha) * F.col(f"q_{action}") + alpha * target)
 
-        q = seen.select("state", "r_keep", "r_skip", updated("keep").alias("q_keep"),
-                        updated("skip").alias("q_skip"))
-        if i % checkpoint_every == 0 or i == iterations:
+        due = i % checkpoint_every == 0 or i == iterations
+        new = [updated("keep").alias("q_keep"), updated("skip").alias("q_skip")]
+        if due and tolerance is not None:
+            moved = F.greatest(*[F.abs(updated(a) - F.col(f"q_{a}")) for a in ("keep", "skip")])
+            q = cut_lineage(seen.select("state", "r_keep", "r_skip", *new, moved.alias("_moved")))
+            change = q.agg(F.max("_moved")).first()[0] or 0.0
+            q = q.drop("_moved")
+            shrink = 1 - alpha * (1 - gamma)
+            if change * shrink / (1 - shrink) <= tolerance:
+                return q
+            continue
+        q = seen.select("state", "r_keep", "r_skip", *new)
+        if due:
             q = cut_lineage(q)
+    if tolerance is not None:
+        raise RuntimeError(f"{iterations} rounds leave values further than {tolerance} from the fixed point")
     return q
 
 

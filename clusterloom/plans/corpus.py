@@ -70,11 +70,12 @@ def clusters_to_gff(
 
 def train_policy(
     contents: DataFrame, out: str, *, kind: str = "occ", keep_threshold: float = 0.5,
-    alpha: float = 0.01, gamma: float = 0.01, iterations: int = 500,
+    alpha: float = 0.01, gamma: float = 0.01, iterations: int = 500, tolerance: float | None = None,
 ) -> DataFrame:
     """Rewards, transitions and value iteration over domain contents (one row per file).
 
-    Writes the Q table and its statistics; returns the Q table.
+    Writes the Q table and its statistics; returns the Q table. With ``tolerance`` the values are
+    within that of the fixed point, however many of the ``iterations`` that takes.
     """
     tokens = contents.filter("feature_type = 'domains'").select(
         "file", F.posexplode(F.split("content", "\n")).alias("_p", "feature")).filter("feature <> ''")
@@ -83,7 +84,7 @@ def train_policy(
     ordered = index_rows(tokens.withColumnRenamed("feature", "state"), ["file"], ["_p"])
     q = pl.q_iteration(
         pl.reward_table(rewards, keep_threshold), pl.transitions(ordered, ["file"]),
-        alpha=alpha, gamma=gamma, iterations=iterations)
+        alpha=alpha, gamma=gamma, iterations=iterations, tolerance=tolerance)
     wr.write_table(q, f"{out}/qtable")
     wr.write_tsv(q.select(F.col("state").alias("id"), F.col("r_keep").alias("rewardKeep"),
                           F.col("r_skip").alias("rewardSkip"), F.col("q_keep").alias("qvalueKeep"),

@@ -332,3 +332,9 @@ def summarize_metrics(spark: SparkSession, path: str, ext: str = "metrics") -> D
     fields = scalar.parse_result_name(F.col("name"))
     share = path.split("pos")[1][:2] if "pos" in path else ""
     return named.select("name", *(c.alias(n) for n, c in fields.items()), F.lit(share).alias("pos"), "metrics").orderBy("name")
+
+
+def read_policy_statistics(spark: SparkSession, path: str) -> DataFrame:
+    """Statistics of a trained policy: ``id, rewardKeep, rewardSkip, qvalueKeep, qvalueSkip``."""
+    return spark.read.option("sep", "\t").option("header", "true").schema(
+        "id string, rewardKeep double, rewardSkip double, qvalueKeep double, qvalueSkip double").csv(path)

@@ -103,3 +103,30 @@ def test_split(spark):
         cp.split_train_validation(df, "id", "label", 5, 20)
     folds = Counter((r["label"], r["fold"]) for r in cp.stratified_folds(df, "id", "label").collect())
     assert len(folds) == 10 and max(folds[(1, f)] for f in range(5)) - min(folds[(1, f)] for f in range(5)) <= 1
+
+
+def test_values_within_a_stated_distance_of_the_fixed_point(spark):
+    import numpy as np
+    import pytest
+
+    rng = np.random.default_rng(3)
+    n, gamma = 12, 0.7
+    counts = rng.integers(0, 4, (n, n))
+    counts[n - 1] = 0  # never seen in a sequence: stays at zero
+    keep, skip = rng.normal(size=n), rng.normal(size=n)
+    rewards = spark.createDataFrame([(f"s{i}", float(keep[i]), float(skip[i])) for i in range(n)], "domain string, r_keep double, r_skip double")
+    moves = spark.createDataFrame([(f"s{i}", f"s{j}", int(counts[i, j])) for i in range(n) for j in range(n) if counts[i, j]],
+                                  "state string, next_state string, n long")
+    total = counts.sum(axis=1)
+    share = counts / np.maximum(total, 1)[:, None]
+    best = np.zeros(n)
+    for _ in range(400):
+        best = np.where(total > 0, np.maximum(keep, skip) + gamma * share @ best, 0)
+    for alpha in (1.0, 0.6):
+        got = {r.state: r for r in pl.q_iteration(rewards, moves, alpha=alpha, gamma=gamma, tolerance=1e-7, checkpoint_every=8).collect()}
+        for i in range(n):
+            ahead = gamma * share[i] @ best if total[i] else None
+            want = (keep[i] + ahead, skip[i] + ahead) if total[i] else (0.0, 0.0)
+            assert abs(got[f"s{i}"].q_keep - want[0]) < 1e-7 and abs(got[f"s{i}"].q_skip - want[1]) < 1e-7
+    with pytest.raises(RuntimeError):
+        pl.q_iteration(rewards, moves, alpha=0.01, gamma=gamma, tolerance=1e-9, iterations=8)
