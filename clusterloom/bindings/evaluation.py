@@ -561,3 +561,21 @@ def similarity_with_self(spark, sf):
     pairs = sim.seed_similarity(seqs, "doc_id", "seq", 16, 0.8)
     out = sim.with_self_pairs(pairs, sim.copy_groups(seqs, "doc_id", "seq"), "doc_id")
     return out.withColumn("jaccard", F.round("jaccard", 6))
+
+
+# Every seventh sequence also stands alone as its first quarter, which is inside it but not similar.
+PARTS = f"""{SEQS}, reps AS (
+  SELECT min(id) AS id, seq FROM (SELECT doc_id AS id, seq FROM seqs
+    UNION ALL SELECT -doc_id - 1, substr(seq, 1, length(seq) // 4) FROM seqs WHERE doc_id % 7 = 0) GROUP BY seq)"""
+
+
+@query("contained_sequences", f"""
+WITH {SETS.replace(REPS, PARTS)}
+SELECT a AS query, b AS subject, shared::BIGINT AS shared, round(shared / na, 6) AS qcov, round(shared / nb, 6) AS scov FROM (
+  SELECT a, b, na, nb, shared FROM shared UNION ALL SELECT b, a, nb, na, shared FROM shared) WHERE shared / na > 0.5""")
+def contained_sequences(spark, sf):
+    seqs = sequences(spark, sf).select("doc_id", "seq")
+    quarter = seqs.filter(F.col("doc_id") % 7 == 0).select(
+        (-F.col("doc_id") - 1).alias("doc_id"), F.substring("seq", F.lit(1), F.floor(F.length("seq") / 4).cast("int")).alias("seq"))
+    out = sim.contained_sequences(seqs.unionByName(quarter), "doc_id", "seq", 16, 0.5)
+    return out.withColumns({c: F.round(c, 6) for c in ("qcov", "scov")})

@@ -12,6 +12,7 @@ from clusterloom.bindings.features import SEQS, WORDS, sequences
 from clusterloom.operators import evaluate as ev
 from clusterloom.operators import match as mt
 from clusterloom.sources import readers as rd
+from clusterloom.sources import records as rc
 from clusterloom.sources import writers as wr
 from clusterloom.session import ensure_checkpoint_dir
 
@@ -393,3 +394,25 @@ def feature_list_file(spark, sf):
     path = scratch(spark, "words.feat")
     wr.write_tsv(word_tokens(spark, sf).select("feature").distinct().orderBy("feature"), path, header=False)
     return rd.read_dictionary(spark, path)
+
+
+# Sequences in pieces of 600 characters, as records that span splits are read.
+PIECES = f"""{SEQS}, pieces AS (
+  SELECT doc_id, seq, unnest(range((length(seq) + 599) // 600)) AS piece FROM seqs WHERE length(seq) > 0)"""
+
+
+@query("fasta_pieces", f"""
+WITH {PIECES} SELECT doc_id::VARCHAR AS seq_id, piece, md5(substr(seq, piece * 600 + 1, 600)) AS digest FROM pieces""")
+def fasta_pieces(spark, sf):
+    path = scratch(spark, "long.fasta")
+    wrapped = F.regexp_replace("seq", "(.{70})", "$1\n")
+    wr.write_fasta(sequences(spark, sf), F.concat(txt("doc_id"), F.lit(" "), F.col("lang")), wrapped, path)
+    return rc.read_pieces(spark, path, None, "fasta", 600).select("seq_id", "piece", md5("text").alias("digest"))
+
+
+@query("genbank_pieces", f"""
+WITH {PIECES}
+SELECT 'V' || doc_id || '.1' AS seq_id, piece,
+       md5(translate(substr(seq, piece * 600 + 1, 600), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ACGTACGTACGTACGTACGTACGTAC')) AS digest FROM pieces""")
+def genbank_pieces(spark, sf):
+    return rc.read_pieces(spark, genbank_path(spark, sf), None, "genbank", 600).select("seq_id", "piece", md5("text").alias("digest"))
