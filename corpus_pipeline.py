@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clusterloom.llm.common import read, short_batches
+from clusterloom.llm.common import hold, read, short_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -78,7 +78,9 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     short_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN), path)
+    # Held between the two, so that no task keeps the workers of both.
+    ids = hold(byte_bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN))
+    encoded = byte_bpe.decode(ids, path)
     return encoded.select(
         "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
         F.sha2("decoded", 256).alias("decoded_sha256"))
