@@ -11,6 +11,7 @@ summary row per chunk is combined along the sequence, and the carried value is j
 from __future__ import annotations
 
 import sys
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -283,41 +284,126 @@ def _tables(keys: list[str], stride: int):
     return run
 
 
-def _chain(parts: list[str]):
-    """Carry the target from chunk to chunk; a new sequence starts without one."""
+def _through(enter: np.ndarray, leave: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Outgoing targets of incoming ones; a target beyond the last entry passes unchanged."""
+    i = np.searchsorted(enter, targets, side="left")
+    inside = i < len(enter)
+    return np.where(inside, leave[np.minimum(i, len(enter) - 1)], targets)
+
+
+def _compose(stride: int, first: tuple, then: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The table of two neighbouring stretches of a sequence, as one stretch."""
+    (enter, leave), (enter2, leave2) = first, then
+    # Targets beyond the first table meet the second one as they came.
+    more = enter2 > enter[-1]
+    enter, leave = np.append(enter, enter2[more]), np.append(_through(enter2, leave2, leave), leave2[more])
+    # No target reaches further than a stride past the first row.
+    if enter[0] <= np.iinfo(np.int64).max - stride:
+        cut = int(np.searchsorted(enter, enter[0] + stride, side="left")) + 1
+        enter, leave = enter[:cut], leave[:cut]
+    return enter, leave
+
+
+def _merged(keys: list[str], stride: int):
+    """Fold the sorted tables of each stretch into one table."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, table = None, None
+        for pdf in batches:
+            out: list[tuple] = []
+            owners = zip(*[pdf[k] for k in keys])
+            for owner, enter, leave in zip(owners, pdf["_enter"], pdf["_leave"]):
+                own = np.asarray(enter, np.int64), np.asarray(leave, np.int64)
+                if owner != current:
+                    if table is not None:
+                        out.append((*current, *(t.tolist() for t in table)))
+                    current, table = owner, own
+                else:
+                    table = _compose(stride, table, own)
+            if out:
+                yield pd.DataFrame(out, columns=[*keys, "_enter", "_leave"])
+        if table is not None:
+            yield pd.DataFrame([(*current, *(t.tolist() for t in table))], columns=[*keys, "_enter", "_leave"])
+
+    return run
+
+
+def _chain(keys: list[str], name: str):
+    """Carry the target along the tables of each stretch, from the target that enters it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         target, current = 0, None
         for pdf in batches:
             targets = []
-            owners = zip(*[pdf[p] for p in parts]) if parts else iter([()] * len(pdf))
-            for owner, enter, leave in zip(owners, pdf["_enter"], pdf["_leave"]):
+            owners = zip(*[pdf[k] for k in keys])
+            for owner, came, enter, leave in zip(owners, pdf["_came"], pdf["_enter"], pdf["_leave"]):
                 if owner != current:
-                    target, current = np.iinfo(np.int64).min, owner
+                    target, current = int(came), owner
                 targets.append(target)
                 i = int(np.searchsorted(np.asarray(enter, np.int64), target, side="left"))
                 if i < len(enter):
                     target = int(leave[i])
-            yield pdf[[*parts, "_chunk"]].assign(_target=targets)
+            yield pdf[[*keys[:-1], name]].assign(_target=targets)
 
     return run
 
 
+def _targets(tables: DataFrame, parts: list[str], name: str, stride: int, fan: int) -> DataFrame:
+    """The target that enters every stretch ``name`` of each sequence: ``parts…, name, _target``.
+
+    A prefix scan: ``fan`` neighbouring tables are composed into one until a sequence fits into one
+    stretch, then targets are handed down again, level by level. No task walks more than ``fan``
+    tables of a sequence at a time, and the levels grow with the logarithm of its length.
+    """
+    above = f"{name}u"
+    fields = {f.name: f for f in tables.schema.fields}
+    part_fields = [fields[p] for p in parts]
+    longs = T.ArrayType(T.LongType())
+    keys = [*parts, above]
+    placed = tables.withColumn(above, F.floor(F.col(name) / F.lit(fan)).cast("long"))
+    if (tables.agg(F.max(name)).first()[0] or 0) < fan:
+        # Nothing enters a sequence: every target is met at once.
+        entered = placed.withColumn("_came", F.lit(int(np.iinfo(np.int64).min)))
+    else:
+        merged = cut_lineage(placed.repartition(*keys).sortWithinPartitions(*keys, name).select(
+            *keys, "_enter", "_leave").mapInPandas(_merged(keys, stride), T.StructType(
+                [*part_fields, T.StructField(above, T.LongType()), T.StructField("_enter", longs), T.StructField("_leave", longs)])))
+        came = _targets(merged, parts, above, stride, fan).withColumnRenamed("_target", "_came")
+        entered = placed.join(came, keys)
+    return entered.repartition(*keys).sortWithinPartitions(*keys, name).mapInPandas(
+        _chain(keys, name),
+        T.StructType([*part_fields, T.StructField(name, T.LongType()), T.StructField("_target", T.LongType())]))
+
+
 def _emit(keys: list[str], stride: int):
-    """Walk the sorted rows once and keep the starts."""
+    """Jump from start to start in each chunk, from the target that enters it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         goal, current = 0, None
         for pdf in batches:
-            chosen = []
-            owners = zip(*[pdf[k] for k in keys])
-            rows = zip(owners, pdf["_x"].tolist(), pdf["_forced"].tolist(), pdf["_target"].tolist())
-            for i, (owner, x, forced, target) in enumerate(rows):
+            n = len(pdf)
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            for k in keys:
+                v = pdf[k].to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            cuts = [0, *np.flatnonzero(new).tolist(), n]
+            xs, hits = pdf["_x"].tolist(), [*np.flatnonzero(pdf["_forced"].to_numpy(bool)).tolist(), n]
+            chosen, h = [], 0
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                owner = tuple(pdf[k].iat[lo] for k in keys)
                 if owner != current:
-                    goal, current = target, owner
-                if forced or x >= goal:
-                    chosen.append(i)
-                    goal = x + stride
+                    goal, current = int(pdf["_target"].iat[lo]), owner
+                at = lo
+                while True:
+                    h = bisect_left(hits, at, h)
+                    at = min(bisect_left(xs, goal, at, hi), hits[h])
+                    if at >= hi:
+                        break
+                    chosen.append(at)
+                    goal = xs[at] + stride
+                    at += 1
             yield pdf.iloc[chosen][[*keys[:-1], "_pos"]]
 
     return run
@@ -332,6 +418,7 @@ def greedy_starts(
     eligible: Column | None = None,
     forced: Column | None = None,
     chunk_rows: int | None = None,
+    fan: int = 256,
 ) -> DataFrame:
     """Greedy selection of group starts along each sequence.
 
@@ -340,9 +427,11 @@ def greedy_starts(
     eligible row always starts one. Returns ``parts + pos`` of the starts.
 
     The walk is sequential, so every chunk first publishes how it maps the incoming target to
-    the outgoing one (at most ``stride`` entries); the targets are chained over chunks and
-    each chunk then emits its starts.
+    the outgoing one (at most ``stride`` entries); these maps are composed in a tree of ``fan``
+    children, and each chunk then emits its starts.
     """
+    if fan < 2:
+        raise ValueError("fan must be at least 2")
     parts = list(parts)
     keys = [*parts, "_chunk"]
     forced = F.lit(False) if forced is None else forced
@@ -359,16 +448,12 @@ def greedy_starts(
     chunk_field = fields["_chunk"]
     longs = T.ArrayType(T.LongType())
     together = lambda df, by, then: df.repartition(*by).sortWithinPartitions(*by, then)
-    tables = together(rows, keys, "_pos").mapInPandas(
+    tables = cut_lineage(together(rows, keys, "_pos").mapInPandas(
         _tables(keys, stride),
         T.StructType([*part_fields, chunk_field, T.StructField("_enter", longs),
                       T.StructField("_leave", longs)]),
-    )
-    sequence = [F.col(p) for p in parts] or [F.lit(0)]
-    targets = tables.repartition(*sequence).sortWithinPartitions(*parts, "_chunk").mapInPandas(
-        _chain(parts),
-        T.StructType([*part_fields, chunk_field, T.StructField("_target", T.LongType())]),
-    )
+    ))
+    targets = _targets(tables, parts, "_chunk", stride, fan)
     starts = together(rows.join(targets, keys), keys, "_pos").mapInPandas(
         _emit(keys, stride),
         T.StructType([*part_fields, T.StructField("_pos", T.LongType())]),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,12 +74,12 @@ def test_islands(data, chunk):
             assert (r["island_start"], r["island_end"]) == (a, b)
 
 
-@pytest.mark.parametrize("stride,chunk", [(1, 3), (2, 7), (3, 100), (9, 7)])
-def test_greedy_starts(data, stride, chunk):
+@pytest.mark.parametrize("stride,chunk,fan", [(1, 3, 2), (2, 7, 256), (3, 100, 256), (9, 7, 3), (20, 2, 4)])
+def test_greedy_starts(data, stride, chunk, fan):
     df, groups = data
     sums = o.scan(df, ["c"], "pos", sums={"s": F.col("len")}).withColumn("x", F.col("s") - F.col("len"))
     got = o.greedy_starts(sums, ["c"], "pos", F.col("x"), stride, eligible=F.col("f"),
-                          forced=F.col("i") % 13 == 5, chunk_rows=chunk)
+                          forced=F.col("i") % 13 == 5, chunk_rows=chunk, fan=fan)
     got = {c: [r["pos"] for r in rows] for c, rows in by_contig(got).items()}
     for c, src in groups.items():
         want, goal, x = [], float("-inf"), 0
@@ -89,6 +91,46 @@ def test_greedy_starts(data, stride, chunk):
         assert got[c] == want
 
 
+@pytest.mark.parametrize("forced", [True, False])
+def test_greedy_starts_of_one_sequence(spark, forced):
+    """All rows in one sequence, in a tree of many levels, against the serial walk."""
+    rng = random.Random(4)
+    rows, x = [], 0
+    for i in range(400):
+        rows.append((i, x, rng.random() < 0.6, forced and rng.random() < 0.02))
+        x += rng.choice([0, 0, 1, 2, 40])
+    df = spark.createDataFrame(rows, "pos long, x long, ok boolean, must boolean")
+    got = o.greedy_starts(df, [], "pos", F.col("x"), 11, eligible=F.col("ok"), forced=F.col("must"), chunk_rows=9, fan=4)
+    want, goal = [], float("-inf")
+    for i, x, ok, must in rows:
+        if must or (ok and x >= goal):
+            want.append(i)
+            goal = x + 11
+    assert sorted(r["pos"] for r in got.collect()) == want
+
+
+def test_composed_tables():
+    """Tables composed in any order map every target as the tables one by one do."""
+    rng = random.Random(9)
+    for _ in range(200):
+        stride, x, chunks = rng.randint(1, 12), 0, []
+        for _ in range(rng.randint(2, 6)):
+            xs, forced = [], []
+            for _ in range(rng.randint(1, 5)):
+                x += rng.choice([0, 1, 3, 9])
+                xs.append(x)
+                forced.append(rng.random() < 0.1)
+            chunks.append(tuple(np.asarray(t, np.int64) for t in o._table_of(np.array(xs), np.array(forced), stride)))
+        targets = np.arange(-3, stride + 1) + chunks[0][0][0] if chunks[0][0][0] < 1 << 40 else np.array([-5, 0, 5])
+        want = targets
+        for c in chunks:
+            want = o._through(*c, want)
+        cut = rng.randint(1, len(chunks) - 1)
+        fold = lambda cs: functools.reduce(lambda a, b: o._compose(stride, a, b), cs)
+        assert (o._through(*fold(chunks), targets) == want).all()
+        assert (o._through(*o._compose(stride, fold(chunks[:cut]), fold(chunks[cut:])), targets) == want).all()
+
+
 def test_neighbour_frame(data):
     df, groups = data
     out = o.neighbour_frame(df, ["c"], "pos", 2, before={"b": F.col("len")}, after={"a": F.col("len")}, chunk_rows=5)
