@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clusterloom.bindings import query, table
-from clusterloom.bindings.features import SEQS, sequences
+from clusterloom.bindings.features import FAN, PIECE, SEQS, digests_sql, sequences
 from clusterloom.operators import evaluate as ev
 from clusterloom.operators import match as mt
 from clusterloom.operators import merge as mg
+from clusterloom.operators import pieces as pc
 from clusterloom.operators import similarity as sim
-from clusterloom.operators.ordered import index_rows
+from clusterloom.operators.ordered import index_rows, scan
 from clusterloom.session import cut_lineage
 
 # Inputs --------------------------------------------------------------------------------
@@ -432,12 +433,43 @@ def not_yet_written(spark, sf):
     return mt.not_yet_written(table(spark, sf, "customer").select("c_custkey"), done, "c_custkey")
 
 
+def source_members(spark, sf):
+    return sequences(spark, sf).select(
+        F.concat("source", F.lit(".1|"), txt("doc_id")).alias("seq_id"), F.col("doc_id").alias("pos"), "seq")
+
+
+JOINED = f"""{SEQS},
+joined AS (SELECT source AS cluster_id, coalesce(string_agg(seq, '' ORDER BY doc_id), '') AS alltext FROM seqs GROUP BY source)"""
+
+
 @query("cluster_concatenation", f"""
-WITH {SEQS} SELECT source AS cluster_id, md5(string_agg(seq, '' ORDER BY doc_id)) AS digest FROM seqs GROUP BY source""")
+WITH {JOINED}, {digests_sql("joined", "cluster_id", "alltext")} SELECT * FROM digests""")
 def cluster_concatenation(spark, sf):
-    seqs = sequences(spark, sf).select(
-        F.concat("source", F.lit(".1|"), txt("doc_id")).alias("seq_id"), F.col("doc_id").alias("pos"), "seq")
-    return mt.concat_by_cluster(seqs).select("cluster_id", F.md5(F.col("seq").cast("binary")).alias("digest"))
+    return pc.piece_digests(mt.cluster_pieces(source_members(spark, sf), piece=PIECE), ["cluster_id"], FAN)
+
+
+@query("cluster_piece_table", f"""
+WITH {JOINED} SELECT cluster_id, p AS piece, p * {PIECE} AS "offset", md5(substr(alltext, (p * {PIECE} + 1)::BIGINT, {PIECE})) AS digest
+FROM (SELECT cluster_id, alltext, unnest(range(0, greatest((length(alltext) + {PIECE - 1}) // {PIECE}, 1))) AS p FROM joined)""")
+def cluster_piece_table(spark, sf):
+    return mt.cluster_pieces(source_members(spark, sf), piece=PIECE).select(
+        "cluster_id", "piece", "offset", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("cluster_region_texts", f"""
+WITH {JOINED},
+ends AS (SELECT doc_id, source, sum(length(seq)) OVER (PARTITION BY source ORDER BY doc_id) AS e FROM seqs)
+SELECT doc_id, md5(substr(alltext, (greatest(e - 900, 0) + 1)::BIGINT, (e + 60 - greatest(e - 900, 0))::BIGINT)) AS digest
+FROM ends JOIN joined ON cluster_id = source""")
+def cluster_region_texts(spark, sf):
+    """The text around the end of every sequence in its cluster, over the seams."""
+    members = source_members(spark, sf)
+    lengths = members.select(
+        F.split_part("seq_id", F.lit("."), F.lit(1)).alias("cluster_id"), "pos", F.length("seq").cast("long").alias("n"))
+    ends = scan(lengths, ["cluster_id"], "pos", sums={"e": F.col("n")}).select(
+        "cluster_id", F.col("pos").alias("doc_id"), (F.col("e") - 900).alias("begin"), (F.col("e") + 60).alias("end"))
+    texts = pc.region_texts(mt.cluster_pieces(members, piece=PIECE), ["cluster_id"], ends, "doc_id", PIECE)
+    return texts.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 def mrna(spark, sf):

@@ -25,6 +25,22 @@ SEQS = """seqs AS (
   FROM documents)"""
 
 
+PIECE, FAN = 4096, 64
+
+
+def digests_sql(source: str, key: str, text: str) -> str:
+    """CTEs ending in ``digests (key, n_chars, n_pieces, digest)``: the hash tree over pieces of ``text``."""
+    levels = [f"""pieces AS (SELECT {key}, p AS node, 1 AS n, sha256(substr(t, (p * {PIECE} + 1)::BIGINT, {PIECE})) AS d, nc
+  FROM (SELECT {key}, {text} AS t, length({text}) AS nc, unnest(range(0, greatest((length({text}) + {PIECE - 1}) // {PIECE}, 1))) AS p FROM {source}))"""]
+    before = "pieces"
+    for i in range(4):
+        levels.append(f"""up{i} AS (SELECT {key}, node // {FAN} AS node, sum(n)::BIGINT AS n, any_value(nc) AS nc,
+  CASE WHEN count(*) = 1 THEN min(d) ELSE sha256(string_agg(d, '' ORDER BY node)) END AS d FROM {before} GROUP BY {key}, {before}.node // {FAN})""")
+        before = f"up{i}"
+    levels.append(f"digests AS (SELECT {key}, nc AS n_chars, n AS n_pieces, d AS digest FROM {before})")
+    return ",\n".join(levels)
+
+
 def kmers_sql(k: int) -> str:
     return f"""(SELECT doc_id, source, seq, i AS pos, substr(seq, i, {k}) AS feature FROM (
     SELECT doc_id, source, seq, unnest(range(1, length(seq) - {k} + 2)) AS i FROM seqs))"""

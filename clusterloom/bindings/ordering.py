@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clusterloom.bindings import query, table
-from clusterloom.bindings.features import SEQS, sequences
+from clusterloom.bindings.features import FAN, PIECE, SEQS, digests_sql, sequences
 from clusterloom.operators import merge as mg
+from clusterloom.operators import pieces as pc
 from clusterloom.operators.ordered import index_rows, scan
 from clusterloom.operators.windows import sequence_windows
 
@@ -292,16 +293,18 @@ def state_transitions(spark, sf):
     return transitions(seq, USER)
 
 
-@query("consecutive_record_merge", """
+@query("consecutive_record_merge", f"""
 WITH o AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, lang, text FROM documents),
 c AS (SELECT *, CASE WHEN lang IS DISTINCT FROM lag(lang) OVER (ORDER BY pos) THEN 1 ELSE 0 END AS c FROM o),
-i AS (SELECT *, sum(c) OVER (ORDER BY pos) AS island FROM c)
-SELECT min(pos) AS start, lang, md5(string_agg(text, '' ORDER BY pos)) AS digest, count(*) AS n
-FROM i GROUP BY island, lang""")
+i AS (SELECT *, sum(c) OVER (ORDER BY pos) AS island FROM c),
+runs AS (SELECT min(pos) AS start, lang, coalesce(string_agg(text, '' ORDER BY pos), '') AS alltext, count(*) AS n FROM i GROUP BY island, lang),
+{digests_sql("runs", "start", "alltext")}
+SELECT start, lang, runs.n, n_chars, n_pieces, digest FROM runs JOIN digests USING (start)""")
 def consecutive_record_merge(spark, sf):
     docs = index_rows(table(spark, sf, "documents").select("doc_id", "lang", "text"), [], ["doc_id"])
-    return mg.group_consecutive(docs, [], "pos", "lang", "text").select(
-        "start", "lang", F.md5(F.col("text").cast("binary")).alias("digest"), "n")
+    runs, pieces = mg.consecutive_pieces(docs, [], "pos", "lang", "text", PIECE)
+    return runs.join(pc.piece_digests(pieces, ["start"], FAN), "start").select(
+        "start", "lang", "n", "n_chars", "n_pieces", "digest")
 
 
 @query("running_scores", """

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from clusterloom.functions.scalar import annotation_colour
+from clusterloom.operators.pieces import PIECE, joined_pieces
 
 
 def significant_subjects(hits: DataFrame, max_evalue: float = 1e-5, min_qcovs: float = 50.0) -> DataFrame:
@@ -59,10 +60,23 @@ def not_yet_written(inputs: DataFrame, written: DataFrame, key: str) -> DataFram
     return inputs.join(written.select(key), key, "left_anti")
 
 
+def _cluster_of(seq_id: str) -> Column:
+    """Cluster id of a header: up to ``|``, before ``.``."""
+    return F.split_part(F.split_part(seq_id, F.lit("|"), F.lit(1)), F.lit("."), F.lit(1))
+
+
+def cluster_pieces(sequences: DataFrame, pos: str = "pos", piece: int = PIECE) -> DataFrame:
+    """Sequences concatenated per cluster, of any length: ``cluster_id, piece, offset, text``.
+
+    ``pos`` is LONG and unique within a cluster; ids are not null.
+    """
+    rows = sequences.select(_cluster_of("seq_id").alias("cluster_id"), pos, "seq")
+    return joined_pieces(rows, ["cluster_id"], pos, "seq", piece)
+
+
 def concat_by_cluster(sequences: DataFrame, pos: str = "pos") -> DataFrame:
-    """Concatenate sequences per cluster id (header up to ``|``, before ``.``)."""
-    cluster = F.split_part(F.split_part("seq_id", F.lit("|"), F.lit(1)), F.lit("."), F.lit(1))
-    return sequences.groupBy(cluster.alias("cluster_id")).agg(
+    """Sequences concatenated per cluster as one value each; ``cluster_pieces`` has no such limit."""
+    return sequences.groupBy(_cluster_of("seq_id").alias("cluster_id")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, "seq"))),
                                  lambda e: e["seq"]), "").alias("seq"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from clusterloom.operators.ordered import (
     greedy_starts, group_starts, index_rows, islands, neighbour_frame, scan,
 )
+from clusterloom.operators.pieces import PIECE, joined_pieces
 from clusterloom.session import cut_lineage
 
 
@@ -252,10 +253,26 @@ def neighbour_weights(
     ).drop("_b", "_a")
 
 
+def consecutive_pieces(
+    df: DataFrame, parts: Sequence[str], pos: str, id_col: str, text_col: str, piece: int = PIECE
+) -> tuple[DataFrame, DataFrame]:
+    """Consecutive rows with the same id, of any length, as runs and as their joined texts.
+
+    Returns ``parts…, start, id, n`` and ``parts…, start, piece, offset, text``; ``pos`` is dense.
+    """
+    placed = cut_lineage(islands(df.select(*parts, pos, id_col, text_col), parts, pos, F.col(id_col)))
+    rows = placed.withColumnRenamed("island_start", "start")
+    runs = rows.groupBy(*parts, "start").agg(F.min(id_col).alias(id_col), F.count("*").alias("n"))
+    return runs, joined_pieces(rows, [*parts, "start"], pos, text_col, piece)
+
+
 def group_consecutive(
     df: DataFrame, parts: Sequence[str], pos: str, id_col: str, text_col: str
 ) -> DataFrame:
-    """Concatenate the texts of consecutive rows with the same id: ``parts…, start, id, text``."""
+    """Texts of consecutive rows with the same id as one value: ``parts…, start, id, text``.
+
+    ``consecutive_pieces`` is for runs of any length.
+    """
     runs = islands(df, parts, pos, F.col(id_col))
     return runs.groupBy(*parts, F.col("island_start").alias("start"), id_col).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(pos, text_col))),

@@ -15,6 +15,7 @@ NAMES = [
     "kmer_corpus_count", "nonoverlapping_kmer_count", "vocabulary_index", "padded_batches", "path_parts",
     "overlapping_windows", "successive_merge", "majority_regroup", "rule_filter_split", "gold_gene_matches",
     "overestimation", "ontology_terms", "shuffled_negatives", "policy_clusters", "fasta_round_trip", "class_report",
+    "cluster_concatenation", "cluster_region_texts",
 ]
 
 
