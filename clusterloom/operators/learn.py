@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from clusterloom.operators.corpus import positive_features_per_fold, stratified_folds
+from clusterloom.operators.ordered import index_rows
 from clusterloom.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -421,14 +422,24 @@ def _with_distance(data: DataFrame, mean: np.ndarray, cov: np.ndarray) -> DataFr
     return data.mapInPandas(measure, fields + ", distance double")
 
 
+def _value_at_share(df: DataFrame, column: str, share: float) -> float | None:
+    """Smallest value that at least ``share`` of the rows do not exceed; exact, by a range sort."""
+    ranked = index_rows(df.select(column), [], [column], "_rank")
+    n = ranked.count()
+    # The small term keeps a product such as 0.9 * 10 from being rounded up past 9.
+    at = max(math.ceil(share * n - 1e-9), 1) - 1
+    found = ranked.filter(F.col("_rank") == at).first()
+    return found[column] if found else None
+
+
 def covariance_labels(
     data: DataFrame, id_col: str, array_col: str, dim: int, contamination: float = 0.1, steps: int = 5,
 ) -> DataFrame:
     """Robust-covariance labels: ``id, distance, prediction``.
 
-    Concentration steps refit mean and covariance on the closest half of the rows; the
-    furthest ``contamination`` share is labelled -1. ``dim`` is limited since its square reaches
-    the driver.
+    Concentration steps refit mean and covariance on the closest half of the rows (up to 1/10000);
+    the furthest ``contamination`` share is labelled -1, rows that tie with its border are not. ``dim``
+    is limited since its square reaches the driver.
     """
     if dim > 1024:
         raise ValueError("reduce the dimensions first: at most 1024")
@@ -439,7 +450,7 @@ def covariance_labels(
         half = near.agg(F.percentile_approx("distance", 0.5, 10000)).first()[0]
         mean, cov = _moments(near.filter(F.col("distance") <= half), dim)
     final = _with_distance(rows, mean, cov).drop("x")
-    cutoff = final.agg(F.percentile_approx("distance", 1 - contamination, 10000)).first()[0]
+    cutoff = _value_at_share(final, "distance", 1 - contamination)
     return final.withColumn("prediction", F.when(F.col("distance") > cutoff, -1).otherwise(1))
 
 

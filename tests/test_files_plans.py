@@ -219,3 +219,12 @@ def test_reports(spark):
     assert sorted(map(tuple, ln.confusion(df).collect())) == [(0, 2, 0), (1, 1, 1)]
     only = ln.class_report(df.withColumn("prediction", F.lit(0)))
     assert {r["label"]: r["precision"] for r in only.collect()}[1] == 0.0
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.5, 0.9, 1.0])
+def test_value_at_share(spark, share):
+    values = sorted([3.0, 1.0, 1.0, 1.0, 7.5, 2.0, 2.0, 9.0, 4.0, 5.0])
+    want = next(v for v in values if sum(w <= v for w in values) >= share * len(values) - 1e-9)
+    df = spark.createDataFrame([(v,) for v in values[::-1]], "d double")
+    assert ln._value_at_share(df, "d", share) == want
+    assert ln._value_at_share(df.filter("d > 100"), "d", share) is None
