@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clusterloom.bindings import query, table
 from clusterloom.functions import tokens as tk
 from clusterloom.operators import features as ft
+from clusterloom.operators import kmer_bins as kb
 
 # Shared inputs -------------------------------------------------------------------------
 
@@ -122,6 +123,13 @@ def kmer_corpus_count(spark, sf):
     return ft.kmer_counts(sequences(spark, sf), "seq", 6, 3)
 
 
+@query("binned_kmer_count", f"""
+WITH {SEQS}
+SELECT feature, count(*) AS cnt FROM {kmers_sql(15)} t GROUP BY feature HAVING count(*) >= 3""")
+def binned_kmer_count(spark, sf):
+    return kb.binned_kmer_counts(sequences(spark, sf), "seq", 15, 3)
+
+
 @query("kmer_range_count", f"""
 WITH {SEQS}, grams AS (
   SELECT feature FROM {kmers_sql(3)} a UNION ALL SELECT feature FROM {kmers_sql(4)} b
