@@ -245,25 +245,30 @@ def overestimation(
     """
     # Both inputs are used several times.
     processed, originals = cut_lineage(processed), cut_lineage(originals)
-    origin = best_original(processed, originals, successive).join(
-        originals.select(F.col("pos").alias("original_pos"), F.col("genes").alias("_pre")),
-        "original_pos", "left")
-    pre = F.coalesce(F.col("_pre"), F.array().cast("array<string>"))
-    rows = processed.join(origin, "pos").select(
-        "pos", cluster_display_id(F.col("genes")).alias("cluster"),
-        F.size(pre).alias("n_original"), F.size("genes").alias("n_processed"),
-        F.explode(F.transform(
-            F.array_distinct("genes"),
-            lambda g: F.struct(g.alias("gene"), F.array_contains(pre, g).alias("orig")))).alias("_e"),
-    ).select("pos", "cluster", "n_original", "n_processed", "_e.*")
-    inside = regions.select("gene").distinct().withColumn("_gold", F.lit(True))
-    flags = rows.join(inside, "gene", "left").withColumn("_gold", F.coalesce("_gold", F.lit(False)))
-    counts = flags.groupBy("pos").agg(
-        F.first("cluster").alias("cluster"), F.first("n_original").alias("n_original"),
-        F.first("n_processed").alias("n_processed"), F.count_if("_gold").alias("_in"),
+    genes_of = lambda df, pos: df.select(
+        F.col("pos").alias(pos), F.explode(F.array_distinct("genes")).alias("gene")).filter("gene IS NOT NULL")
+    inside = regions.select("gene").distinct()
+    # Only clusters that touch a region are reported, so only they look for their original.
+    touching = genes_of(processed, "pos").join(inside, "gene", "left_semi").select("pos").distinct()
+    reached = cut_lineage(processed.join(touching, "pos", "left_semi"))
+    origin = cut_lineage(best_original(reached, originals, successive))
+    found = originals.join(origin.select(F.col("original_pos").alias("pos")).distinct(), "pos", "left_semi")
+    rows = (
+        genes_of(reached, "pos").join(origin, "pos")
+        .join(genes_of(found, "original_pos").withColumn("orig", F.lit(True)), ["original_pos", "gene"], "left")
+        .join(inside.withColumn("_gold", F.lit(True)), "gene", "left")
+        .select("pos", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("orig", "_gold")))
+    )
+    flags = rows.groupBy("pos").agg(
+        F.count_if("_gold").alias("_in"),
         F.count_if("orig").alias("_o"), F.count_if(~F.col("orig")).alias("_m"),
         F.count_if(F.col("orig") & ~F.col("_gold")).alias("_on"),
         F.count_if(~F.col("orig") & ~F.col("_gold")).alias("_mn"))
+    sizes = originals.select(F.col("pos").alias("original_pos"), F.size("genes").alias("n_original"))
+    counts = reached.select(
+        "pos", cluster_display_id(F.col("genes")).alias("cluster"), F.size("genes").alias("n_processed"),
+    ).join(flags, "pos").join(origin, "pos").join(sizes, "original_pos", "left").withColumn(
+        "n_original", F.coalesce("n_original", F.lit(0)))
     share = lambda a, b: F.coalesce(F.try_divide(F.col(a) * 100.0, F.col(b)), F.lit(0.0))
     return counts.filter("_in > 0").select(
         "pos", "cluster", "n_original", "n_processed",
