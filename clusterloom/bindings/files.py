@@ -11,10 +11,11 @@ from clusterloom.bindings.evaluation import HITS, LG, PG, hits, line_gene, mrna,
 from clusterloom.bindings.features import SEQS, WORDS, sequences
 from clusterloom.operators import evaluate as ev
 from clusterloom.operators import match as mt
+from clusterloom.sources import incremental as inc
 from clusterloom.sources import readers as rd
 from clusterloom.sources import records as rc
 from clusterloom.sources import writers as wr
-from clusterloom.session import ensure_checkpoint_dir
+from clusterloom.session import cut_lineage, ensure_checkpoint_dir
 
 
 def scratch(spark, name: str) -> str:
@@ -42,6 +43,25 @@ def fasta_round_trip(spark, sf):
     return rd.read_fasta(spark, path, None).select("seq_id", md5("seq").alias("digest"), F.length("seq").alias("n"))
 
 
+@query("incremental_fasta", f"""
+WITH {SEQS}
+SELECT doc_id::VARCHAR AS seq_id, md5(seq) AS digest, doc_id % 3 = 0 AS in_first_run, 1 AS n_times FROM seqs""")
+def incremental_fasta(spark, sf):
+    path, out, state = (scratch(spark, name) for name in ("grown", "parsed", "state"))
+    seqs = sequences(spark, sf)
+
+    def run(part: str, rows):
+        wr.write_fasta(rows, txt("doc_id"), "seq", f"{path}/{part}")
+        return inc.ingest(rd.read_fasta(spark, path, None, stream=True), out, state)
+
+    first = cut_lineage(run("first", seqs.filter("doc_id % 3 = 0")).select("seq_id").distinct())
+    grown = run("second", seqs.filter("doc_id % 3 <> 0"))
+    each = grown.groupBy("seq_id", md5("seq").alias("digest")).agg(F.count("*").alias("n_times"))
+    seen = first.withColumn("_seen", F.lit(True))
+    return each.join(seen, "seq_id", "left").select(
+        "seq_id", "digest", F.coalesce("_seen", F.lit(False)).alias("in_first_run"), "n_times")
+
+
 @query("sorted_fasta", f"""
 WITH {SEQS} SELECT doc_id AS seq_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM seqs""")
 def sorted_fasta(spark, sf):

@@ -1,5 +1,6 @@
 """Readers. Record formats are split by a multi-character line separator, so large files stay
-splittable; ``.gz`` files are decompressed by the reader."""
+splittable; ``.gz`` files are decompressed by the reader. With ``stream`` a reader yields a stream of
+the files that ``sources.incremental`` has not handled yet."""
 
 from __future__ import annotations
 
@@ -36,8 +37,8 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _reader(spark: SparkSession, ext: str | None):
-    reader = spark.read.option("recursiveFileLookup", "true")
+def _reader(spark: SparkSession, ext: str | None, stream: bool = False):
+    reader = (spark.readStream if stream else spark.read).option("recursiveFileLookup", "true")
     return reader.option("pathGlobFilter", f"*.{ext}") if ext else reader
 
 
@@ -49,41 +50,41 @@ def list_files(spark: SparkSession, path: str, ext: str) -> DataFrame:
     )
 
 
-def read_lines(spark: SparkSession, path: str, ext: str | None = None) -> DataFrame:
-    return _reader(spark, ext).text(path).select(
+def read_lines(spark: SparkSession, path: str, ext: str | None = None, stream: bool = False) -> DataFrame:
+    return _reader(spark, ext, stream).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.rtrim("value").alias("line"))
 
 
-def _records(spark: SparkSession, path: str, ext: str | None, separator: str) -> DataFrame:
-    return _reader(spark, ext).option("lineSep", separator).text(path).select(
+def _records(spark: SparkSession, path: str, ext: str | None, separator: str, stream: bool = False) -> DataFrame:
+    return _reader(spark, ext, stream).option("lineSep", separator).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.replace("value", F.lit("\r"), F.lit("")).alias("record"))
 
 
-def read_headed_records(spark: SparkSession, path: str, ext: str | None) -> DataFrame:
+def read_headed_records(spark: SparkSession, path: str, ext: str | None, stream: bool = False) -> DataFrame:
     """``>header`` records: ``file, header, body`` (body lines joined by line breaks)."""
     cut = F.regexp_replace("record", r"^\s*>?", "")
     return (
-        _records(spark, path, ext, "\n>").select("file", cut.alias("_r"))
+        _records(spark, path, ext, "\n>", stream).select("file", cut.alias("_r"))
         .select("file", F.trim(F.split_part("_r", F.lit("\n"), F.lit(1))).alias("header"),
                 F.regexp_replace(F.regexp_extract("_r", r"(?s)^[^\n]*\n(.*)$", 1), r"\s+$", "").alias("body"))
         .filter(F.col("header") != "")
     )
 
 
-def read_fasta(spark: SparkSession, path: str, ext: str | None = "fasta") -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, ext: str | None = "fasta", stream: bool = False) -> DataFrame:
     """``file, seq_id, seq``; the id is the first word of the header."""
-    return read_headed_records(spark, path, ext).select(
+    return read_headed_records(spark, path, ext, stream).select(
         "file", F.split_part("header", F.lit(" "), F.lit(1)).alias("seq_id"),
         F.regexp_replace("body", r"\s", "").alias("seq"))
 
 
-def read_genbank(spark: SparkSession, path: str, ext: str | None = "gbk") -> DataFrame:
+def read_genbank(spark: SparkSession, path: str, ext: str | None = "gbk", stream: bool = False) -> DataFrame:
     """``file, record_id, organism, seq, cds`` per record; ``cds`` are the feature texts."""
     grab = lambda pattern: F.regexp_extract("record", pattern, 1)
     own = lambda c: F.when(c != "", c)
     sequence = F.upper(F.regexp_replace(grab(r"(?s)\nORIGIN[^\n]*\n(.*)$"), r"[\s\d/]", ""))
     return (
-        _records(spark, path, ext, "\n//")
+        _records(spark, path, ext, "\n//", stream)
         .filter(F.col("record").contains("LOCUS"))
         .select(
             "file",
