@@ -9,6 +9,7 @@ from clusterloom.bindings import query, table
 from clusterloom.bindings.features import word_tokens, word_vocabulary
 from clusterloom.operators import features as ft
 from clusterloom.operators import learn as ln
+from clusterloom.operators import margin as mg
 from clusterloom.session import cut_lineage
 
 
@@ -96,6 +97,15 @@ def linear_svm_predictions(spark, sf):
     return _scored(on_held_out(data, lambda d: ln.train(d, "linearsvc", n))[1])
 
 
+@query("squared_hinge_predictions", HELD_WORDS.format(", TRUE AS learned"))
+def squared_hinge_predictions(spark, sf):
+    occ, labels, vocab = word_data(spark, sf)
+    rows = cut_lineage(ln.sparse_rows(occ, labels).join(labels, "instance_id"))
+    model = mg.fit_squared_hinge(rows.filter(~held_out()), vocab.count())
+    scored = mg.margins(rows.filter(held_out()), model).join(labels, "instance_id")
+    return _scored(scored)
+
+
 @query("logistic_confidences", HELD_WORDS.format(", TRUE AS agrees, TRUE AS learned"))
 def logistic_confidences(spark, sf):
     """The margin's sign is the predicted class, of every held-out instance."""
