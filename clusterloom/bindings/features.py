@@ -378,6 +378,32 @@ def embedding_lookup(spark, sf):
         "idx", "feature", F.round(F.get("vector", F.lit(0)).cast("double"), 5).alias("v1"), "found")
 
 
+EMBEDDED = """names AS (
+  SELECT idx, unnest(['PF' || idx, 'GO:' || idx, translate(idx::VARCHAR, '0123456789', 'ABCDEFGHIJ'), '#' || idx]) AS feature
+  FROM (SELECT p_partkey AS idx FROM part))"""
+
+
+def embedded_names(df, key):
+    """A domain, a term, a word and a name of no kind for each key."""
+    k = F.col(key).cast("string")
+    word = F.translate(k, "0123456789", "ABCDEFGHIJ")
+    names = F.array(F.concat(F.lit("PF"), k), F.concat(F.lit("GO:"), k), word, F.concat(F.lit("#"), k))
+    return df.withColumn("feature", F.explode(names))
+
+
+@query("embedding_match_counts", f"""
+WITH {EMBEDDED}
+SELECT CASE WHEN feature LIKE 'PF%' THEN 'domain' WHEN feature LIKE 'GO:%' THEN 'go' ELSE 'kmer' END AS kind,
+       count(vec_id) AS n_found, count(*) AS n_features
+FROM names LEFT JOIN embeddings ON vec_id = idx AND CASE WHEN feature LIKE 'PF%' THEN idx % 2 WHEN feature LIKE 'GO:%' THEN idx % 3 ELSE 0 END = 0
+WHERE feature NOT LIKE '#%' GROUP BY 1""")
+def embedding_match_counts(spark, sf):
+    vocab = embedded_names(table(spark, sf, "part").select(F.col("p_partkey").alias("idx")), "idx").select("idx", "feature")
+    every = F.when(F.col("feature").startswith("PF"), 2).when(F.col("feature").startswith("GO"), 3).otherwise(1)
+    vectors = embedded_names(table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id")
+    return ft.embedding_matches_by_kind(vocab, vectors.filter(F.col("vec_id") % every == 0))
+
+
 # Ids and rewards -----------------------------------------------------------------------
 
 

@@ -115,6 +115,16 @@ def genbank_proteins(spark, sf):
     return rd.genbank_proteins(records).select("header", md5("seq").alias("digest"))
 
 
+@query("genbank_fasta_folder", f"""
+WITH {SEQS}
+SELECT 'V' || doc_id || '.1|zoo|' || {GBK_TAGS} || '|made by ' || source AS header, md5(seq) AS digest FROM seqs""")
+def genbank_fasta_folder(spark, sf):
+    from clusterloom.plans.corpus import genbank_to_fasta
+
+    back = genbank_to_fasta(spark, genbank_path(spark, sf), scratch(spark, "zoo.fasta"), None)
+    return back.select("header", md5("body").alias("digest"))
+
+
 @query("genbank_nucleotides", f"""
 WITH {SEQS}
 SELECT 'V' || doc_id || '.1' AS record_id, lang AS organism,

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from clusterloom.bindings import query, table
+from clusterloom.bindings import ORACLES, query, table
 from clusterloom.bindings.features import word_tokens, word_vocabulary
+from clusterloom.bindings.files import scratch
 from clusterloom.operators import features as ft
 from clusterloom.operators import learn as ln
 from clusterloom.operators import margin as mg
 from clusterloom.session import cut_lineage
+from clusterloom.sources import readers as rd
+from clusterloom.sources import writers as wr
 
 
 def embedded(spark, sf):
@@ -246,6 +249,15 @@ def class_report(spark, sf):
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "accuracy")})
 
 
+@query("report_round_trip", ORACLES["class_report"])
+def report_round_trip(spark, sf):
+    """The class report as the report sink wrote it."""
+    path = scratch(spark, "report")
+    wr.write_report(ln.class_report(rule_predictions(spark, sf)), path)
+    out = rd.read_report(spark, path, "label long, precision double, recall double, f1 double, support long, accuracy double")
+    return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "accuracy")})
+
+
 @query("grid_score_summary", """
 SELECT event_type, user_id % 5 AS fold_group, round(avg(value), 6) AS mean, round(2 * stddev_pop(value), 6) AS spread FROM events GROUP BY ALL""")
 def grid_score_summary(spark, sf):

@@ -236,12 +236,15 @@ def distinguish_ids(df: DataFrame, keys: list[str], order: list[str], id_col: st
     )
 
 
+#: What features of each kind with vectors look like.
+EMBEDDED_KINDS = {"domain": r"^PF\d", "go": "^GO:", "kmer": r"^\p{L}+$"}
+
+
 def embedding_matrix(vocab: DataFrame, vectors: DataFrame, kind: str, dim: int) -> DataFrame:
     """Vector per vocabulary feature of one kind, zeros when missing: ``idx, feature, vector, found``."""
-    pattern = {"domain": r"^PF\d", "go": "^GO:", "kmer": r"^\p{L}+$"}[kind]
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
     return (
-        vocab.filter(F.col("feature").rlike(pattern))
+        vocab.filter(F.col("feature").rlike(EMBEDDED_KINDS[kind]))
         .join(vectors.select("feature", "vector"), "feature", "left")
         .select("idx", "feature", F.coalesce("vector", zeros).alias("vector"),
                 F.col("vector").isNotNull().alias("found"))
@@ -254,6 +257,16 @@ def embedding_matches(matrix: DataFrame) -> DataFrame:
     )
 
 
+def embedding_matches_by_kind(vocab: DataFrame, vectors: DataFrame) -> DataFrame:
+    """``kind, n_found, n_features`` of all kinds in one join; a kind without a feature has no row."""
+    kind = F.coalesce(*(F.when(F.col("feature").rlike(p), F.lit(k)) for k, p in EMBEDDED_KINDS.items()))
+    known = vectors.filter("vector IS NOT NULL").select("feature").distinct().withColumn("_found", F.lit(True))
+    return (
+        vocab.select("feature", kind.alias("kind")).filter("kind IS NOT NULL").join(known, "feature", "left")
+        .groupBy("kind").agg(F.count("_found").alias("n_found"), F.count("*").alias("n_features"))
+    )
+
+
 def feature_rewards(tokens: DataFrame, label: Column, kind: str = "occ") -> DataFrame:
     """+1 per positive, -1 per negative occurrence, by (feature, file): ``feature, file, reward``.
 

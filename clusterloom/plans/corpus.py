@@ -90,3 +90,13 @@ def train_policy(
                           F.col("r_skip").alias("rewardSkip"), F.col("q_keep").alias("qvalueKeep"),
                           F.col("q_skip").alias("qvalueSkip")).orderBy("id"), f"{out}/stat")
     return contents.sparkSession.read.parquet(f"{out}/qtable")
+
+
+def genbank_to_fasta(spark: SparkSession, path: str, out: str, ext: str | None = "gbk") -> DataFrame:
+    """All proteins of a folder of GenBank files as one FASTA folder; ``file, header, body`` as read back.
+
+    One job writes all files, each record where it is read; exact duplicates are written once.
+    """
+    proteins = rd.genbank_proteins(rd.read_genbank(spark, path, ext))
+    wr.write_fasta(proteins, "header", "seq", out)
+    return rd.read_headed_records(spark, out, None)

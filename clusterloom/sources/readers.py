@@ -339,3 +339,8 @@ def read_policy_statistics(spark: SparkSession, path: str) -> DataFrame:
     """Statistics of a trained policy: ``id, rewardKeep, rewardSkip, qvalueKeep, qvalueSkip``."""
     return spark.read.option("sep", "\t").option("header", "true").schema(
         "id string, rewardKeep double, rewardSkip double, qvalueKeep double, qvalueSkip double").csv(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A report as the report sink wrote it, one object a line; ``schema`` fixes the types."""
+    return spark.read.schema(schema).json(path)
