@@ -15,7 +15,8 @@ NAMES = [
     "kmer_corpus_count", "nonoverlapping_kmer_count", "vocabulary_index", "padded_batches", "path_parts",
     "overlapping_windows", "successive_merge", "majority_regroup", "rule_filter_split", "gold_gene_matches",
     "overestimation", "ontology_terms", "shuffled_negatives", "policy_clusters", "fasta_round_trip", "class_report",
-    "cluster_concatenation", "cluster_region_texts",
+    "cluster_concatenation", "cluster_region_texts", "binned_kmer_count", "incremental_fasta", "genbank_fasta_folder",
+    "embedding_match_counts", "report_round_trip", "squared_hinge_predictions",
 ]
 
 
