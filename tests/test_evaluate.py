@@ -121,6 +121,23 @@ def test_seed_similarity_matches_brute_force(spark):
     assert groups == {i: reps[s] for i, s in enumerate(seqs)}
 
 
+def test_ranked_sets_shuffle_kmers_once_and_go_on_as_numbers(spark):
+    seqs = ["ABCABCABCD", "ABCDDDDDDD", "XYZWXYZW", "AB", "", None, "DDDDDQ", "CABCE"]
+    sets = sim._ranked_sets(spark.createDataFrame(list(enumerate(seqs)), "id long, seq string"), "id", "seq", 3)
+    assert sets.schema["kmers"].dataType.simpleString() == "array<bigint>"
+    plan = sets._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(kmer") == 1
+    grams = {i: {s[p:p + 3] for p in range(len(s or "") - 2)} for i, s in enumerate(seqs) if s is not None}
+    df = {g: sum(g in v for v in grams.values()) for v in grams.values() for g in v}
+    names: dict[str, int] = {}
+    for r in sets.collect():
+        shared = {g for g in grams.pop(r["id"]) if df[g] > 1}
+        assert len(r["kmers"]) == len(set(r["kmers"])) == len(shared) and r["n"] - r["lone"] == len(shared)
+        names[r["id"]] = r["n"]
+    assert names == {0: 4, 1: 4, 6: 2, 7: 3}
+    assert not any(df[g] > 1 for v in grams.values() for g in v)
+
+
 def test_ontology_terms(spark):
     hits = spark.createDataFrame(
         [("q", "A", 1e-9, 80.0), ("q", "AB", 1e-9, 50.0), ("q", "C", 1e-3, 90.0)], "qseqid string, sseqid string, evalue double, qcovs double")
