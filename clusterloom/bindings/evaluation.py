@@ -108,12 +108,18 @@ scores AS (SELECT cluster_id, coalesce(run, 0) AS run, n_genes FROM sized LEFT J
 
 
 def similar_pairs(spark, sf):
-    """Genes of one part on lines of one number are similar, by their quantities."""
-    li = table(spark, sf, "lineitem").select(
-        "l_partkey", "l_linenumber", line_gene().alias("gene"), F.col("l_quantity").alias("q"))
-    keys = ["l_partkey", "l_linenumber"]
-    pairs = li.withColumnsRenamed({"gene": "a", "q": "_q"}).join(li.withColumnRenamed("gene", "b"), keys)
-    return mt.max_similarity(pairs.select("a", "b", (F.col("_q") + F.col("q")).alias("pident")))
+    """Genes of one part on lines of one number are similar, by their quantities.
+
+    Lines are shuffled once, by part; their pairs, many more, are reduced where they are made and
+    named at the end. Equal line numbers are a filter, since a key would shuffle by both.
+    """
+    li = table(spark, sf, "lineitem").select("l_partkey", "l_linenumber", "l_suppkey", F.col("l_quantity").alias("q"))
+    left = li.withColumnsRenamed({"l_linenumber": "_n", "l_suppkey": "a", "q": "_q"}).repartition("l_partkey")
+    right = li.withColumnsRenamed({"l_suppkey": "b"}).repartition("l_partkey")
+    pairs = left.join(right, "l_partkey").filter(F.col("_n") - F.col("l_linenumber") == 0)
+    best = mt.max_similarity(pairs.select("l_partkey", "a", "b", (F.col("_q") + F.col("q")).alias("pident")), ["l_partkey"])
+    named = lambda c: F.concat(plain_gene("l_partkey"), F.lit("x"), txt(c)).alias(c)
+    return best.select(named("a"), named("b"), "pident")
 
 
 PAIRS = f"""near AS (SELECT l_partkey, l_linenumber, {LG} AS gene, l_quantity AS q FROM lineitem),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -124,9 +126,13 @@ def reduced_similarity(hits: DataFrame) -> DataFrame:
     ).orderBy("id", "pident", "bitscore", "qcovs")
 
 
-def max_similarity(pairs: DataFrame) -> DataFrame:
-    """Highest identity per ordered pair: ``a, b, pident``."""
-    return pairs.groupBy("a", "b").agg(F.max("pident").alias("pident"))
+def max_similarity(pairs: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """Highest identity per ordered pair: ``within…, a, b, pident``.
+
+    ``within`` names the block that ``a`` and ``b`` are numbered in. Pairs that already lie together by
+    block are not shuffled again.
+    """
+    return pairs.groupBy(*within, "a", "b").agg(F.max("pident").alias("pident"))
 
 
 def vote_by_similar(
@@ -138,9 +144,10 @@ def vote_by_similar(
     Each of the ``top`` partners that was kept adds ``step``. The group limit runs before the
     shuffle, so a gene with many partners sends only ``top`` of them per task.
     """
-    both = pairs.select("a", "b", "pident").unionByName(
-        pairs.filter(F.col("a") != F.col("b")).select(
-            F.col("b").alias("a"), F.col("a").alias("b"), "pident"))
+    # Both directions come from one pass, so the pairs are made once.
+    back = F.when(F.col("a") != F.col("b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = pairs.select("pident", F.explode(F.array(F.struct("a", "b"), back)).alias("_p")).filter(
+        "_p IS NOT NULL").select("_p.a", "_p.b", "pident")
     order = W.partitionBy("a").orderBy(F.desc("pident"), "b")
     partners = (
         both.join(undecided.select(F.col("gene").alias("a")).distinct(), "a", "left_semi")

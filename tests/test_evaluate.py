@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from clusterloom.bindings.evaluation import similar_pairs
 from clusterloom.operators import evaluate as ev
 from clusterloom.operators import match as mt
 from clusterloom.operators import similarity as sim
@@ -86,6 +87,24 @@ def test_overestimation(spark):
     assert (rows[5]["over_original"], rows[5]["over_merged"]) == (0.0, 0.0)
 
 
+def test_similar_pairs_shuffle_lines_only(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(rng.randint(1, 4), rng.randint(1, 3), rng.randint(1, 5), float(rng.randint(1, 50))) for _ in range(90)] + [(None, 1, 2, 3.0), (1, None, 2, 90.0)]
+    spark.createDataFrame(rows, "l_partkey long, l_linenumber int, l_suppkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = similar_pairs(spark, str(tmp_path))
+    want: dict[tuple, float] = {}
+    for p, n, s, q in rows:
+        for p2, n2, s2, q2 in rows:
+            if p and n and (p, n) == (p2, n2):
+                key = f"P_{p:05d}x{s}", f"P_{p:05d}x{s2}"
+                want[key] = max(want.get(key, 0.0), q + q2)
+    got = out.collect()
+    assert {(r["a"], r["b"]): r["pident"] for r in got} == want and len(got) == len(want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert "hashpartitioning(a" not in final and "hashpartitioning(l_partkey" in final
+
+
 def test_similar_votes(spark):
     pairs = spark.createDataFrame([("u", f"n{i:02d}", float(i)) for i in range(20)], "a string, b string, pident double")
     kept = spark.createDataFrame([(f"n{i:02d}",) for i in range(13, 20)], "gene string")
