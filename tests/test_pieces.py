@@ -91,3 +91,11 @@ def test_callers_agree_with_whole_values(spark):
     parts = pieces.orderBy("piece").collect()
     assert whole == {r["start"]: (r["id"], "".join(p["text"] for p in parts if p["start"] == r["start"]), r["n"])
                      for r in runs.collect()}
+
+
+def test_runs_are_found_without_their_texts(spark):
+    texts = spark.createDataFrame([(i, "ab"[i // 3 % 2], f"t{i}") for i in range(12)], "pos long, id string, long_text string")
+    runs, pieces = mg.consecutive_pieces(texts, [], "pos", "id", "long_text", piece=4)
+    assert "long_text" not in runs._jdf.queryExecution().analyzed().toString()
+    got = pieces.filter("start = 3").orderBy("piece").collect()
+    assert "".join(r["text"] for r in got) == "t3t4t5" and runs.count() == 4
