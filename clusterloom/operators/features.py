@@ -178,15 +178,13 @@ def domain_files(tokens: DataFrame, label: Column) -> tuple[DataFrame, DataFrame
 
 def encode(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
     """Vocabulary ids of an instance in order, unknown features dropped: ``instance_id, ids, size``."""
-    entry = F.struct("feature_type", "file", "pos", "idx")
     known = tokens.join(vocab, ["feature_type", "feature"], "left")
-    return known.groupBy("instance_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.when(F.col("idx").isNotNull(), entry))),
-            lambda e: e["idx"].cast("int"),
-        ).alias("ids"),
-        F.count("idx").alias("size"),
-    )
+    # Both groupings work where the rows of an instance meet; an id does not carry the names of its file along.
+    by_file = known.select("instance_id", "feature_type", "file", "pos", "idx").repartition("instance_id").groupBy(
+        "instance_id", "feature_type", "file").agg(
+        F.array_sort(F.collect_list(F.when(F.col("idx").isNotNull(), F.struct("pos", F.col("idx").cast("int").alias("idx"))))).alias("_ids"))
+    listed = F.array_sort(F.collect_list(F.struct("feature_type", "file", F.col("_ids.idx").alias("idx"))))
+    return by_file.groupBy("instance_id").agg(F.flatten(listed["idx"]).alias("ids")).withColumn("size", F.size("ids").cast("long"))
 
 
 def max_length(encoded: DataFrame) -> DataFrame:
