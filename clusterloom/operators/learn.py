@@ -463,17 +463,20 @@ def covariance_labels(
 
 
 def nearest_neighbours(
-    data: DataFrame, id_col: str, array_col: str, k: int = 20, block: int = 2048,
+    data: DataFrame, id_col: str, array_col: str, k: int = 20, block: int = 16384,
 ) -> DataFrame:
     """The k nearest other rows of every row: ``id, other, distance``; exact at every size.
 
-    Rows fall into hash blocks of about ``block``. Each pair of blocks is one bounded task that
-    keeps k candidates per row; the candidates are merged. The work is quadratic in the rows, as
-    exact neighbours in many dimensions are.
+    Rows fall into hash blocks of at most about ``block``, four of them as soon as an eighth of that
+    fills each, so that few rows occupy several tasks too. Each pair of blocks is one bounded task
+    that keeps k candidates per row; the candidates are merged. The work is quadratic in the rows, as
+    exact neighbours in many dimensions are; every row is sent once for each block, in its own type,
+    so larger blocks and narrower types send less.
     """
     kind = data.schema[id_col].dataType.simpleString()
-    rows = data.select(id_col, F.col(array_col).cast("array<double>").alias("x"))
-    count = max(1, -(-rows.count() // block))
+    rows = data.select(id_col, F.col(array_col).alias("x"))
+    n = rows.count()
+    count = max(1, -(-n // block), min(4, -(-n * 8 // block)))
     placed = rows.withColumn("_own", F.pmod(F.xxhash64(id_col), F.lit(count)))
     every = F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<bigint>"))
     asked = placed.select(id_col, "x", F.col("_own").alias("_q"), every.alias("_b"))
@@ -483,7 +486,7 @@ def nearest_neighbours(
         ids, others = left[id_col].to_numpy(), right[id_col].to_numpy()
         if not len(ids) or not len(others):
             return pd.DataFrame({id_col: ids[:0], "other": ids[:0], "distance": np.zeros(0)})
-        x, y = np.stack(left["x"].to_numpy()), np.stack(right["x"].to_numpy())
+        x, y = np.stack(left["x"].to_numpy()).astype(np.float64), np.stack(right["x"].to_numpy()).astype(np.float64)
         parts = []
         for a in range(0, len(ids), 256):
             d = (x[a:a + 256] ** 2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x[a:a + 256] @ y.T

@@ -21,3 +21,20 @@ def test_cross_validation_fits_its_models_side_by_side(spark, monkeypatch):
 
     monkeypatch.setattr(ln, "train", met)
     assert rows(4) == alone
+
+
+def test_neighbours_are_sent_in_their_own_type(spark):
+    """Blocks of any size give equal neighbours, and rows are shuffled as the floats they are."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 5)).astype(np.float32)
+    data = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, x array<float>")
+    one, many = (ln.nearest_neighbours(data, "id", "x", k=4, block=b) for b in (1000, 20))
+    rows = lambda df: sorted((r["id"], r["other"], round(r["distance"], 9)) for r in df.collect())
+    assert rows(one) == rows(many)
+    d = np.sqrt(((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert {(i, int(j)) for i in range(90) for j in np.argsort(d[i])[:4]} == {(i, j) for i, j, _ in rows(one)}
+    assert "array<double>" not in one._jdf.queryExecution().optimizedPlan().toString()
