@@ -5,11 +5,17 @@ Constants below are fixed values from the published scales named beside them.
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clusterloom.functions.tokens import explode_kmers
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Average residue masses of the free amino acids, and of water.
 RESIDUE_MASS = {
     "A": 89.0932, "C": 121.1582, "D": 133.1027, "E": 147.1293, "F": 165.1891, "G": 75.0666,
@@ -174,16 +180,28 @@ def reverse_complement(dna: Column) -> Column:
     return F.reverse(F.translate(dna, "ACGT", "TGCA"))
 
 
+#: Base of each byte by its place in ``CODON_BASES``; anything else has none.
+_NO_BASE = 64
+_BASE_OF = np.full(256, _NO_BASE, np.uint8)
+_BASE_OF[np.frombuffer(CODON_BASES.encode(), np.uint8)] = np.arange(4)
+_RESIDUES = np.append(np.frombuffer(CODON_TABLE.encode(), np.uint8), np.uint8(ord("X")))
+
+
+def _residues(dna: str | None) -> str | None:
+    if not isinstance(dna, str):
+        return None
+    # Other characters are no bases, but each takes one place.
+    codes = np.frombuffer(dna.encode("ascii", "replace"), np.uint8)
+    bases = _BASE_OF[codes[:len(codes) // 3 * 3]].reshape(-1, 3).astype(np.int32)
+    return _RESIDUES[np.minimum(bases[:, 0] * 16 + bases[:, 1] * 4 + bases[:, 2], _NO_BASE)].tobytes().decode()
+
+
 def translate_dna(dna: Column) -> Column:
-    """Amino acids of the complete codons; a codon with any other letter gives ``X``."""
-    digits = F.translate(dna, CODON_BASES, "0123")
-    codons = F.regexp_extract_all(digits, F.lit("(?s)(.{3})"), F.lit(1))
-    # Base-4 code of the codon; conv gives null or a short prefix on foreign letters.
-    residue = lambda c: F.when(
-        c.rlike("^[0-3]{3}$"),
-        F.substring(F.lit(CODON_TABLE), F.conv(c, 4, 10).cast("int") + 1, F.lit(1)),
-    ).otherwise("X")
-    return F.array_join(F.transform(codons, residue), "")
+    """Amino acids of the complete codons; a codon with any other letter gives ``X``.
+
+    Codons are looked up a text at a time: one by one each would cost an expression.
+    """
+    return F.pandas_udf(lambda texts: texts.map(_residues), "string")(dna)
 
 
 def six_frames(df: DataFrame, seq_col: str) -> DataFrame:

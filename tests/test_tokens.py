@@ -109,3 +109,13 @@ def test_translation(spark):
     assert df.select(pr.translate_dna(F.col("s"))).first()[0] == "MA*X"
     frames = {r["frame"]: r["protein"] for r in pr.six_frames(df.select(F.lit("ATGAAA").alias("s")), "s").collect()}
     assert frames == {1: "MK", 2: "*", 3: "E", -1: "FH", -2: "F", -3: "S"}
+
+
+def test_codons_are_looked_up_a_text_at_a_time(spark):
+    """Foreign letters, digits and wide characters make X, each taking one place; null stays null."""
+    texts = [None, "", "AT", "ATG", "ATGAC", "ATGé😀CTTT", "012ATG", "atgATG", "".join(a + b + c for a in "TCAG" for b in "TCAG" for c in "TCAG")]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, s string").repartition(3)
+    got = df.select("i", pr.translate_dna(F.col("s")).alias("p"))
+    want = {0: None, 1: "", 2: "", 3: "M", 4: "M", 5: "MXF", 6: "XM", 7: "XM", 8: pr.CODON_TABLE}
+    assert {r["i"]: r["p"] for r in got.collect()} == want
+    assert "transform(" not in got._jdf.queryExecution().optimizedPlan().toString()
