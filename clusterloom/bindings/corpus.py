@@ -29,7 +29,7 @@ SELECT doc_id, replica, length(s) AS n, md5(coalesce(bag, '')) AS digest
 FROM (SELECT doc_id, s, unnest(range(0, replicas))::INT AS replica FROM cut) LEFT JOIN blocks USING (doc_id)""")
 def shuffled_negatives(spark, sf):
     out = cp.shuffled_negatives(sequences(spark, sf), "doc_id", "seq", 40)
-    pairs = F.array_sort(F.regexp_extract_all("seq", F.lit("(..)"), F.lit(1)))
+    pairs = F.sort_array(F.regexp_extract_all("seq", F.lit("(..)"), F.lit(1)))
     return out.select("doc_id", "replica", F.length("seq").alias("n"),
                       F.md5(F.array_join(pairs, "").cast("binary")).alias("digest"))
 

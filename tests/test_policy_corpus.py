@@ -90,6 +90,30 @@ def test_shuffle_keeps_blocks(spark, size):
         assert Counter(out[i]) == Counter("".join(blocks)) and len(out[i]) == sum(map(len, blocks))
 
 
+
+def test_blocks_are_shuffled_a_text_at_a_time(spark):
+    """Order follows the hash of a block's place and the salts; wide characters count once; null stays null."""
+    from pyspark.sql import functions as F
+
+    texts = [None, "", "é", "ab", "abc", "é😀xyzé", "".join(map(chr, range(200, 331)))]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, s string")
+    for size in (1, 2, 3):
+        out = df.select("s", F.xxhash64("id", F.lit(4)).alias("h"), cp.shuffle_blocks(F.col("s"), size, F.col("id"), F.lit(4)).alias("o"))
+        assert "transform(" not in out._jdf.queryExecution().optimizedPlan().toString()
+        for s, h, o in out.collect():
+            if s is None:
+                assert o is None
+                continue
+            blocks = [s[j:j + size] for j in range(0, len(s) - 1, size)]
+            keys = cp.int_hash(list(range(len(blocks))), h).view("int64") if blocks else []
+            assert o == "".join(b for _, _, b in sorted(zip(keys, range(len(blocks)), blocks)))
+    keys = spark.range(50).select(F.col("id").cast("int").alias("i")).select("i", F.xxhash64("i").alias("h"), F.xxhash64("i", (F.col("i") * -3)).alias("g"))
+    rows = keys.collect()
+    first = cp.int_hash([r["i"] for r in rows], 42)
+    assert first.view("int64").tolist() == [r["h"] for r in rows]
+    assert cp.int_hash([-3 * r["i"] for r in rows], first).view("int64").tolist() == [r["g"] for r in rows]
+
+
 def test_split(spark):
     rng = random.Random(1)
     df = spark.createDataFrame([(i, int(rng.random() < 0.3)) for i in range(400)], "id long, label int")
