@@ -23,16 +23,20 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from clusterloom.functions.hashing import int_hash
 from clusterloom.operators.corpus import positive_features_per_fold, stratified_folds
 from clusterloom.operators.ordered import index_rows
 from clusterloom.session import cut_lineage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Rows and features of a projected block.
+KERNEL_ROWS, KERNEL_COLUMNS = 1024, 2048
+
 # ------------------------------------------------------------------ vectors
 
 
@@ -61,28 +65,53 @@ def labelled(vectors: DataFrame, labels: DataFrame, id_col: str = "instance_id")
     return vectors.join(labels.select(id_col, F.col("label").cast("double").alias("label")), id_col)
 
 
-def fourier_features(sparse: DataFrame, gamma: float, components: int, seed: int = 7) -> DataFrame:
-    """Random Fourier features of the RBF kernel: ``instance_id, features``.
+def _unit(*parts) -> np.ndarray:
+    """Hash of whole numbers within (0, 1]."""
+    h = np.uint64(42)
+    for part in parts:
+        h = int_hash(part, h)
+    return ((h & np.uint64((1 << 40) - 1)).astype(np.float64) + 1) / float((1 << 40) + 1)
 
-    Weights are hashed normals (Box-Muller over two hashes), so no projection matrix is stored
-    or shipped, and each row is projected where it is.
-    """
-    unit = lambda *parts: (F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))
 
-    def weight(idx: Column, j: Column) -> Column:
-        u, v = unit(idx, j, F.lit(seed)), unit(idx, j, F.lit(seed + 1))
-        return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v) * math.sqrt(2 * gamma)
+def _kernel_weights(idx: np.ndarray, components: int, gamma: float, seed: int) -> np.ndarray:
+    """Normals of features by components, by Box-Muller over two hashes."""
+    i, j = idx[:, None], np.arange(1, components + 1)[None]
+    u, v = _unit(i, j, seed), _unit(i, j, seed + 1)
+    return np.sqrt(-2 * np.log(u)) * np.cos(2 * math.pi * v) * math.sqrt(2 * gamma)
 
-    pairs = F.arrays_zip("indices", "values")
 
-    def component(j: Column) -> Column:
-        dot = F.aggregate(
-            pairs, F.lit(0.0), lambda acc, e: acc + e["values"] * weight(e["indices"], j))
-        return math.sqrt(2 / components) * F.cos(dot + 2 * math.pi * unit(j, F.lit(seed + 2)))
+def fourier_features(sparse: DataFrame, gamma: float, components: int, seed: int = 7) -> DataFrame:
+    """Random Fourier features of the RBF kernel: ``instance_id, features``.
 
-    return sparse.select(
-        "instance_id",
-        array_to_vector(F.transform(F.sequence(F.lit(1), F.lit(components)), component)).alias("features"))
+    Weights are hashed normals, so no projection matrix is stored or shipped: a task makes those of the
+    features it meets, ``KERNEL_COLUMNS`` of them at a time, and projects ``KERNEL_ROWS`` rows at a time.
+    """
+    rows_at_a_time, columns_at_a_time = KERNEL_ROWS, KERNEL_COLUMNS
+
+    def run(frames: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        shift = 2 * math.pi * _unit(np.arange(1, components + 1), seed + 2)
+        kept, weights = np.zeros(0, np.int64), None
+        for indices, values in frames:
+            out = []
+            for a in range(0, len(indices), rows_at_a_time):
+                own, given = indices.iloc[a:a + rows_at_a_time], values.iloc[a:a + rows_at_a_time]
+                row = np.repeat(np.arange(len(own)), own.map(len).to_numpy(np.int64))
+                idx = np.concatenate(own.to_numpy()).astype(np.int64)
+                value = np.concatenate(given.to_numpy()).astype(np.float64)
+                met, place = np.unique(idx, return_inverse=True)
+                dot = np.zeros((len(own), components))
+                for b in range(0, len(met), columns_at_a_time):
+                    part = met[b:b + columns_at_a_time]
+                    if weights is None or not np.array_equal(part, kept):
+                        kept, weights = part, _kernel_weights(part, components, gamma, seed)
+                    here = (place >= b) & (place < b + len(part))
+                    dense = np.bincount(row[here] * len(part) + place[here] - b, value[here], len(own) * len(part))
+                    dot += dense.reshape(len(own), len(part)) @ weights
+                out += list(math.sqrt(2 / components) * np.cos(dot + shift))
+            yield pd.Series(out, dtype=object)
+
+    project = F.pandas_udf(run, "array<double>")
+    return sparse.select("instance_id", array_to_vector(project("indices", "values")).alias("features"))
 
 
 # ------------------------------------------------------------------ classifiers

@@ -38,3 +38,28 @@ def test_neighbours_are_sent_in_their_own_type(spark):
     np.fill_diagonal(d, np.inf)
     assert {(i, int(j)) for i in range(90) for j in np.argsort(d[i])[:4]} == {(i, j) for i, j, _ in rows(one)}
     assert "array<double>" not in one._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fourier_weights_are_made_once_a_block(spark, monkeypatch):
+    """Rows of different features, an empty one and more features than a block give what the hashed normals give."""
+    import math
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(ln, "KERNEL_ROWS", 3)
+    monkeypatch.setattr(ln, "KERNEL_COLUMNS", 2)
+    rows = [(i, sorted({i % 4, (i * 3) % 7, 5}), None) for i in range(11)] + [(11, [], None)]
+    rows = [(i, idx, [0.5 * j - i for j in range(len(idx))]) for i, idx, _ in rows]
+    df = spark.createDataFrame(rows, "instance_id long, indices array<int>, values array<double>").repartition(2)
+    out = ln.fourier_features(df, 0.4, 6, seed=9)
+    assert "transform(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    unit = lambda *parts: (F.pmod(F.xxhash64(*parts), F.lit(1 << 40)) + 1) / F.lit(float((1 << 40) + 1))
+    grid = spark.range(7).select(F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("j"))
+    drawn = {(r["i"], r["j"]): (r["u"], r["v"], r["w"]) for r in grid.select(
+        "i", "j", unit("i", "j", F.lit(9)).alias("u"), unit("i", "j", F.lit(10)).alias("v"), unit("j", F.lit(11)).alias("w")).collect()}
+    normal = lambda i, j: math.sqrt(-2 * math.log(drawn[i, j][0])) * math.cos(2 * math.pi * drawn[i, j][1]) * math.sqrt(0.8)
+    got = {r["instance_id"]: r["features"].toArray() for r in out.collect()}
+    for i, idx, values in rows:
+        want = [math.sqrt(2 / 6) * math.cos(sum(v * normal(x, j) for x, v in zip(idx, values)) + 2 * math.pi * drawn[0, j][2]) for j in range(1, 7)]
+        assert np.allclose(got[i], want)
