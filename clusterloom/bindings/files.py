@@ -405,7 +405,10 @@ def metrics_summary(spark, sf):
         F.concat(F.lit("logit_kmers6_domains_len"), (F.col("user_id") * 10).cast("string"),
                  F.lit("_overlap50_x.IDs.test.succ2.eval.metrics")).alias("run"),
         F.concat(F.lit("Metrics\n\tP\npos\t"), txt("n"), F.lit("\t0.5")).alias("value"))
-    rows.repartition("run").write.mode("overwrite").partitionBy("run").text(root)
+    # A file for each run costs its opening, whatever its size: the runs go to all cores, and tasks put their own files in place.
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    rows.repartition(tasks, "run").write.mode("overwrite").option(
+        "mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("run").text(root)
     return rd.summarize_metrics(spark, root)
 
 

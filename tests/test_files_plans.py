@@ -92,6 +92,15 @@ def test_prediction_and_reward_files(spark, tmp_path):
         "kmers6+domains", "70", "50", "merge2", "0.5\t0.6")
 
 
+def test_metrics_files_are_opened_once(spark, tmp_path):
+    """The sort of the summary reads no file again."""
+    for i in (3, 1, 2):
+        put(tmp_path, f"m/logit_kmers6_domains_len{i}0_overlap50_x.IDs.test.succ2.eval.metrics", f"h\n\tP\npos\t0.{i}\t0.6\n")
+    out = rd.summarize_metrics(spark, str(tmp_path / "m"))
+    assert "FileScan" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [(r["length"], r["metrics"]) for r in out.collect()] == [(f"{i}0", f"0.{i}\t0.6") for i in (1, 2, 3)]
+
+
 def test_train_and_predict(spark, tmp_path):
     rng = random.Random(3)
     for part, n in (("train", 16), ("test", 6)):
