@@ -63,3 +63,21 @@ def test_fourier_weights_are_made_once_a_block(spark, monkeypatch):
     for i, idx, values in rows:
         want = [math.sqrt(2 / 6) * math.cos(sum(v * normal(x, j) for x, v in zip(idx, values)) + 2 * math.pi * drawn[0, j][2]) for j in range(1, 7)]
         assert np.allclose(got[i], want)
+
+
+def test_searched_rows_lie_in_partitions_by_their_number(spark, monkeypatch):
+    """However few partitions they come in, and all of them once."""
+    from pyspark.ml.linalg import Vectors
+
+    monkeypatch.setattr(ln, "SEARCH_ROWS", 10)
+    data = spark.createDataFrame([(i, Vectors.dense([float(i % 2), float(i % 5)]), float(i % 2)) for i in range(60)], ["instance_id", "features", "label"])
+    seen = []
+    fit = ln.CrossValidator.fit
+
+    def watched(self, searched, *args):
+        seen.append((searched.rdd.getNumPartitions(), searched.count(), searched.select("instance_id").distinct().count()))
+        return fit(self, searched, *args)
+
+    monkeypatch.setattr(ln.CrossValidator, "fit", watched)
+    _, scores = ln.grid_search(data.coalesce(1), "logit", 2, folds=2, limits={"C": (1,), "penalty": (0.0,)})
+    assert seen == [(6, 60, 60)] and scores.first()["mean"] > 0.9
