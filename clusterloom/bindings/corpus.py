@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from clusterloom.bindings import query, table
-from clusterloom.bindings.features import SEQS, WORDS, sequences, word_tokens, word_vocabulary
+from clusterloom.bindings.features import SEQS, WORDS, counted_vocabulary, sequences, word_counts
 from clusterloom.operators import corpus as cp
 
 # 40 percent positives: 1.5 negatives each, every second input gets two.
@@ -62,8 +62,8 @@ occ AS (SELECT instance_id, idx, count(*) AS cnt FROM words JOIN vocab USING (fe
 folds(fold) AS (VALUES (0), (1), (2), (3), (4))
 SELECT fold, idx, sum(cnt)::BIGINT AS total FROM occ JOIN folds ON fold <> instance_id % 5 GROUP BY fold, idx""")
 def fold_feature_filter(spark, sf):
-    occ = word_tokens(spark, sf).join(word_vocabulary(spark, sf), ["feature_type", "feature"]).groupBy(
-        "instance_id", "idx").agg(F.count("*").alias("cnt"))
+    counts = word_counts(spark, sf)
+    occ = counts.join(counted_vocabulary(counts), ["feature_type", "feature"]).select("instance_id", "idx", "cnt")
     folds = table(spark, sf, "documents").select(
         F.col("doc_id").alias("instance_id"), (F.col("doc_id") % 5).cast("int").alias("fold"))
     return cp.positive_features_per_fold(occ, folds)

@@ -154,3 +154,28 @@ def test_values_within_a_stated_distance_of_the_fixed_point(spark):
             assert abs(got[f"s{i}"].q_keep - want[0]) < 1e-7 and abs(got[f"s{i}"].q_skip - want[1]) < 1e-7
     with pytest.raises(RuntimeError):
         pl.q_iteration(rewards, moves, alpha=0.01, gamma=gamma, tolerance=1e-9, iterations=8)
+
+
+def test_fold_sums_read_occurrences_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    rows = [(i, i % 3, 1) for i in range(30)]
+    occ = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).map(seen), "instance_id long, idx long, cnt long")
+    folds = spark.createDataFrame([(i, i % 2) for i in range(30)], "instance_id long, fold int")
+    got = {(r["fold"], r["idx"], r["total"]) for r in cp.positive_features_per_fold(occ, folds).collect()}
+    assert got == {(f, x, 5) for f in (0, 1) for x in (0, 1, 2)} and read.value == 30
+
+
+def test_words_are_cut_once(spark, sf_dir):
+    """The vocabulary follows from the counts, which read no text any more."""
+    from clusterloom.bindings import features as bf
+
+    counts = bf.word_counts(spark, sf_dir)
+    vocab = bf.counted_vocabulary(counts)
+    assert "FileScan" not in vocab._jdf.queryExecution().executedPlan().toString()
+    rows = lambda df: sorted(map(tuple, df.select("feature_type", "feature", "idx").collect()))
+    assert rows(vocab) == rows(bf.word_vocabulary(spark, sf_dir))
