@@ -81,3 +81,28 @@ def test_searched_rows_lie_in_partitions_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(ln.CrossValidator, "fit", watched)
     _, scores = ln.grid_search(data.coalesce(1), "logit", 2, folds=2, limits={"C": (1,), "penalty": (0.0,)})
     assert seen == [(6, 60, 60)] and scores.first()["mean"] > 0.9
+
+
+def test_few_sums_a_step_reach_the_driver(spark, monkeypatch):
+    """Whatever the number of partitions, of which few are given up."""
+    from pyspark.ml.linalg import Vectors
+
+    for n in (*range(1, 300), 1000):
+        partitions, depth = ln.aggregation(n)
+        assert ln.sums_left(partitions, depth) <= 2 and (partitions == 28 if n <= 28 else 0.58 * n <= partitions <= n)
+    assert ln.sums_left(*ln.aggregation(3)) == 1
+    data = spark.createDataFrame([(Vectors.dense([float(i % 2)]), float(i % 2)) for i in range(40)], ["features", "label"]).repartition(3)
+    seen = []
+    made = ln.classifier
+    monkeypatch.setattr(ln, "classifier", lambda *a, **o: seen.append(o.get("aggregationDepth")) or made(*a, **o))
+    ln.train(data, "logit", 1)
+    monkeypatch.setattr(ln, "WIDE", 1)
+    last = []
+    job = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("one sum", "")
+    ln.train(data, "logit", 1)
+    for j in job.getJobIdsForGroup("one sum"):
+        sizes = [job.getStageInfo(i).numTasks for i in job.getJobInfo(j).stageIds]
+        last.append(sizes)
+    spark.sparkContext.setJobGroup("", "")
+    assert seen == [None, 3] and sum(sorted(s) == [1, 7, 28] or {1, 7} <= set(s) for s in last) >= 2
