@@ -12,7 +12,7 @@ from clusterloom.operators import merge as mg
 from clusterloom.operators import pieces as pc
 from clusterloom.operators import similarity as sim
 from clusterloom.operators.ordered import index_rows, scan
-from clusterloom.session import cut_lineage
+from clusterloom.session import cut_lineage, hold
 
 # Inputs --------------------------------------------------------------------------------
 
@@ -21,20 +21,29 @@ txt = lambda c: F.col(c).cast("string")
 plain_gene = lambda c: F.format_string("P_%05d", F.col(c) if isinstance(c, str) else c)
 
 
-def line_gene():
-    return F.concat(plain_gene("l_partkey"), F.lit("x"), txt("l_suppkey"))
+def line_gene(line=None):
+    of = F.col if line is None else lambda c: line[c]
+    return F.concat(plain_gene(of("l_partkey")), F.lit("x"), of("l_suppkey").cast("string"))
 
 
-def clusters(spark, sf, gene):
-    """Orders as clusters of genes, ordered per customer; ``pos`` is dense per customer."""
-    li = table(spark, sf, "lineitem").select(
-        "l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", gene.alias("gene")).alias("e"))
+def folded_orders(spark, sf):
+    """Orders with their lines' keys in order; genes are named after the rows have moved."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("e"))
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     folded = li.groupBy("l_orderkey").agg(
-        F.transform(F.array_sort(F.collect_list("e")), lambda e: e["gene"]).alias("genes"))
-    joined = folded.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        "o_custkey", "l_orderkey", "genes", (F.col("o_totalprice") / 500000).alias("score"))
-    return index_rows(joined, CUST, ["l_orderkey"])
+        F.transform(F.sort_array(F.collect_list("e")), lambda e: F.struct(e["l_partkey"].alias("l_partkey"), e["l_suppkey"].alias("l_suppkey"))).alias("lines"))
+    return folded.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_orderkey", "lines", "o_totalprice")
+
+
+def _named(rows, gene):
+    return rows.select(
+        *[c for c in ("o_custkey", "l_orderkey") if c in rows.columns], F.transform("lines", gene).alias("genes"),
+        (F.col("o_totalprice") / 500000).alias("score"), "pos")
+
+
+def clusters(spark, sf, gene):
+    """Orders as clusters of genes, ordered per customer; ``pos`` is dense per customer."""
+    return _named(index_rows(folded_orders(spark, sf), CUST, ["l_orderkey"]), gene)
 
 
 def globally(df):
@@ -44,7 +53,9 @@ def globally(df):
 
 
 def predictions(spark, sf):
-    return globally(clusters(spark, sf, line_gene()))
+    """One global position per prediction, by customer and order at once."""
+    rows = index_rows(folded_orders(spark, sf), [], ["o_custkey", "l_orderkey"])
+    return _named(rows, line_gene).select("pos", "genes", "score")
 
 
 def gold(spark, sf):
@@ -107,15 +118,21 @@ sized AS (SELECT cluster_id, count(*) AS n_genes FROM matched GROUP BY cluster_i
 scores AS (SELECT cluster_id, coalesce(run, 0) AS run, n_genes FROM sized LEFT JOIN runs USING (cluster_id))"""
 
 
-def similar_pairs(spark, sf):
-    """Genes of one part on lines of one number are similar, by their quantities.
+def similar_pairs(spark, sf, wanted=None):
+    """Genes of one part on lines of one number are similar, by their quantities; with ``wanted``
+    only pairs whose ``b`` is among its rows.
 
     Lines are shuffled once, by part; their pairs, many more, are reduced where they are made and
     named at the end. Equal line numbers are a filter, since a key would shuffle by both.
     """
     li = table(spark, sf, "lineitem").select("l_partkey", "l_linenumber", "l_suppkey", F.col("l_quantity").alias("q"))
-    left = li.withColumnsRenamed({"l_linenumber": "_n", "l_suppkey": "a", "q": "_q"}).repartition("l_partkey")
-    right = li.withColumnsRenamed({"l_suppkey": "b"}).repartition("l_partkey")
+    left = li.withColumnsRenamed({"l_linenumber": "_n", "l_suppkey": "a", "q": "_q"})
+    right = li.withColumnsRenamed({"l_suppkey": "b"})
+    if wanted is None:
+        left, right = left.repartition("l_partkey"), right.repartition("l_partkey")
+    else:
+        right = hold(li.withColumn("b", line_gene()).join(wanted, "b", "left_semi").select(
+            "l_partkey", "l_linenumber", F.col("l_suppkey").alias("b"), "q"))
     pairs = left.join(right, "l_partkey").filter(F.col("_n") - F.col("l_linenumber") == 0)
     best = mt.max_similarity(pairs.select("l_partkey", "a", "b", (F.col("_q") + F.col("q")).alias("pident")), ["l_partkey"])
     named = lambda c: F.concat(plain_gene("l_partkey"), F.lit("x"), txt(c)).alias(c)
@@ -141,8 +158,8 @@ credit AS (SELECT cluster_id, sum(pident) / 100 AS credit FROM (
 
 
 def _matched(spark, sf):
-    preds = cut_lineage(predictions(spark, sf))
-    return preds, cut_lineage(ev.match_gold(gold_with_absent(spark, sf), preds))
+    preds = predictions(spark, sf)  # its lineage ends at the numbered rows
+    return preds, hold(ev.match_gold(gold_with_absent(spark, sf), preds))
 
 
 # Folding and matching ------------------------------------------------------------------
@@ -194,7 +211,7 @@ def ranked_cluster_scores(spark, sf):
 WITH {BASE}, {REPRESENTED}, {PAIRS}, {CREDIT} SELECT cluster_id, round(credit, 6) AS credit FROM credit""")
 def similarity_credit(spark, sf):
     preds, matched = _matched(spark, sf)
-    out = ev.similarity_credit(matched, ev.matched_clusters(matched), preds, similar_pairs(spark, sf))
+    out = ev.similarity_credit(matched, ev.matched_clusters(matched), preds, lambda wanted: similar_pairs(spark, sf, wanted))
     return out.withColumn("credit", F.round("credit", 6))
 
 
@@ -216,7 +233,7 @@ m AS (SELECT *, least(1.0, matches / predicted) AS p, least(1.0, matches / gold)
 SELECT level, round(matches::DOUBLE, 4) AS matches, predicted, gold, {PRF} FROM m""")
 def gold_metrics(spark, sf):
     preds, matched = _matched(spark, sf)
-    credit = ev.similarity_credit(matched, ev.matched_clusters(matched), preds, similar_pairs(spark, sf))
+    credit = ev.similarity_credit(matched, ev.matched_clusters(matched), preds, lambda wanted: similar_pairs(spark, sf, wanted))
     out = ev.gold_metrics(gold_with_absent(spark, sf), matched, preds, credit)
     return out.withColumn("matches", F.round("matches", 4))
 
@@ -290,7 +307,7 @@ report AS (
 
 
 def merged_and_original(spark, sf):
-    base = clusters(spark, sf, plain_gene("l_partkey")).select("o_custkey", "pos", "genes", "score")
+    base = clusters(spark, sf, lambda e: plain_gene(e["l_partkey"])).select("o_custkey", "pos", "genes", "score")
     post = globally(mg.successive_merge(base, CUST, 2)).filter("score >= 0.5")
     return post, globally(base).filter("score >= 0.5")
 

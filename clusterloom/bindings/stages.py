@@ -118,7 +118,7 @@ rows AS (
 m AS (SELECT *, least(1.0, matches / predicted) AS p, least(1.0, matches / gold) AS r, matches > 0 AS ok FROM rows)
 SELECT level, matches, predicted, gold, {be.PRF} FROM m""")
 def evaluation_metrics(spark, sf):
-    base = be.clusters(spark, sf, be.plain_gene("l_partkey")).select("o_custkey", "pos", "genes", "score")
+    base = be.clusters(spark, sf, lambda e: be.plain_gene(e["l_partkey"])).select("o_custkey", "pos", "genes", "score")
     post = be.globally(pe.merge_stage(base, be.CUST, successive=2))
     gold = be.table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(
         F.concat(F.lit("S"), be.txt("l_suppkey")).alias("cluster_id"), be.plain_gene("l_partkey").alias("gene"))

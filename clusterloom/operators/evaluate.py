@@ -6,13 +6,15 @@ Predictions are rows ``pos, genes ARRAY<STRING>, score`` with a unique global ``
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from clusterloom.functions.scalar import cluster_display_id
 from clusterloom.operators.ordered import index_rows, islands
-from clusterloom.session import cut_lineage
+from clusterloom.session import cut_lineage, hold
 
 NOT_FOUND = "not found"
 
@@ -51,8 +53,9 @@ def match_gold(gold: DataFrame, predictions: DataFrame, threshold: float = 0.5)
     per_gene = exploded.groupBy("gene").agg(
         F.min("pos").alias("first_pos"), F.min_by("_name", "pos").alias("_name"),
         F.max((F.col("score") >= threshold).cast("int")).alias("_hit"))
+    # Distinct where the join needs the rows, so that they are shuffled once.
     return (
-        gold.select("cluster_id", "gene").distinct()
+        gold.select("cluster_id", "gene").repartition("gene").distinct()
         .join(per_gene, "gene", "left")
         .select("cluster_id", "gene", F.coalesce("_hit", F.lit(0)).alias("label"),
                 F.coalesce("_name", F.lit(NOT_FOUND)).alias("predicted_cluster"), "first_pos")
@@ -91,36 +94,44 @@ def matched_clusters(matched: DataFrame) -> DataFrame:
 
 
 def similarity_credit(
-    matched: DataFrame, represented: DataFrame, predictions: DataFrame, pairs: DataFrame,
-    threshold: float = 0.5,
+    matched: DataFrame, represented: DataFrame, predictions: DataFrame,
+    pairs: DataFrame | Callable[[DataFrame], DataFrame], threshold: float = 0.5,
 ) -> DataFrame:
     """Credit of similar genes per gold cluster: ``cluster_id, credit``.
 
     Unfound gold genes take their most similar unfound gene of the representing positive
     prediction; each predicted gene counts once with its highest identity / 100.
-    ``pairs`` rows are ``a, b, pident`` with one row per pair.
+    ``pairs`` rows are ``a, b, pident`` with one row per pair, or a function that makes them for
+    the values of ``b`` it is given, rows ``b``. Representing predictions are few beside all genes,
+    so pairs are cut down to their genes before they meet the gold genes.
     """
-    found = matched.filter("label = 1").select("gene").distinct()
-    missing = matched.select("cluster_id", "gene").join(found, "gene", "left_anti")
-    partners = (
-        represented.join(
-            positive_clusters(predictions, threshold).select(F.col("pos").alias("match_pos"), "genes"),
-            "match_pos")
-        .select("cluster_id", F.posexplode("genes").alias("_i", "b"))
-        .join(found.select(F.col("gene").alias("b")), "b", "left_anti")
-    )
-    scored = (
-        missing.join(pairs.select(F.col("a").alias("gene"), "b", "pident"), "gene")
-        .join(partners, ["cluster_id", "b"])
-        .filter(F.col("pident") > 0)
-    )
-    best = scored.groupBy("cluster_id", "gene").agg(
+    found = matched.filter("label = 1").select("gene")
+    listed = hold(
+        positive_clusters(predictions, threshold).select(F.col("pos").alias("match_pos"), "genes")
+        .join(hold(represented.select("cluster_id", "match_pos")), "match_pos")
+        .select("cluster_id", F.posexplode("genes").alias("_i", "b")))
+    partners = hold(without_found(listed, "b", found))
+    wanted = hold(partners.select("b").distinct())
+    near = pairs(wanted) if callable(pairs) else pairs.select("a", "b", "pident").join(wanted, "b", "left_semi")
+    candidates = hold(
+        near.filter(F.col("pident") > 0).join(partners, "b")
+        .select("cluster_id", F.col("a").alias("gene"), "b", "_i", "pident"))
+    scored = hold(matched.select("cluster_id", "gene").join(candidates, ["cluster_id", "gene"]))
+    best = without_found(scored, "gene", found).groupBy("cluster_id", "gene").agg(
         F.max(F.struct("pident", (-F.col("_i")).alias("order"), "b")).alias("_best"))
     used = best.groupBy("cluster_id", F.col("_best.b").alias("b")).agg(
         F.max("_best.pident").alias("pident"))
     return used.groupBy("cluster_id").agg((F.sum("pident") / 100).alias("credit"))
 
 
+def without_found(rows: DataFrame, gene: str, found: DataFrame) -> DataFrame:
+    """``rows`` whose ``gene`` is not among the genes ``found``, which are cut down to those of
+    ``rows`` first."""
+    asked = hold(rows.select(F.col(gene).alias("gene")).distinct())
+    there = hold(found.join(asked, "gene").select(F.col("gene").alias(gene)).distinct())
+    return rows.join(there, gene, "left_anti")
+
+
 def cluster_scores(matched: DataFrame, credit: DataFrame | None = None) -> DataFrame:
     """Score per gold cluster: longest run (plus credit) over its number of genes."""
     runs = longest_runs(matched)

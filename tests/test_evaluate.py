@@ -164,3 +164,31 @@ def test_ontology_terms(spark):
     got = {r["goid"] for r in mt.ontology_terms(mt.significant_subjects(hits), mapping).collect()}
     assert got == {"GO:1", "GO:2"}
     assert mt.alignment_table(hits.withColumns({"bitscore": F.lit(1.0), "pident": F.lit(1.0)}), 1e-4).count() == 2
+
+
+def test_similarity_credit_makes_only_the_pairs_it_needs(spark):
+    gold = spark.createDataFrame([("A", "x1"), ("A", "x2"), ("A", "p1"), ("B", "x1")], "cluster_id string, gene string")
+    pred = spark.createDataFrame([(0, ["p1", "p2", "p3"], 0.9), (1, ["q1"], 0.9), (2, ["x1"], 0.1)], "pos long, genes array<string>, score double")
+    pairs = spark.createDataFrame(
+        [("x1", "p2", 60.0), ("x2", "p2", 80.0), ("x1", "p3", 40.0), ("p1", "p2", 90.0), ("x1", "p1", 99.0), ("x2", "q1", 99.0)], "a string, b string, pident double")
+    matched = ev.match_gold(gold, pred)
+    asked = []
+
+    def make(wanted):
+        asked.extend(r.b for r in wanted.collect())
+        return pairs.join(wanted, "b", "left_semi")
+
+    want = [(r.cluster_id, r.credit) for r in ev.similarity_credit(matched, ev.matched_clusters(matched), pred, pairs).collect()]
+    got = [(r.cluster_id, r.credit) for r in ev.similarity_credit(matched, ev.matched_clusters(matched), pred, make).collect()]
+    # x1 and x2 both take p2, which counts once; p1 is found, and q1 represents nothing.
+    assert got == want == [("A", 0.8)]
+    assert sorted(asked) == ["p2", "p3"]
+
+
+def test_match_gold_shuffles_gold_once(spark):
+    gold = spark.createDataFrame([("A", "x1"), ("A", "x1"), ("B", "x1")], "cluster_id string, gene string")
+    pred = spark.createDataFrame([(0, ["x1"], 0.9)], "pos long, genes array<string>, score double")
+    matched = ev.match_gold(gold, pred)
+    assert sorted((r.cluster_id, r.label) for r in matched.collect()) == [("A", 1), ("B", 1)]
+    plan = matched._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [gene" in plan
