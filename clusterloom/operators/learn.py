@@ -594,6 +594,46 @@ def covariance_labels(
     return final.withColumn("prediction", F.when(F.col("distance") > cutoff, -1).otherwise(1))
 
 
+#: Rows compared at a time, neighbouring rows whose least distance bounds what is looked at, pairs measured at a time.
+NEAR_ROWS, NEAR_SPAN, NEAR_PAIRS = 256, 64, 1 << 17
+
+
+def closest(x: np.ndarray, y: np.ndarray, ids: np.ndarray, others: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest rows of ``y`` with another id for each row of ``x``, ties by id: rows, their places in ``y``, distances.
+
+    One product gives all distances but for rounding. The least of every few neighbouring rows come from one pass;
+    no more than the k-th of these, and the rounding, can be among the k nearest, so only such pairs are measured and sorted.
+    """
+    square = (y**2).sum(1)
+    far = np.append(y, square[:, None], 1).T.copy()
+    slack = 1e-12 * (1 + (x**2).sum(1).max() + square.max())
+    order = np.argsort(others, kind="stable")
+    first, last = (np.searchsorted(others, ids, side, sorter=order) for side in ("left", "right"))
+    spans = np.arange(0, len(y), NEAR_SPAN)
+    found = []
+    for a in range(0, len(x), NEAR_ROWS):
+        part = x[a:a + NEAR_ROWS]
+        d = np.append(-2 * part, np.ones((len(part), 1)), 1) @ far
+        own = last[a:a + NEAR_ROWS] - first[a:a + NEAR_ROWS]
+        begin = np.repeat(first[a:a + NEAR_ROWS] - np.cumsum(own) + own, own)
+        d[np.repeat(np.arange(len(part)), own), order[begin + np.arange(own.sum())]] = np.inf
+        if len(spans) > k:
+            bound = np.partition(np.minimum.reduceat(d, spans, axis=1), k - 1, axis=1)[:, k - 1]
+        elif d.shape[1] > k:
+            bound = np.partition(d, k - 1, axis=1)[:, k - 1]
+        else:
+            bound = np.full(len(part), np.inf)
+        row, near = np.nonzero((d <= bound[:, None] + slack) & np.isfinite(d))
+        exact = np.concatenate([np.zeros(0), *(
+            np.sqrt(((part[row[i:i + NEAR_PAIRS]] - y[near[i:i + NEAR_PAIRS]]) ** 2).sum(1)) for i in range(0, len(row), NEAR_PAIRS))])
+        by = np.lexsort((others[near], exact, row))
+        row, near, exact = row[by], near[by], exact[by]
+        count = np.bincount(row, minlength=len(part))
+        kept = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) < k
+        found.append((a + row[kept], near[kept], exact[kept]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
 def nearest_neighbours(
     data: DataFrame, id_col: str, array_col: str, k: int = 20, block: int = 16384,
 ) -> DataFrame:
@@ -619,17 +659,8 @@ def nearest_neighbours(
         if not len(ids) or not len(others):
             return pd.DataFrame({id_col: ids[:0], "other": ids[:0], "distance": np.zeros(0)})
         x, y = np.stack(left["x"].to_numpy()).astype(np.float64), np.stack(right["x"].to_numpy()).astype(np.float64)
-        parts = []
-        for a in range(0, len(ids), 256):
-            d = (x[a:a + 256] ** 2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x[a:a + 256] @ y.T
-            d[ids[a:a + 256, None] == others[None]] = np.inf
-            take = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
-            row = np.repeat(np.arange(a, a + len(d)), take.shape[1])
-            near = take.ravel()
-            exact = np.sqrt(((x[row] - y[near]) ** 2).sum(1))
-            fine = np.isfinite(np.take_along_axis(d, take, 1)).ravel()
-            parts.append(pd.DataFrame({id_col: ids[row], "other": others[near], "distance": exact})[fine])
-        return pd.concat(parts)
+        row, near, distance = closest(x, y, ids, others, k)
+        return pd.DataFrame({id_col: ids[row], "other": others[near], "distance": distance})
 
     found = asked.groupBy("_q", "_b").cogroup(given.groupBy("_q", "_b")).applyInPandas(
         nearest, f"{id_col} {kind}, other {kind}, distance double")
