@@ -118,25 +118,25 @@ sized AS (SELECT cluster_id, count(*) AS n_genes FROM matched GROUP BY cluster_i
 scores AS (SELECT cluster_id, coalesce(run, 0) AS run, n_genes FROM sized LEFT JOIN runs USING (cluster_id))"""
 
 
-def similar_pairs(spark, sf, wanted=None):
+def similar_pairs(spark, sf, wanted=None, block=()):
     """Genes of one part on lines of one number are similar, by their quantities; with ``wanted``
-    only pairs whose ``b`` is among its rows.
+    only pairs whose ``b`` is among its rows, with ``block`` its columns too, which are those of the part.
 
     Lines are shuffled once, by part; their pairs, many more, are reduced where they are made and
     named at the end. Equal line numbers are a filter, since a key would shuffle by both.
     """
     li = table(spark, sf, "lineitem").select("l_partkey", "l_linenumber", "l_suppkey", F.col("l_quantity").alias("q"))
+    if wanted is None:
+        li = li.repartition("l_partkey")
     left = li.withColumnsRenamed({"l_linenumber": "_n", "l_suppkey": "a", "q": "_q"})
     right = li.withColumnsRenamed({"l_suppkey": "b"})
-    if wanted is None:
-        left, right = left.repartition("l_partkey"), right.repartition("l_partkey")
-    else:
+    if wanted is not None:
         right = hold(li.withColumn("b", line_gene()).join(wanted, "b", "left_semi").select(
             "l_partkey", "l_linenumber", F.col("l_suppkey").alias("b"), "q"))
     pairs = left.join(right, "l_partkey").filter(F.col("_n") - F.col("l_linenumber") == 0)
     best = mt.max_similarity(pairs.select("l_partkey", "a", "b", (F.col("_q") + F.col("q")).alias("pident")), ["l_partkey"])
     named = lambda c: F.concat(plain_gene("l_partkey"), F.lit("x"), txt(c)).alias(c)
-    return best.select(named("a"), named("b"), "pident")
+    return best.select(*block, named("a"), named("b"), "pident")
 
 
 PAIRS = f"""near AS (SELECT l_partkey, l_linenumber, {LG} AS gene, l_quantity AS q FROM lineitem),
@@ -572,7 +572,8 @@ votes AS (SELECT a AS gene, count(*) FILTER (b IN (SELECT gene FROM pos_genes))
 SELECT gene, round(coalesce(n, 0) * 0.1, 4)::DOUBLE AS score, coalesce(n, 0) >= 5 AS positive FROM und LEFT JOIN votes USING (gene)""")
 def similar_gene_votes(spark, sf):
     und = table(spark, sf, "lineitem").filter("l_returnflag = 'N'").select(line_gene().alias("gene"))
-    out = mt.vote_by_similar(und, similar_pairs(spark, sf), ev.positive_genes(predictions(spark, sf)))
+    pairs = similar_pairs(spark, sf, block=("l_partkey",))
+    out = mt.vote_by_similar(und, pairs, ev.positive_genes(predictions(spark, sf)), within=("l_partkey",))
     return out.withColumn("score", F.round("score", 4))
 
 

@@ -137,17 +137,21 @@ def max_similarity(pairs: DataFrame, within: Sequence[str] = ()) -> DataFrame:
 
 def vote_by_similar(
     undecided: DataFrame, pairs: DataFrame, positives: DataFrame, top: int = 10,
-    step: float = 0.1, threshold: float = 0.5,
+    step: float = 0.1, threshold: float = 0.5, within: Sequence[str] = (),
 ) -> DataFrame:
     """Genes without domains follow their most similar genes: ``gene, score, positive``.
 
-    Each of the ``top`` partners that was kept adds ``step``. The group limit runs before the
-    shuffle, so a gene with many partners sends only ``top`` of them per task.
+    Each of the ``top`` partners that was kept adds ``step``. ``within`` names the block of ``pairs`` in which
+    they were made: the best ``top`` of a gene in each block are taken there, as no other can be among its best, and
+    only those are shuffled.
     """
     # Both directions come from one pass, so the pairs are made once.
     back = F.when(F.col("a") != F.col("b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = pairs.select("pident", F.explode(F.array(F.struct("a", "b"), back)).alias("_p")).filter(
-        "_p IS NOT NULL").select("_p.a", "_p.b", "pident")
+    both = pairs.select(*within, "pident", F.explode(F.array(F.struct("a", "b"), back)).alias("_p")).filter(
+        "_p IS NOT NULL").select(*within, "_p.a", "_p.b", "pident")
+    if within:
+        nearest = W.partitionBy(*within, "a").orderBy(F.desc("pident"), "b")
+        both = max_similarity(both, within).withColumn("_rank", F.row_number().over(nearest)).filter(F.col("_rank") <= top)
     order = W.partitionBy("a").orderBy(F.desc("pident"), "b")
     partners = (
         both.join(undecided.select(F.col("gene").alias("a")).distinct(), "a", "left_semi")
